@@ -50,38 +50,47 @@ def vector_literal(values: Sequence[float]) -> Column:
 
 # ---- Arrow form: the same left-to-right sums over a whole batch of vectors at once ----
 
+CHUNK_ROWS = 2048  # rows whose double-precision copy is held at a time
 
-def arrow_matrix(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix n x dims in double, usable mask). Unusable rows are zero in the matrix."""
+
+def arrow_matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    """The vectors as a float32 matrix, without a copy when all have ``dims`` elements.
+
+    A missing or wrongly sized vector becomes a zero row, a NULL element becomes NaN.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     n = len(vectors)
-    sizes = np.diff(vectors.offsets.to_numpy()) if n else np.zeros(0, dtype=np.int64)
-    usable = (sizes == dims) & vectors.is_valid().to_numpy(zero_copy_only=False)
-    flat = vectors.flatten() if usable.all() else vectors.filter(pa.array(usable)).flatten()
-    matrix = np.zeros((n, dims))
-    # A NULL element becomes NaN, which makes the row unusable below.
-    matrix[usable] = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-    bad = ~np.isfinite(matrix).all(axis=1)
-    if bad.any():
-        matrix[bad] = 0.0
-        usable &= ~bad
-    return matrix, usable
+    fits = (np.diff(vectors.offsets.to_numpy()) == dims) & vectors.is_valid().to_numpy(zero_copy_only=False)
+    if fits.all():
+        return vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
+    matrix = np.zeros((n, dims), dtype=np.float32)
+    matrix[fits] = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return matrix
 
 
 def row_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dot product of matching rows, added dimension by dimension like the column form."""
-    total = np.zeros(len(a))
-    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
-        total += x * y
-    return total
+    """Dot products of the rows of ``a`` with the matching rows of ``b``, or with one vector.
+
+    Products are added dimension by dimension in double, as the column form adds them.
+    """
+    out = np.empty(len(a))
+    for i in range(0, len(a), CHUNK_ROWS):
+        left = a[i : i + CHUNK_ROWS].T.astype(np.float64, order="C")
+        right = b if b.ndim == 1 else b[i : i + CHUNK_ROWS].T.astype(np.float64, order="C")
+        total, product = np.zeros(left.shape[1]), np.empty(left.shape[1])
+        for x, y in zip(left, right, strict=True):
+            np.multiply(x, y, out=product)
+            total += product
+        out[i : i + CHUNK_ROWS] = total
+    return out
 
 
-def row_cosines(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
-    """Similarity of matching rows given their squared lengths; NaN for zero length."""
+def cosines(dots: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    """Similarity from dot products and squared lengths; NaN for a zero or infinite length."""
     scale = np.sqrt(aa * bb)
     out = np.full(len(scale), np.nan)
-    np.divide(row_dots(a, b), scale, out=out, where=scale > 0)
+    np.divide(dots, scale, out=out, where=(scale > 0) & np.isfinite(scale))
     return out
 
 
@@ -91,18 +100,12 @@ def similarity_to(vector: Column, query: Sequence[float]) -> Column:
     Only the vector column crosses to Python; the other columns of the row stay in the JVM.
     """
     q = np.asarray(query, dtype=np.float64)
-    qq = float(row_dots(q[None, :], q[None, :])[0])
+    qq = row_dots(q[None, :], q)
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
-        m, _ = arrow_matrix(vectors, len(q))
-        total, mm = np.zeros(len(m)), np.zeros(len(m))
-        for x, y in zip(np.ascontiguousarray(m.T), q, strict=True):
-            total += x * y
-            mm += x * x
-        scale = np.sqrt(mm * qq)
-        sims = np.full(len(m), np.nan)
-        np.divide(total, scale, out=sims, where=scale > 0)
+        m = arrow_matrix(vectors, len(q))
+        sims = cosines(row_dots(m, q), row_dots(m, m), qq)
         return pa.array(sims, mask=np.isnan(sims))
 
-    return score(vector)
+    return score(vector.cast("array<float>"))

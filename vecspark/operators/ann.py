@@ -15,11 +15,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.functions.vector import arrow_matrix, row_dots
-from vecspark.operators.batch_search import batch_topk
+from vecspark.functions.vector import arrow_matrix
+from vecspark.operators.batch_search import batch_topk, unit_rows
 
 NO_CELL = -1  # rows without a usable vector
 TRAINING_ROWS = 1_000_000
+ASSIGN_ROWS = 4096  # vectors compared with all centres at once by a task
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,12 @@ class Cells:
 
         @F.arrow_udf("array<int>")
         def pick(vectors: pa.Array) -> pa.Array:
-            m, _ = arrow_matrix(vectors, centres.shape[1])
-            usable = row_dots(m, m) > 0
-            order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-            order[~usable] = NO_CELL
-            offsets = np.arange(len(m) + 1, dtype=np.int32) * n
+            order = np.full((len(vectors), n), NO_CELL, dtype=np.int32)
+            for i in range(0, len(vectors), ASSIGN_ROWS):
+                unit, usable = unit_rows(arrow_matrix(vectors[i : i + ASSIGN_ROWS], centres.shape[1]))
+                nearest = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n]
+                order[i : i + ASSIGN_ROWS] = np.where(usable[:, None], nearest, NO_CELL)
+            offsets = np.arange(len(order) + 1, dtype=np.int32) * n
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel()))
 
         return pick(vector)

@@ -12,24 +12,30 @@ therefore do not depend on how the corpus is partitioned, also with any number o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecspark.functions.vector import arrow_matrix, row_cosines, row_dots
+from vecspark.functions.vector import arrow_matrix, cosines, row_dots
 from vecspark.operators.validation import clamp_limit, effective_limit
 from vecspark.schema import MAX_LIMIT
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20  # scores held at once by a task
+BATCH_ROWS = 4096  # corpus rows scored at once by a task
 MERGE_SLOTS = 32
+SEED_OVER_ROWS = 4_000_000
+SEED_TASKS = 64
 
 
 @dataclass
@@ -42,10 +48,11 @@ class RequestBlock:
     limits: np.ndarray
     thresholds: np.ndarray
     probes: list | None  # per request: the cells it looks into
+    floors: np.ndarray | None = None  # per request: a similarity its last result will reach at least
 
     @classmethod
     def from_arrow(cls, t: pa.Table, dims: int) -> RequestBlock:
-        matrix, _ = arrow_matrix(t["_vector"], dims)
+        matrix = arrow_matrix(t["_vector"], dims)
         return cls(
             ids=t["_query"].to_numpy(),
             matrix=matrix,
@@ -56,34 +63,69 @@ class RequestBlock:
         )
 
 
+def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows scaled to length 1 in float32, mask of rows that have a direction)."""
+    with np.errstate(all="ignore"):
+        squares = np.einsum("ij,ij->i", matrix, matrix)
+        unit = matrix * (1.0 / np.sqrt(squares))[:, None].astype(np.float32)
+        # Very short and very long rows leave the float32 range when squared.
+        odd = np.flatnonzero(~((squares > 1e-20) & (squares < 1e20)))
+        usable = np.ones(len(matrix), dtype=bool)
+        if len(odd):
+            exact = row_dots(matrix[odd], matrix[odd])
+            usable[odd] = np.isfinite(exact) & (exact > 0)
+            scaled = matrix[odd] / np.sqrt(exact)[:, None]
+            unit[odd] = np.where(usable[odd][:, None], scaled, 0.0)
+    return unit, usable
+
+
+def first_copies(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the rows that are among the ``k`` lowest ids with the same vector.
+
+    Equal vectors have equal similarities, so ties among them go to the lowest ids and the
+    other copies cannot be in any result of up to ``k`` rows.
+    """
+    seen: Counter[bytes] = Counter()
+    keep = np.zeros(len(ids), dtype=bool)
+    for i in np.argsort(ids, kind="stable"):
+        key = matrix[i].tobytes()
+        seen[key] += 1
+        keep[i] = seen[key] <= k
+    return keep
+
+
 class TopK:
     """The best rows per request seen so far by one task."""
 
     def __init__(self, block: RequestBlock) -> None:
         self.block = block
-        n = len(block.ids)
         self.query = np.zeros(0, dtype=np.int64)
         self.sims = np.zeros(0)
         self.ids = None
-        self.floor = np.where(np.isnan(block.thresholds), -np.inf, block.thresholds)
-        self.count = np.zeros(n, dtype=np.int64)
-        dims = block.matrix.shape[1]
-        # Float32 dot product of unit vectors: the error stays below dims * 2**-23.
-        self.slack = (dims + 8) * 2.0**-22
-        lengths = np.sqrt(np.where(block.squares > 0, block.squares, 1.0))
-        self.unit = (block.matrix / lengths[:, None]).astype(np.float32)
-        self.usable = block.squares > 0
-        if block.probes is not None:
-            self.by_cell: dict[int, list[int]] = {}
-            for q, cells in enumerate(block.probes):
-                for c in cells:
-                    self.by_cell.setdefault(c, []).append(q)
+        self.open = np.isnan(block.thresholds)
+        # A row below the floor of a request cannot be in its result.
+        self.floor = np.where(self.open, -np.inf, block.thresholds)
+        if block.floors is not None:
+            self.open &= ~np.isfinite(block.floors)
+            self.floor = np.maximum(self.floor, block.floors)
+        self.count = np.zeros(len(block.ids), dtype=np.int64)
+        # Twice the error bound of a float32 dot product of two rounded unit vectors.
+        self.slack = (block.matrix.shape[1] + 8) * 2.0**-22
+        self.unit, self.usable = unit_rows(block.matrix)
+        self.by_cell: dict[int, list[int]] = {}
+        for q, cells in enumerate(block.probes or ()):
+            for c in cells:
+                self.by_cell.setdefault(c, []).append(q)
 
     def add(self, ids: np.ndarray, vectors: pa.Array, cells: np.ndarray | None = None) -> None:
         """Score one batch of corpus rows; with cells, only against the requests probing them."""
-        matrix, _ = arrow_matrix(vectors, self.block.matrix.shape[1])
-        squares = row_dots(matrix, matrix)
-        unit = (matrix / np.sqrt(np.where(squares > 0, squares, 1.0))[:, None]).astype(np.float32)
+        for i in range(0, len(ids), BATCH_ROWS):
+            part = slice(i, i + BATCH_ROWS)
+            matrix = arrow_matrix(vectors[part], self.block.matrix.shape[1])
+            self._add_rows(ids[part], matrix, None if cells is None else cells[part])
+
+    def _add_rows(self, ids: np.ndarray, matrix: np.ndarray, cells: np.ndarray | None) -> None:
+        unit, usable = unit_rows(matrix)
         if cells is None:
             groups = [(np.arange(len(self.block.ids)), np.arange(len(ids)))]
         else:
@@ -93,36 +135,46 @@ class TopK:
                 if c in self.by_cell
             ]
         for queries, rows in groups:
-            live = rows[squares[rows] > 0]
-            searching = queries[self.usable[queries]]
-            step = max(1, SCORE_CELLS // max(1, len(live)))
-            for i in range(0, len(searching) if len(live) else 0, step):
-                self._add_scored(searching[i : i + step], live, ids, matrix, squares, unit)
-            self._add_unscored(queries, rows, ids, squares)
-
-    def _add_scored(self, queries, rows, ids, matrix, squares, unit) -> None:
-        fast = self.unit[queries] @ unit[rows].T
-        floor = self.floor[queries]
+            live, searching = rows[usable[rows]], queries[self.usable[queries]]
+            if len(live):
+                step = max(1, SCORE_CELLS // len(live))
+                for i in range(0, len(searching), step):
+                    self._add_scored(searching[i : i + step], live, ids, matrix, unit[live])
+            self._add_unscored(queries, rows, ids, usable)
+
+    def _add_scored(self, queries, rows, ids, matrix, unit) -> None:
+        fast = self.unit[queries] @ unit.T
+        floor = self.floor[queries] - self.slack
         k = int(self.block.limits[queries].max())
-        if k < len(rows):
-            kth = np.partition(fast, len(rows) - k, axis=1)[:, len(rows) - k]
+        short = np.flatnonzero(self.count[queries] < self.block.limits[queries])
+        if len(short) and k < len(rows):
             # The row at the k-th place may really be up to the slack lower.
-            floor = np.maximum(floor, kth.astype(np.float64) - self.slack)
-        qi, ri = np.nonzero(fast >= (floor - self.slack)[:, None])
+            kth = np.partition(fast[short], len(rows) - k, axis=1)[:, len(rows) - k].astype(np.float64)
+            floor[short] = np.maximum(floor[short], kth - 2 * self.slack)
+        hit = fast >= floor[:, None]
+        if np.count_nonzero(hit) > 8 * self.block.limits[queries].sum() + len(rows):
+            hit &= first_copies(matrix[rows], ids[rows], k)
+        qi, ri = np.nonzero(hit)
+        if not len(qi):
+            return
+        used = np.unique(ri)
+        squares = np.zeros(len(rows))
+        squares[used] = row_dots(matrix[rows[used]], matrix[rows[used]])
         step = max(1, SCORE_CELLS // matrix.shape[1])
         for i in range(0, len(qi), step):
-            q, r = queries[qi[i : i + step]], rows[ri[i : i + step]]
-            sims = row_cosines(self.block.matrix[q], matrix[r], self.block.squares[q], squares[r])
+            q, r = queries[qi[i : i + step]], ri[i : i + step]
+            dots = row_dots(matrix[rows[r]], self.block.matrix[q])
+            sims = cosines(dots, squares[r], self.block.squares[q])
             keep = sims >= self.floor[q]
-            self._merge(q[keep], sims[keep], ids[r[keep]])
+            self._merge(q[keep], sims[keep], ids[rows[r[keep]]])
 
-    def _add_unscored(self, queries, rows, ids, squares) -> None:
+    def _add_unscored(self, queries, rows, ids, usable) -> None:
         """Rows without a similarity come after all others, in id order, when no threshold is set."""
-        open_end = np.isnan(self.block.thresholds[queries]) & (self.count[queries] < self.block.limits[queries])
+        unfilled = self.open[queries] & (self.count[queries] < self.block.limits[queries])
         for pool, chosen in (
-            (rows[squares[rows] == 0], queries[open_end & self.usable[queries]]),
+            (rows[~usable[rows]], queries[unfilled & self.usable[queries]]),
             # A request without a usable vector has no similarity to any row.
-            (rows, queries[np.isnan(self.block.thresholds[queries]) & ~self.usable[queries]]),
+            (rows, queries[self.open[queries] & ~self.usable[queries]]),
         ):
             if len(pool) and len(chosen):
                 pool = pool[np.argsort(ids[pool], kind="stable")][: int(self.block.limits[chosen].max())]
@@ -130,24 +182,31 @@ class TopK:
                 self._merge(q, np.full(len(q), np.nan), ids[np.tile(pool, len(chosen))])
 
     def _merge(self, query, sims, ids) -> None:
+        """Put new rows among the kept ones of their requests and cut at the limits."""
         if not len(query):
             return
-        if self.ids is not None:
-            query = np.concatenate([self.query, query])
-            sims = np.concatenate([self.sims, sims])
-            ids = np.concatenate([self.ids, ids])
+        if self.ids is None:
+            self.ids = ids[:0]
+        changed = np.zeros(len(self.block.ids), dtype=bool)
+        changed[query] = True
+        mine = changed[self.query]
+        query = np.concatenate([self.query[mine], query])
+        sims = np.concatenate([self.sims[mine], sims])
+        ids = np.concatenate([self.ids[mine], ids])
         _, id_order = np.unique(ids, return_inverse=True)
         order = np.lexsort((id_order, np.where(np.isnan(sims), np.inf, -sims), query))
         query, sims, ids = query[order], sims[order], ids[order]
-        first = np.searchsorted(query, query, side="left")
-        place = np.arange(len(query)) - first
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         keep = place < self.block.limits[query]
-        self.query, self.sims, self.ids = query[keep], sims[keep], ids[keep]
-        # A full list raises the bar for the batches to come; equal scores may still win by id.
-        scored = ~np.isnan(self.sims)
-        self.count = np.bincount(self.query[scored], minlength=len(self.block.ids))
-        last = scored & (place[keep] == self.block.limits[self.query] - 1)
-        self.floor[self.query[last]] = np.maximum(self.floor[self.query[last]], self.sims[last])
+        query, sims, ids, place = query[keep], sims[keep], ids[keep], place[keep]
+        scored = ~np.isnan(sims)
+        self.count[changed] = np.bincount(query[scored], minlength=len(self.count))[changed]
+        # A full list raises the floor for later rows; an equal score may still win by its id.
+        last = scored & (place == self.block.limits[query] - 1)
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], sims[last])
+        self.query = np.concatenate([self.query[~mine], query])
+        self.sims = np.concatenate([self.sims[~mine], sims])
+        self.ids = np.concatenate([self.ids[~mine], ids])
 
     def result(self, schema: pa.Schema, slot: int) -> pa.RecordBatch:
         n = len(self.query)
@@ -161,38 +220,36 @@ class TopK:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _score_partitions(block: Callable[[], RequestBlock], schema: T.StructType, tasks: int | None = None):
+    """A task function: corpus batches in, the task's best rows per request out.
 
-    return to_arrow_schema(schema)
-
-
-def _score_partitions(block: Callable[[], RequestBlock], schema: T.StructType):
-    """A task function: corpus batches in, the task's best rows per request out."""
-    arrow_schema = _arrow_schema(schema)
+    With ``tasks``, only that many tasks read their part and the others end at once.
+    """
+    arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+        task = TaskContext.get().partitionId()
+        if tasks is not None and task >= tasks:
+            return
         best = TopK(block())
         for b in batches:
             if b.num_rows:
                 cells = b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None
                 best.add(b.column(0).to_numpy(zero_copy_only=False), b.column(1), cells)
-        yield best.result(arrow_schema, TaskContext.get().partitionId() % MERGE_SLOTS)
+        yield best.result(arrow_schema, task % MERGE_SLOTS)
 
     return run
 
 
 def _score_blocks(dims: int, schema: T.StructType):
     """A group function: one block of the corpus against one block of the requests."""
-    arrow_schema = _arrow_schema(schema)
+    arrow_schema = to_arrow_schema(schema)
 
     def run(key: tuple, corpus: pa.Table, requests: pa.Table) -> pa.Table:
         if not corpus.num_rows or not requests.num_rows:
             return arrow_schema.empty_table()
         best = TopK(RequestBlock.from_arrow(requests, dims))
-        for b in corpus.to_batches(max_chunksize=4096):
+        for b in corpus.to_batches():
             cells = b.column("_cell").to_numpy(zero_copy_only=False) if "_cell" in corpus.column_names else None
             best.add(b.column("_id").to_numpy(zero_copy_only=False), b.column("_vector"), cells)
         slot = int(key[1].as_py()) % MERGE_SLOTS
@@ -213,6 +270,20 @@ def _merged(partial: DataFrame) -> DataFrame:
     return best(firsts, "query_id").select("query_id", "rank", "id", "similarity")
 
 
+def _floors(rows: DataFrame, block: RequestBlock, schema: T.StructType) -> np.ndarray:
+    """The similarity of each request's last result in the first tasks; -inf where they have too few."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    first = rows.mapInArrow(_score_partitions(lambda: shared.value, schema, SEED_TASKS), schema)
+    found = _merged(first).groupBy("query_id").agg(F.count("similarity").alias("n"), F.min("similarity").alias("low"))
+    seen = {q: (n, low) for q, n, low in zip(*[c.to_pylist() for c in found.toArrow().columns], strict=True)}
+    floors = np.full(len(block.ids), -np.inf)
+    for i, q in enumerate(block.ids.tolist()):
+        n, low = seen.get(q, (0, None))
+        if n >= block.limits[i]:
+            floors[i] = low
+    return floors
+
+
 def batch_topk(
     corpus: DataFrame,
     requests: DataFrame,
@@ -227,12 +298,15 @@ def batch_topk(
     probes: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    seed_over: int = SEED_OVER_ROWS,
 ) -> DataFrame:
     """(query_id, rank, id, similarity) of each request's best rows.
 
     Requests that fit in ``broadcast_bytes`` are sent to the tasks that scan the corpus,
-    which is then read once and not shuffled. Beyond that, both sides are cut into blocks
-    of bounded size and each pair of blocks is one group.
+    which is then read once and not shuffled; a corpus of more than ``seed_over`` rows is
+    searched in a few tasks first, so that all other tasks hand on only rows that may beat
+    those results. Larger request tables and the corpus are both cut into blocks of bounded
+    size, and each pair of blocks is one group.
 
     With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes.
     """
@@ -259,18 +333,19 @@ def batch_topk(
     )
     # A task also holds a float32 copy and the best rows of each request.
     per_request = dims * 4 + MAX_LIMIT * 24
-    fits = max(1, broadcast_bytes // per_request)
-    head = wanted.limit(fits + 1).toArrow()
-    if head.num_rows <= fits:
-        block = corpus.sparkSession.sparkContext.broadcast(RequestBlock.from_arrow(head, dims))
+    asked, stored = wanted.count(), rows.count()
+    if asked * per_request <= broadcast_bytes:
+        block = RequestBlock.from_arrow(wanted.toArrow(), dims)
         if cell and probes:
             # Cells no request looks into are not read when the corpus is stored by cell.
-            probed = sorted({c for p in block.value.probes for c in p})
-            rows = rows.filter(F.col("_cell").isin(probed))
-        return _merged(rows.mapInArrow(_score_partitions(lambda: block.value, schema), schema))
-
-    corpus_blocks = 1 + rows.count() * dims * 4 // block_bytes
-    request_blocks = 1 + wanted.count() * per_request // block_bytes
+            rows = rows.filter(F.col("_cell").isin(sorted({c for p in block.probes for c in p})))
+        if stored > seed_over:
+            block = replace(block, floors=_floors(rows, block, schema))
+        shared = corpus.sparkSession.sparkContext.broadcast(block)
+        return _merged(rows.mapInArrow(_score_partitions(lambda: shared.value, schema), schema))
+
+    corpus_blocks = 1 + stored * dims * 4 // block_bytes
+    request_blocks = 1 + asked * per_request // block_bytes
 
     def blocked(df: DataFrame, key: str, blocks: int, own: str, other: str, copies: int) -> DataFrame:
         mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own)

@@ -8,11 +8,13 @@ and no vector, and the other texts of its batch are not affected.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from vecspark.schema import EXTERNAL_SERVICE_ERROR, TASK_DOCUMENT
 
 RESULT = "struct<embedding: array<float>, error: string>"
 EMPTY = "Empty embedding response"
+HASH_ROWS = 1024  # texts summed up at a time, so that a batch never holds all its sums in double
 
 
 class Embedder(Protocol):
@@ -30,23 +33,14 @@ class Embedder(Protocol):
     def column(self, text: Column, task: str) -> Column: ...
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def token_codes(text: Column) -> Column:
-    """One integer per token: the first nine hexadecimal digits of its MD5."""
-    return F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
-
-
 class HashingEmbedder:
     """Offline embedder: signed feature hashing of the words of a text.
 
-    Eight digits of a token's code choose the bucket and the ninth its sign. Tokens are cut
-    and hashed in the JVM; Python only adds up the codes of a batch with numpy. There is no
-    shuffle, and a text's length affects only its own row. The model is lexical, so the
-    task does not change the vector.
+    A token is a lower-case run of letters and digits. Of its MD5, the first four bytes
+    choose the bucket and the next bit the sign. Each Arrow batch is cut into tokens, its
+    distinct tokens are hashed once, and the signs are added up with numpy. There is no
+    shuffle, and a text's length affects only its own row. The model is lexical, so the task
+    does not change the vector.
 
     ``normalize=False`` keeps whole-number weights: cosine similarity does not depend on the
     length, and sums of whole numbers are exact in any order.
@@ -60,31 +54,38 @@ class HashingEmbedder:
         dims, normalize = self.dims, self.normalize
 
         @F.arrow_udf(RESULT)
-        def add_up(codes: pa.Array) -> pa.Array:
-            parts = [_bucket_sums(codes.slice(i, 1024), dims, normalize) for i in range(0, len(codes), 1024)]
-            sums = np.concatenate(parts) if parts else np.zeros((0, dims), dtype=np.float32)
+        def hashed(texts: pa.Array) -> pa.Array:
+            sums = _bucket_sums(texts, dims)
+            if normalize:
+                length = np.sqrt(np.square(sums, dtype=np.float64).sum(axis=1, keepdims=True))
+                sums = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
             empty = ~sums.any(axis=1)
-            offsets = np.arange(len(codes) + 1, dtype=np.int32) * dims
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * dims
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()), mask=pa.array(empty))
-            errors = pa.array(np.full(len(codes), EMPTY), pa.string(), mask=~empty)
+            errors = pa.array(np.full(len(texts), EMPTY), pa.string(), mask=~empty)
             return pa.StructArray.from_arrays([vectors, errors], ["embedding", "error"])
 
         # Without this mark a filter on the result would run the function a second time.
-        codes = F.coalesce(token_codes(text), F.array().cast("array<bigint>"))
-        return add_up.asNondeterministic()(codes)
-
-
-def _bucket_sums(codes: pa.Array, dims: int, normalize: bool) -> np.ndarray:
-    counts = np.diff(codes.offsets.to_numpy())
-    values = codes.flatten().to_numpy()
-    row = np.repeat(np.arange(len(codes)), counts)
-    bucket = (values >> 4) % dims
-    sign = np.where(values & 8, -1.0, 1.0)
-    sums = np.bincount(row * dims + bucket, weights=sign, minlength=len(codes) * dims).reshape(-1, dims)
-    if normalize:
-        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        sums = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
-    return sums.astype(np.float32)
+        return hashed.asNondeterministic()(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _bucket_sums(texts: pa.Array, dims: int) -> np.ndarray:
+    """Sums of token signs per text and bucket; exact, as they are small whole numbers."""
+    tokens = pc.split_pattern_regex(texts, pattern=r"[^\pL\pN]+")
+    words = tokens.flatten().dictionary_encode()
+    distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    codes = np.frombuffer(b"".join([md5(w).digest()[:8] for w in distinct]), dtype=">u8")
+    bucket = ((codes >> np.uint64(32)) % np.uint64(dims)).astype(np.int64)
+    sign = np.where(codes & np.uint64(1 << 31), -1.0, 1.0)
+    sign[[w == b"" for w in distinct]] = 0.0
+    index, ends = words.indices.to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+    sums = np.empty((len(texts), dims), dtype=np.float32)
+    for i in range(0, len(texts), HASH_ROWS):
+        n = min(HASH_ROWS, len(texts) - i)
+        own = index[ends[i] : ends[i + n]]
+        row = np.repeat(np.arange(n) * dims, np.diff(ends[i : i + n + 1]))
+        sums[i : i + n] = np.bincount(row + bucket[own], weights=sign[own], minlength=n * dims).reshape(n, dims)
+    return sums
 
 
 class ModelEmbedder:

@@ -42,15 +42,23 @@ def topk_search(
     vector: str = "embedding",
     method: str = "arrow",
 ) -> DataFrame:
-    """The ``limit`` most similar rows, without their vectors.
+    """The ``limit`` most similar rows, most similar first, without their vectors.
 
-    Each task keeps its own best rows, so the sort never moves more than ``limit`` rows
-    per partition. The threshold is tested after the limit: the rows that pass are a
-    prefix of the ordered result, and testing it before would compute the similarity twice.
+    The ranking reads ids and vectors only, and each task keeps its own best rows, so no
+    more than ``limit`` small rows per partition are moved. The other columns are fetched
+    for the at most 100 results, which are sent to a second scan.
+
+    The threshold is tested after the limit: the rows that pass are a prefix of the ordered
+    result, and testing it before would compute the similarity twice.
     """
-    scored = with_similarity(corpus, query, vector, method).drop(vector)
-    best = scored.orderBy(F.col("similarity").desc_nulls_last(), F.col(id).asc()).limit(clamped(limit))
-    return best if threshold is None else threshold_filter(best, threshold)
+    order = [F.col("similarity").desc_nulls_last(), F.col(id).asc()]
+    n = clamped(limit)
+    scored = with_similarity(corpus.select(id, vector), query, vector, method).drop(vector)
+    best = threshold_filter(scored.orderBy(*order).limit(n), threshold)
+    others = corpus.drop(vector)
+    if others.columns == [id]:
+        return best
+    return others.join(F.broadcast(best), id).orderBy(*order).limit(n)
 
 
 def threshold_filter(scored: DataFrame, threshold: float | Column | None) -> DataFrame:

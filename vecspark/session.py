@@ -16,8 +16,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # A repeated key in a JSON body keeps its last value instead of failing the parse.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    # Array columns reach Python as Arrow batches bounded by bytes, not only by rows.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return spark
 
 
