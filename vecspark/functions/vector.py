@@ -32,11 +32,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _ratio(dots: Column, aa: Column, bb: Column) -> Column:
+    # NaN compares greater than every number, so it must not reach a threshold test.
+    return F.nanvl(F.try_divide(dots, F.sqrt(aa * bb)), F.lit(None).cast("double"))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of the angle, -1..1; NULL for zero-length or unequally long vectors."""
-    ratio = F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
-    # NaN compares greater than every number, so it must not reach a threshold test.
-    return F.nanvl(ratio, F.lit(None).cast("double"))
+    return _ratio(dot(a, b), dot(a, a), dot(b, b))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -48,6 +51,12 @@ def vector_literal(values: Sequence[float]) -> Column:
     return F.lit(np.asarray(values, dtype=np.float64))
 
 
+def similarity_to_native(vector: Column, query: Sequence[float]) -> Column:
+    """Similarity to one fixed query vector as a column expression; its length is computed once."""
+    q = np.asarray(query, dtype=np.float64)
+    return _ratio(dot(vector, vector_literal(q)), dot(vector, vector), F.lit(float(row_dots(q[None, :], q)[0])))
+
+
 # ---- Arrow form: the same left-to-right sums over a whole batch of vectors at once ----
 
 CHUNK_ROWS = 2048  # rows whose double-precision copy is held at a time

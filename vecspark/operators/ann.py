@@ -46,7 +46,10 @@ class Cells:
             order = np.full((len(vectors), n), NO_CELL, dtype=np.int32)
             for i in range(0, len(vectors), ASSIGN_ROWS):
                 unit, usable = unit_rows(arrow_matrix(vectors[i : i + ASSIGN_ROWS], centres.shape[1]))
-                nearest = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n]
+                away = -(unit @ centres.T)
+                nearest = np.argpartition(away, n - 1, axis=1)[:, :n]
+                by_distance = np.argsort(np.take_along_axis(away, nearest, axis=1), axis=1, kind="stable")
+                nearest = np.take_along_axis(nearest, by_distance, axis=1)
                 order[i : i + ASSIGN_ROWS] = np.where(usable[:, None], nearest, NO_CELL)
             offsets = np.arange(len(order) + 1, dtype=np.int32) * n
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel()))
@@ -77,18 +80,14 @@ def with_cell(corpus: DataFrame, cells: Cells, vector: str = "embedding") -> Dat
     return corpus.withColumn("cell", cells.nearest(F.col(vector))[0])
 
 
-def write_by_cell(corpus: DataFrame, cells: Cells, path: str, vector: str = "embedding", files_per_cell: int = 8) -> None:
-    """Store the corpus in one folder per cell, a full cell spread over several files."""
-    part = F.pmod(F.xxhash64(F.col("id")), F.lit(files_per_cell))
-    (
-        with_cell(corpus, cells, vector)
-        .withColumn("_part", part)
-        .repartition("cell", "_part")
-        .drop("_part")
-        .write.mode("overwrite")
-        .partitionBy("cell")
-        .parquet(path)
-    )
+def write_by_cell(corpus: DataFrame, cells: Cells, path: str, vector: str = "embedding") -> None:
+    """Store the corpus in one folder per cell.
+
+    The rebalance hint gathers the rows of a cell and splits a large cell into several
+    tasks, each writing a file of the advisory size.
+    """
+    by_cell = with_cell(corpus, cells, vector).hint("rebalance", F.col("cell"))
+    by_cell.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def read_by_cell(spark: SparkSession, path: str) -> DataFrame:

@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vecspark.functions.vector import arrow_matrix, cosines, row_dots
+from vecspark.operators.search import result_rank
 from vecspark.operators.validation import clamp_limit, effective_limit
 from vecspark.schema import MAX_LIMIT
 
@@ -33,7 +33,6 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20  # scores held at once by a task
 BATCH_ROWS = 4096  # corpus rows scored at once by a task
-MERGE_SLOTS = 32
 SEED_OVER_ROWS = 4_000_000
 SEED_TASKS = 64
 
@@ -208,14 +207,12 @@ class TopK:
         self.sims = np.concatenate([self.sims[~mine], sims])
         self.ids = np.concatenate([self.ids[~mine], ids])
 
-    def result(self, schema: pa.Schema, slot: int) -> pa.RecordBatch:
-        n = len(self.query)
+    def result(self, schema: pa.Schema) -> pa.RecordBatch:
         columns = [
             pa.array(self.block.ids[self.query], schema.field(0).type),
             pa.array([] if self.ids is None else self.ids, schema.field(1).type),
             pa.array(self.sims, pa.float64(), mask=np.isnan(self.sims)),
             pa.array(self.block.limits[self.query], pa.int32()),
-            pa.array(np.full(n, slot), pa.int32()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -228,15 +225,14 @@ def _score_partitions(block: Callable[[], RequestBlock], schema: T.StructType, t
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        if tasks is not None and task >= tasks:
+        if tasks is not None and TaskContext.get().partitionId() >= tasks:
             return
         best = TopK(block())
         for b in batches:
             if b.num_rows:
                 cells = b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None
                 best.add(b.column(0).to_numpy(zero_copy_only=False), b.column(1), cells)
-        yield best.result(arrow_schema, task % MERGE_SLOTS)
+        yield best.result(arrow_schema)
 
     return run
 
@@ -245,29 +241,21 @@ def _score_blocks(dims: int, schema: T.StructType):
     """A group function: one block of the corpus against one block of the requests."""
     arrow_schema = to_arrow_schema(schema)
 
-    def run(key: tuple, corpus: pa.Table, requests: pa.Table) -> pa.Table:
+    def run(corpus: pa.Table, requests: pa.Table) -> pa.Table:
         if not corpus.num_rows or not requests.num_rows:
             return arrow_schema.empty_table()
         best = TopK(RequestBlock.from_arrow(requests, dims))
         for b in corpus.to_batches():
             cells = b.column("_cell").to_numpy(zero_copy_only=False) if "_cell" in corpus.column_names else None
             best.add(b.column("_id").to_numpy(zero_copy_only=False), b.column("_vector"), cells)
-        slot = int(key[1].as_py()) % MERGE_SLOTS
-        return pa.Table.from_batches([best.result(arrow_schema, slot)])
+        return pa.Table.from_batches([best.result(arrow_schema)])
 
     return run
 
 
 def _merged(partial: DataFrame) -> DataFrame:
-    """Best rows per request over all tasks, in two steps so that no group grows with their number."""
-
-    def best(df: DataFrame, *keys: str) -> DataFrame:
-        order = W.partitionBy(*keys).orderBy(F.col("similarity").desc_nulls_last(), F.col("id").asc())
-        ranked = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_LIMIT)
-        return ranked.filter(F.col("rank") <= F.col("_limit"))
-
-    firsts = best(partial, "query_id", "_slot").drop("rank")
-    return best(firsts, "query_id").select("query_id", "rank", "id", "similarity")
+    """Best rows per request over all tasks."""
+    return result_rank(partial, limit="_limit").select("query_id", "rank", "id", "similarity")
 
 
 def _floors(rows: DataFrame, block: RequestBlock, schema: T.StructType) -> np.ndarray:
@@ -328,7 +316,6 @@ def batch_topk(
             T.StructField("id", rows.schema["_id"].dataType),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("_limit", T.IntegerType()),
-            T.StructField("_slot", T.IntegerType()),
         ]
     )
     # A task also holds a float32 copy and the best rows of each request.

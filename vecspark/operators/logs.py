@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROUTE = ("method", "path")
+ACCURACY = 10_000  # of the approximate quantiles: their rank is off by at most one row in so many
+MARGIN = 3 / ACCURACY
+PARTS = 1000
 
 
 def milliseconds(interval: Column) -> Column:
@@ -72,48 +75,51 @@ def percentile_by(df: DataFrame, keys: Sequence[str], value: str, p: float) -> D
     """Exact interpolated percentile per group, for groups of any size.
 
     Spark's ``percentile`` keeps every distinct value of a group in one task. Here values
-    are first counted, then cut at approximate quantiles just below and above ``p``. The
-    counts of the three parts say which part holds the wanted positions, and only values of
-    that part are put in order. The cut points decide how much is sorted, never the result.
+    are first counted. Approximate quantiles just below and above ``p`` cut them into those
+    below, those above, and a narrow middle of ``PARTS`` equal ranges. The counts per part
+    say which part holds the wanted positions, and only that part is put in order. The cuts
+    decide how much is sorted, never the result.
     """
     keys = list(keys)
     v = F.col(value)
     counts = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    margin = 0.002
-    marks = [max(0.0, p - margin), min(1.0, p + margin)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 10000).alias("_cuts"))
-    part = F.when(v < F.col("_cuts")[0], 0).when(v <= F.col("_cuts")[1], 1).otherwise(2)
-    cut = _same_keys(counts, cuts, keys).withColumn("_part", part).drop("_cuts")
-    sizes = cut.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(F.when(F.col("_part") == i, F.col("_n"))), F.lit(0)).alias(f"_s{i}") for i in range(3)]
+    marks = [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, marks, ACCURACY).alias("_cuts"))
+    low_cut, high_cut = F.col("_cuts")[0], F.col("_cuts")[1]
+    share = F.coalesce(F.try_divide(v - low_cut, high_cut - low_cut), F.lit(0.0))
+    part = (
+        F.when(v < low_cut, 0)
+        .when(v > high_cut, PARTS + 1)
+        .otherwise(1 + F.least(F.lit(PARTS - 1), F.floor(share * PARTS)))
+        .cast("int")
     )
-    position = (F.col("_s0") + F.col("_s1") + F.col("_s2") - 1) * F.lit(float(p))
-    sizes = sizes.select(*keys, "_s0", "_s1", position.alias("_position"))
+    parted = _same_keys(counts, cuts, keys).withColumn("_part", part).drop("_cuts")
+
+    sizes = parted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
+    upto = F.sum("_size").over(W.partitionBy(*keys).orderBy("_part"))
+    total = F.sum("_size").over(W.partitionBy(*keys))
+    sizes = sizes.withColumn("_end", upto).withColumn("_position", (total - 1) * F.lit(float(p)))
     low, high = F.floor("_position"), F.ceil("_position")
-    start = F.when(F.col("_part") == 0, F.lit(0)).when(F.col("_part") == 1, F.col("_s0")).otherwise(
-        F.col("_s0") + F.col("_s1")
-    )
 
-    def holds(pos):
-        after0, after1 = pos >= F.col("_s0"), pos >= F.col("_s0") + F.col("_s1")
-        return F.col("_part") == after0.cast("int") + after1.cast("int")
+    def within(position: Column) -> Column:
+        return (F.col("_begin") <= position) & (position < F.col("_end"))
 
-    near = _same_keys(cut, sizes, keys).filter(holds(low) | holds(high))
+    sizes = sizes.withColumn("_begin", F.col("_end") - F.col("_size")).filter(within(low) | within(high))
+    near = _same_keys(parted, sizes.select(*keys, "_part", "_begin", "_position"), [*keys, "_part"])
     running = F.sum("_n").over(W.partitionBy(*keys, "_part").orderBy(value))
-    near = near.withColumn("_end", start + running).withColumn("_begin", F.col("_end") - F.col("_n"))
+    near = near.withColumn("_end", F.col("_begin") + running).withColumn("_begin", F.col("_end") - F.col("_n"))
     ends = near.groupBy(*keys, "_position").agg(
-        F.max(F.when((F.col("_begin") <= low) & (low < F.col("_end")), v)).alias("_low"),
-        F.max(F.when((F.col("_begin") <= high) & (high < F.col("_end")), v)).alias("_high"),
+        F.max(F.when(within(low), v)).alias("_low"), F.max(F.when(within(high), v)).alias("_high")
     )
-    share = F.col("_position") - F.floor("_position")
-    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("percentile"))
+    rest = F.col("_position") - F.floor("_position")
+    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * rest).alias("percentile"))
 
 
 def latency_p95(logs: DataFrame, approximate: bool = False, p: float = 0.95) -> DataFrame:
     """95th percentile of the latency per route; ``approximate`` needs a single pass."""
     done = logs.filter(F.col("latencyMs").isNotNull())
     if approximate:
-        return done.groupBy(*ROUTE).agg(F.percentile_approx("latencyMs", p, 10000).alias("p95_ms"))
+        return done.groupBy(*ROUTE).agg(F.percentile_approx("latencyMs", p, ACCURACY).alias("p95_ms"))
     return percentile_by(done, ROUTE, "latencyMs", p).withColumnRenamed("percentile", "p95_ms")
 
 

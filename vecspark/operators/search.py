@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecspark.functions.vector import cosine_similarity, similarity_to, vector_literal
+from vecspark.functions.vector import similarity_to, similarity_to_native
 from vecspark.schema import DEFAULT_LIST_LIMIT, DEFAULT_SEARCH_LIMIT, MAX_LIMIT, MIN_LIMIT
 
 
+MERGE_SLOTS = 32
+
+
 def clamped(limit: int) -> int:
     return min(max(MIN_LIMIT, limit), MAX_LIMIT)
 
@@ -27,7 +30,7 @@ def with_similarity(
     if method == "arrow":
         score = similarity_to(F.col(vector), query)
     elif method == "native":
-        score = cosine_similarity(F.col(vector), vector_literal(query))
+        score = similarity_to_native(F.col(vector), query)
     else:
         raise ValueError(f"unknown method: {method}")
     return corpus.withColumn("similarity", score)
@@ -69,13 +72,22 @@ def threshold_filter(scored: DataFrame, threshold: float | Column | None) -> Dat
     return scored.filter(t.isNull() | (F.col("similarity") >= t))
 
 
-def result_rank(scored: DataFrame, query: str = "query_id", id: str = "id", top: int = MAX_LIMIT) -> DataFrame:
-    """1-based position of the best ``top`` results of each query.
+def result_rank(
+    scored: DataFrame, query: str = "query_id", id: str = "id", top: int = MAX_LIMIT, limit: str | None = None
+) -> DataFrame:
+    """1-based position of the best ``top`` results of each query, or of its own ``limit``.
 
-    The literal bound lets each task drop rows beyond it before the shuffle.
+    The literal bound lets each task drop rows beyond it before the shuffle. What is left of
+    a query that many tasks have rows of is first ranked in a few slots, then as a whole.
     """
-    order = W.partitionBy(query).orderBy(F.col("similarity").desc_nulls_last(), F.col(id).asc())
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+    def ranked(df: DataFrame, *keys: str) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy(F.col("similarity").desc_nulls_last(), F.col(id).asc())
+        best = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        return best if limit is None else best.filter(F.col("rank") <= F.col(limit))
+
+    slots = scored.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(MERGE_SLOTS)))
+    return ranked(ranked(slots, query, "_slot").drop("_slot", "rank"), query)
 
 
 def recent_documents(

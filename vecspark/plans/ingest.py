@@ -47,6 +47,7 @@ def index_documents(
     table: str,
     quarantine_table: str,
     created_at: Column | None = None,
+    stored_since: Column | None = None,
 ) -> DataFrame:
     """Ingest (request_id, content, metadata) or (request_id, body) rows into a corpus table.
 
@@ -54,6 +55,9 @@ def index_documents(
     request's id follows from its request id: running the same batch again adds nothing.
     Rows whose id is stored are dropped before the embedding, the expensive step, and the
     embedded batch is written once and read from there.
+
+    ``stored_since`` limits the look at stored ids to rows created from then on, which lets
+    the scan skip older row groups: for streams, whose batches are only repeated soon after.
     """
     spark = configure(requests.sparkSession)
     checked = check_bodies(requests) if "body" in requests.columns else check_contents(requests)
@@ -62,7 +66,10 @@ def index_documents(
         checked = checked.withColumn("_created_at", created_at)
     checked = checked.select("request_id", "content", "metadata", *extra, *ERROR_COLUMNS)
     keyed = checked.withColumn("id", keyed_uuid(F.col("request_id")))
-    fresh = new_rows(keyed, read_corpus(spark, table).select("id"))
+    stored = read_corpus(spark, table)
+    if stored_since is not None:
+        stored = stored.filter(F.col("created_at") >= stored_since)
+    fresh = new_rows(keyed, stored.select("id"))
     staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
 
     staging = run_folder(spark, "staged")

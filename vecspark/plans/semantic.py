@@ -16,6 +16,8 @@ from vecspark.operators.validation import ERROR_COLUMNS, effective_limit, limit_
 from vecspark.schema import TASK_QUERY
 from vecspark.session import configure, run_folder
 
+BROADCAST_RESULTS = 500_000
+
 
 @dataclass(frozen=True)
 class SearchOutcome:
@@ -28,10 +30,12 @@ class SearchOutcome:
     def envelope(self, corpus: DataFrame, columns: tuple[str, ...] = ("content", "metadata", "created_at")) -> DataFrame:
         """One row per accepted request with its count and results, with the corpus columns.
 
-        The results are far fewer than the corpus rows, so the corpus is read once more for
-        these columns only.
+        The corpus is read once more for these columns only. Unless there are very many
+        requests, their results are sent to that scan and the corpus is not shuffled.
         """
-        found = self.ranked.join(corpus.select("id", *columns), "id")
+        most = self.requests.agg(F.sum("limit")).first()[0] or 0
+        ranked = F.broadcast(self.ranked) if most <= BROADCAST_RESULTS else self.ranked
+        found = corpus.select("id", *columns).join(ranked, "id")
         return search_envelope(
             self.requests.select("query_id", "query"), found, ("id", "similarity", *columns)
         )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,14 @@ def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Name each line by its file split and its position there."""
     seen: Counter[str] = Counter()
     for b in batches:
-        names = []
-        for split in b.column(0).to_pylist():
-            names.append(f"{split}#{seen[split]}")
-            seen[split] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column(1)], ["request_id", "body"])
+        splits = b.column(0).dictionary_encode()
+        which, position = splits.indices.to_numpy(), np.zeros(b.num_rows, dtype=np.int64)
+        for i, name in enumerate(splits.dictionary.to_pylist()):
+            own = np.flatnonzero(which == i)
+            position[own] = seen[name] + np.arange(len(own))
+            seen[name] += len(own)
+        names = pc.binary_join_element_wise(b.column(0), pa.array(position).cast(pa.string()), "#")
+        yield pa.RecordBatch.from_arrays([names, b.column(1)], ["request_id", "body"])
 
 
 def _requests(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.schema import DOCUMENT
+from vecspark.session import run_folder
 
 LISTED = ("id", "content", "metadata", "created_at")
 BROADCAST_KEYS = 500_000
@@ -42,9 +43,12 @@ def utc_now() -> Column:
 def one_per_key(staged: DataFrame, key: str = "id") -> DataFrame:
     """One row per key, the same one on every run.
 
-    The minimum is taken in each task first, so a key with very many copies does not fill
-    one task.
+    Whether any key repeats is found on the keys alone. Only then are whole rows shuffled,
+    and the minimum is taken in each task first, so a key with very many copies does not
+    fill one task.
     """
+    if staged.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty():
+        return staged
     others = [c for c in staged.columns if c != key]
     if not others:
         return staged.distinct()
@@ -56,27 +60,34 @@ def new_rows(
 ) -> DataFrame:
     """Staged rows whose key is not stored yet, one per key.
 
-    A small batch is sent to the stored table, whose key column is then only scanned and
-    not shuffled; a large one is joined by key.
+    The keys present on both sides are found first, from the two key columns. If the batch
+    is small its keys are sent to the stored table, which is then scanned and not shuffled.
+    If few keys are present on both sides, the staged rows are not shuffled either.
     """
-    batch = one_per_key(staged, key)
-    keys = staged.select(key)
-    if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        present = stored.select(key).join(F.broadcast(keys.distinct()), key, "left_semi").distinct()
+    batch, keys, known = one_per_key(staged, key), staged.select(key), stored.select(key)
+    if keys.count() <= broadcast_keys:
+        present = known.join(F.broadcast(keys.distinct()), key, "left_semi").distinct()
         return batch.join(F.broadcast(present), key, "left_anti")
-    return batch.join(stored.select(key), key, "left_anti")
+    folder = run_folder(staged.sparkSession, "present")
+    known.join(keys, key, "left_semi").distinct().write.parquet(folder)
+    present = staged.sparkSession.read.schema(known.schema).parquet(folder)
+    if present.count() <= broadcast_keys:
+        present = F.broadcast(present)
+    return batch.join(present, key, "left_anti")
 
 
 def corpus_append(staged: DataFrame, path: str, key: str = "id") -> DataFrame:
     """Append the rows with new keys and return them without their vectors.
 
-    The returned rows are read back by key from the table, so nothing is computed twice.
+    The new rows are written once and read from there, so that nothing is computed twice
+    and the rows returned are the rows stored.
     """
     spark = staged.sparkSession
-    before = read_corpus(spark, path)
-    keys = staged.select(key).distinct()
-    new_rows(staged, before, key).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(keys, key, "left_semi").drop("embedding")
+    folder = run_folder(spark, "appended")
+    new_rows(staged, read_corpus(spark, path), key).write.parquet(folder)
+    added = spark.read.schema(staged.schema).parquet(folder)
+    added.write.mode("append").parquet(path)
+    return added.drop("embedding")
 
 
 # ---- schema evolution on plain parquet ----

@@ -9,20 +9,27 @@ from pyspark.sql.streaming import DataStreamWriter
 from vecspark.operators.embed import Embedder
 from vecspark.plans.ingest import index_documents
 from vecspark.plans.semantic import semantic_search
-from vecspark.sources.corpus import read_corpus
+from vecspark.sources.corpus import read_corpus, utc_now
 
 
 def stream_ingest(
-    requests: DataFrame, embedder: Embedder, table: str, quarantine_table: str, checkpoint: str
+    requests: DataFrame,
+    embedder: Embedder,
+    table: str,
+    quarantine_table: str,
+    checkpoint: str,
+    lookback: str | None = None,
 ) -> DataStreamWriter:
     """Ingest a stream of create requests.
 
     Ids follow from request ids and stored ids are skipped, so a batch that is run again
-    after a failure adds nothing.
+    after a failure adds nothing. ``lookback``, such as ``7 days``, bounds how old the
+    stored rows are that each batch is compared with.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        index_documents(batch, embedder, table, quarantine_table)
+        since = None if lookback is None else utc_now() - F.expr(f"INTERVAL {lookback}")
+        index_documents(batch, embedder, table, quarantine_table, stored_since=since)
 
     return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
