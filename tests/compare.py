@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -65,7 +67,10 @@ def main() -> None:
     from tests.conftest import session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = session()
+    if os.environ.get("PLAIN"):
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = session()
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0

@@ -84,9 +84,10 @@ def _number_issues(kind: Column, n: Column, low: int, high: int, whole: bool) ->
     return _issues(*checks)
 
 
-def _parsed(df: DataFrame, body: str) -> DataFrame:
-    out = df.withColumn("_body", json_variant(F.col(body)))
-    return out.withColumn("_kind", json_type(F.col("_body")))
+def _parsed(df: DataFrame, body: str, fields: list[str]) -> DataFrame:
+    """Add the body as a variant, its type, and the type of each field."""
+    out = df.withColumn("_body", json_variant(F.col(body))).withColumn("_kind", json_type(F.col("_body")))
+    return out.withColumns({f"_{f}_kind": json_type(_field(f)) for f in fields})
 
 
 def _field(name: str) -> Column:
@@ -94,33 +95,30 @@ def _field(name: str) -> Column:
     return F.when(F.col("_kind") == "object", F.try_variant_get("_body", f"$.{name}", "variant"))
 
 
-def _with_body_errors(df: DataFrame, fields: list[str]) -> DataFrame:
+def _value(name: str, kind: str, type: str) -> Column:
+    """The field's value if its JSON type is ``kind``."""
+    return F.when(F.col(f"_{name}_kind") == kind, F.try_variant_get("_body", f"$.{name}", type))
+
+
+def _with_body_errors(df: DataFrame, issues: dict[str, Column]) -> DataFrame:
     """Body errors in order: bad JSON, wrong root type, then the first field with issues.
 
     ``field_errors`` keeps all messages, grouped by field.
     """
-    root = F.when(F.col("_kind") != "object", F.array(_type_error(F.col("_kind"), "object")))
     is_object = F.coalesce(F.col("_kind") == "object", F.lit(False))
-    first = F.lit(None).cast("string")
-    broken = F.lit(False)
-    for name in reversed(fields):
-        has = is_object & (F.size(F.col(f"_{name}_issues")) > 0)
-        first = F.when(has, F.lit(name)).otherwise(first)
-        broken = broken | has
-    grouped = [
-        F.when(is_object & (F.size(F.col(f"_{n}_issues")) > 0), F.col(f"_{n}_issues")).alias(n) for n in fields
-    ]
-    out = df.withColumn("form_errors", root).withColumn("field_errors", F.struct(*grouped))
-    out = out.withColumn("_first", first).withColumn("_broken", broken)
-    out = with_errors(
-        out,
-        [
-            Rule(F.col("_kind").isNull(), INVALID_JSON, "body"),
-            Rule(~is_object, INVALID_BODY, "body"),
-            *[Rule(F.col("_broken") & (F.col("_first") == n), INVALID_BODY, n) for n in fields],
-        ],
+    found = {n: F.when(is_object & (F.size(c) > 0), c) for n, c in issues.items()}
+    out = df.withColumns(
+        {
+            "form_errors": F.when(~is_object & F.col("_kind").isNotNull(), F.array(_type_error(F.col("_kind"), "object"))),
+            "field_errors": F.struct(*[c.alias(n) for n, c in found.items()]),
+        }
     )
-    return out
+    rules = [
+        Rule(F.col("_kind").isNull(), INVALID_JSON, "body"),
+        Rule(~is_object, INVALID_BODY, "body"),
+        *[Rule(F.col("field_errors")[n].isNotNull(), INVALID_BODY, n) for n in issues],
+    ]
+    return with_errors(out, rules)
 
 
 def _drop_scratch(df: DataFrame) -> DataFrame:
@@ -132,65 +130,50 @@ def parse_create_requests(df: DataFrame, body: str = "body") -> DataFrame:
 
     The raw content must have 1..8000 UTF-16 units, then the trimmed content must too.
     """
-    out = _parsed(df, body)
-    out = out.withColumn("_content_kind", json_type(_field("content")))
-    out = out.withColumn("_metadata_kind", json_type(_field("metadata")))
-    out = out.withColumn(
-        "content", F.when(F.col("_content_kind") == "string", F.try_variant_get("_body", "$.content", "string"))
-    )
-    out = out.withColumn(
-        "metadata",
-        F.when(F.col("_metadata_kind") == "object", F.to_json(F.try_variant_get("_body", "$.metadata", "variant"))),
+    out = _parsed(df, body, ["content", "metadata"]).withColumns(
+        {
+            "content": _value("content", "string", "string"),
+            "metadata": F.to_json(_value("metadata", "object", "variant")),
+        }
     )
     meta_kind = F.col("_metadata_kind")
-    out = out.withColumn("_content_issues", _text_issues(F.col("_content_kind"), F.col("content")))
-    out = out.withColumn(
-        "_metadata_issues",
-        _issues((meta_kind.isNotNull() & (meta_kind != "object"), _type_error(meta_kind, "object"))),
-    )
-    out = _with_body_errors(out, ["content", "metadata"])
+    issues = {
+        "content": _text_issues(F.col("_content_kind"), F.col("content")),
+        "metadata": _issues((meta_kind.isNotNull() & (meta_kind != "object"), _type_error(meta_kind, "object"))),
+    }
+    out = _with_body_errors(out, issues)
     return _drop_scratch(with_errors(out, text_rules(F.col("content"), "content")))
 
 
 def parse_search_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """Bodies of search requests: adds query, query_text (trimmed by the search), limit, threshold, errors."""
-    out = _parsed(df, body)
-    for name in ("query", "limit", "threshold"):
-        out = out.withColumn(f"_{name}_kind", json_type(_field(name)))
-    out = out.withColumn(
-        "query", F.when(F.col("_query_kind") == "string", F.try_variant_get("_body", "$.query", "string"))
-    )
-    for name in ("limit", "threshold"):
-        number = F.when(F.col(f"_{name}_kind") == "number", F.try_variant_get("_body", f"$.{name}", "double"))
-        out = out.withColumn(f"_{name}", number)
-    out = out.withColumn("_query_issues", _text_issues(F.col("_query_kind"), F.col("query")))
-    out = out.withColumn(
-        "_limit_issues", _number_issues(F.col("_limit_kind"), F.col("_limit"), MIN_LIMIT, MAX_LIMIT, whole=True)
-    )
-    out = out.withColumn(
-        "_threshold_issues", _number_issues(F.col("_threshold_kind"), F.col("_threshold"), 0, 1, whole=False)
+    """Bodies of search requests: adds query, limit, threshold and the errors."""
+    out = _parsed(df, body, ["query", "limit", "threshold"]).withColumns(
+        {
+            "query": _value("query", "string", "string"),
+            "_limit": _value("limit", "number", "double"),
+            "_threshold": _value("threshold", "number", "double"),
+        }
     )
-    out = _with_body_errors(out, ["query", "limit", "threshold"])
+    issues = {
+        "query": _text_issues(F.col("_query_kind"), F.col("query")),
+        "limit": _number_issues(F.col("_limit_kind"), F.col("_limit"), MIN_LIMIT, MAX_LIMIT, whole=True),
+        "threshold": _number_issues(F.col("_threshold_kind"), F.col("_threshold"), 0, 1, whole=False),
+    }
+    out = _with_body_errors(out, issues)
     accepted = F.col("error_code").isNull()
-    out = out.withColumn(
-        "limit",
-        F.when(accepted, F.coalesce(F.col("_limit"), F.lit(float(DEFAULT_SEARCH_LIMIT))).cast("int")),
-    ).withColumn("threshold", F.when(accepted, F.col("_threshold")))
+    limit = F.coalesce(F.col("_limit"), F.lit(float(DEFAULT_SEARCH_LIMIT))).cast("int")
+    out = out.withColumns({"limit": F.when(accepted, limit), "threshold": F.when(accepted, F.col("_threshold"))})
     return _drop_scratch(with_errors(out, text_rules(F.col("query"), "query")))
 
 
 def parse_list_requests(df: DataFrame, limit_text: str = "limit_text") -> DataFrame:
     """Query-string limits of list requests: adds limit and the errors."""
+    n = F.col("_n")
+    kind = F.when(F.isnan(n), "nan").when(n.isNotNull(), "number")
     out = df.withColumn("_n", js_number(F.col(limit_text)))
-    kind = F.when(F.col("_n").isNull(), F.lit(None).cast("string")).when(F.isnan("_n"), "nan").otherwise("number")
-    out = out.withColumn("_limit_kind", kind)
-    out = out.withColumn(
-        "_limit_issues", _number_issues(F.col("_limit_kind"), F.col("_n"), MIN_LIMIT, MAX_LIMIT, whole=True)
-    )
-    out = out.withColumn("field_errors", F.struct(F.when(F.size("_limit_issues") > 0, F.col("_limit_issues")).alias("limit")))
-    out = with_errors(out, [Rule(F.size("_limit_issues") > 0, INVALID_PARAMETERS, "limit")])
-    out = out.withColumn(
-        "limit",
-        F.when(F.col("error_code").isNull(), F.coalesce(F.col("_n"), F.lit(float(DEFAULT_LIST_LIMIT))).cast("int")),
-    )
-    return _drop_scratch(out)
+    out = out.withColumn("_issues", _number_issues(kind, n, MIN_LIMIT, MAX_LIMIT, whole=True))
+    found = F.when(F.size("_issues") > 0, F.col("_issues"))
+    out = out.withColumn("field_errors", F.struct(found.alias("limit")))
+    out = with_errors(out, [Rule(F.size("_issues") > 0, INVALID_PARAMETERS, "limit")])
+    limit = F.coalesce(n, F.lit(float(DEFAULT_LIST_LIMIT))).cast("int")
+    return _drop_scratch(out.withColumn("limit", F.when(F.col("error_code").isNull(), limit)))

@@ -46,14 +46,13 @@ def with_errors(df: DataFrame, rules: list[Rule]) -> DataFrame:
         hit = F.coalesce(r.broken, F.lit(False))
         error = F.when(hit, value) if error is None else error.when(hit, value)
     had_error = "error_code" in df.columns
-    out = df.withColumn("_error", error)
-    for name in ERROR_COLUMNS:
+
+    def column(name: str) -> Column:
         new = F.col("_error")[name]
-        if had_error:
-            new = F.when(F.col("error_code").isNotNull(), F.col(name)).otherwise(new)
-        out = out.withColumn(f"_{name}", new)
-    out = out.drop("_error", *ERROR_COLUMNS)
-    return out.withColumnsRenamed({f"_{name}": name for name in ERROR_COLUMNS})
+        return (F.when(F.col("error_code").isNull(), new).otherwise(F.col(name)) if had_error else new).alias(name)
+
+    kept = [c for c in df.columns if c not in ERROR_COLUMNS]
+    return df.withColumn("_error", error).select(*kept, *[column(n) for n in ERROR_COLUMNS])
 
 
 def valid(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import display, ids, text, vector
 from vecspark.operators.inspection import corpus_columns, corpus_count, corpus_health
-from vecspark.operators.search import topk_search, with_similarity
+from vecspark.operators.search import with_similarity
 from vecspark.plans import views
 from vecspark.plans.registry import query
 from vecspark.sources.corpus import (
@@ -242,7 +242,7 @@ def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
        (4, 'source', 'string'), (5, 'n_chars', 'bigint')) AS t(ordinal_position, column_name, data_type)""",
 )
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_columns(views.table(spark, sf_dir, "documents")).drop("nullable")
+    return corpus_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("nullable")
 
 
 @query(

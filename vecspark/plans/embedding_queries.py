@@ -15,7 +15,7 @@ from vecspark.plans.ingest import index_documents
 from vecspark.plans.registry import query
 from vecspark.plans.semantic import semantic_search
 from vecspark.schema import TASK_DOCUMENT, TASK_QUERY
-from vecspark.session import run_folder
+from vecspark.session import run_folder, spread
 
 DIMS = 256
 WORDS = HashingEmbedder(DIMS, normalize=False)
@@ -29,7 +29,7 @@ _TRIMMED = f"trim(text, '{JS_WHITESPACE}')"
 def _embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-number weights of every document, one row per non-zero bucket."""
     texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    long = embed_weights(embed_texts(texts, WORDS, "text", task=TASK_DOCUMENT), "id")
+    long = embed_weights(embed_texts(spread(texts, "id"), WORDS, "text", task=TASK_DOCUMENT), "id")
     return long.select("id", F.col("bucket").cast("bigint").alias("bucket"), F.col("weight").cast("bigint").alias("weight"))
 
 

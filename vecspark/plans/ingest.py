@@ -11,7 +11,7 @@ from vecspark.operators.embed import Embedder, embed_texts, with_embed_errors
 from vecspark.operators.requests import parse_create_requests
 from vecspark.operators.validation import ERROR_COLUMNS, text_rules, with_errors
 from vecspark.schema import TASK_DOCUMENT
-from vecspark.session import configure, run_folder
+from vecspark.session import configure, run_folder, spread
 from vecspark.sources.corpus import new_rows, read_corpus, utc_now
 
 STORED = ("id", "content", "embedding", "metadata", "created_at")
@@ -70,6 +70,7 @@ def index_documents(
     if stored_since is not None:
         stored = stored.filter(F.col("created_at") >= stored_since)
     fresh = new_rows(keyed, stored.select("id"))
+    fresh = spread(fresh, "id", keyed.count())
     staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
 
     staging = run_folder(spark, "staged")

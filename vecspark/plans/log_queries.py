@@ -47,11 +47,14 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "request_lines",
     f"""WITH {views.REQUEST_LOG}
-    SELECT time, level, msg, method, path FROM logs WHERE request_id = '7'""",
+    SELECT time, level, msg, method, path FROM logs
+    WHERE request_id = (SELECT request_id FROM ended ORDER BY latency DESC, request_id LIMIT 1)""",
 )
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of one request."""
-    return L.request_lines(_logs(spark, sf_dir), "7").select("time", "level", "msg", "method", "path")
+    """All lines of one request, the slowest."""
+    logs = _logs(spark, sf_dir)
+    slowest = logs.filter(F.col("latencyMs").isNotNull()).orderBy(F.desc("latencyMs"), "requestId").first()["requestId"]
+    return L.request_lines(logs, slowest).select("time", "level", "msg", "method", "path")
 
 
 @query(

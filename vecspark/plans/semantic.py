@@ -14,7 +14,7 @@ from vecspark.operators.envelope import search_envelope
 from vecspark.operators.requests import parse_search_requests
 from vecspark.operators.validation import ERROR_COLUMNS, effective_limit, limit_rule, text_rules, threshold_rule, with_errors
 from vecspark.schema import TASK_QUERY
-from vecspark.session import configure, run_folder
+from vecspark.session import configure, run_folder, spread
 
 BROADCAST_RESULTS = 500_000
 
@@ -62,7 +62,7 @@ def semantic_search(
     checked = parse_search_requests(requests) if "body" in requests.columns else check_searches(requests)
     accepted = F.col("error_code").isNull()
     text = F.when(accepted, trim_text(F.col("query"))).alias("query_text")
-    checked = checked.select("query_id", "query", text, "limit", "threshold", *ERROR_COLUMNS)
+    checked = spread(checked, "query_id", requests.count()).select("query_id", "query", text, "limit", "threshold", *ERROR_COLUMNS)
     embedded = with_embed_errors(
         embed_texts(checked, embedder, "query_text", "query_embedding", TASK_QUERY), embedder, "query_embedding"
     )

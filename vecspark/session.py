@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SMALL_BATCH_ROWS = 500_000
+
+_local_roots: dict[str, str] = {}  # runs in one process, where no folder has been named
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the SQL options whose value changes results. Safe to call repeatedly."""
-    # Stored times are UTC.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set the one SQL option that changes results. Safe to call repeatedly."""
     # A repeated key in a JSON body keeps its last value instead of failing the parse.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
@@ -24,13 +25,25 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+        _local_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _local_roots[app]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared root for one run's tables."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """A small batch over all task slots, ahead of a step that is costly per row.
+
+    A small batch often comes in one file and so in one task. A large one has many tasks
+    already and is left as it is: a shuffle of all its texts would gain nothing.
+    """
+    if (df.count() if rows is None else rows) > SMALL_BATCH_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
