@@ -93,7 +93,7 @@ def test_floors_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr("vecspark.operators.batch_search.SEED_TASKS", 2)
     corpus, requests = awkward()
     c, r = frames(spark, corpus, requests, 8)
-    assert rows(batch_topk(c, r, DIMS, seed_over=0)) == expected(corpus, requests)
+    assert rows(batch_topk(c, r, DIMS, seed_over_bytes=0)) == expected(corpus, requests)
 
 
 def test_small_steps_give_the_same_rows(spark, monkeypatch):

@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators.embed import HashingEmbedder, ModelEmbedder
+from vecspark.operators.search import topk_search
 from vecspark.plans.ingest import index_documents
 from vecspark.plans.semantic import semantic_search
+from vecspark.schema import DOCUMENT, SEARCH_RESULT
 from vecspark.session import run_folder
 from vecspark.sources.bodies import bodies_table, read_bodies, stream_bodies
-from vecspark.sources.corpus import read_corpus
+from vecspark.sources.corpus import read_corpus, utc_now
 from vecspark.streaming.jobs import latest_metrics, request_metrics, stream_ingest, stream_request_metrics, stream_search
 
 WORDS = HashingEmbedder(128, normalize=False)
@@ -55,6 +57,16 @@ def test_a_repeated_batch_adds_nothing_and_equal_texts_are_two_documents(spark,
     assert spark.read.parquet(tables[0]).count() == 4
 
 
+def test_rows_older_than_the_lookback_are_not_compared(spark, tables):
+    requests = bodies(spark, {"content": "same"})
+    index_documents(requests, WORDS, *tables)
+    hour = F.expr("INTERVAL 1 HOUR")
+    index_documents(requests, WORDS, *tables, stored_since=utc_now() - hour)
+    assert spark.read.parquet(tables[0]).count() == 1
+    index_documents(requests, WORDS, *tables, stored_since=utc_now() + hour)
+    assert spark.read.parquet(tables[0]).count() == 2
+
+
 def test_a_failing_model_stores_nothing_for_its_texts(spark, tables):
     def load():
         def embed(texts, task):
@@ -88,6 +100,14 @@ def test_search_finds_a_documents_own_text_first(spark, sf, tables):
     assert first.filter(F.col("content") == F.col("query")).count() > 0.95 * corpus.count()
 
 
+def test_stored_rows_and_results_have_the_declared_columns(spark, tables):
+    index_documents(bodies(spark, {"content": "a b"}, {"content": "c d"}), WORDS, *tables)
+    corpus = spark.read.parquet(tables[0])
+    assert {f.name: f.dataType for f in corpus.schema} == {f.name: f.dataType for f in DOCUMENT}
+    found = topk_search(corpus, corpus.first()["embedding"])
+    assert {f.name: f.dataType for f in found.schema} == {f.name: f.dataType for f in SEARCH_RESULT}
+
+
 def test_search_answers_and_refusals(spark, tables):
     index_documents(bodies(spark, {"content": "brown fox"}, {"content": "lazy dog"}, {"content": "brown dog"}), WORDS, *tables)
     corpus = spark.read.parquet(tables[0])
@@ -121,6 +141,7 @@ def test_stream_ingest_equals_batch_and_replay_adds_nothing(spark, tables, tmp_p
     # A lost checkpoint replays everything.
     run(stream_ingest(requests, WORDS, *tables, str(tmp_path / "fresh")))
     assert spark.read.parquet(tables[0]).count() == 30
+    assert spark.read.parquet(tables[1]).count() == 3
     other = run_folder(spark, "batch")
     index_documents(read_bodies(spark, str(source)), WORDS, f"{other}/corpus", f"{other}/refused")
     batch = spark.read.parquet(f"{other}/corpus")

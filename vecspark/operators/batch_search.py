@@ -33,8 +33,8 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20  # scores held at once by a task
 BATCH_ROWS = 4096  # corpus rows scored at once by a task
-SEED_OVER_ROWS = 4_000_000
 SEED_TASKS = 64
+SEED_OVER_BYTES = 128 << 30  # of vectors: well over a thousand scan tasks
 
 
 @dataclass
@@ -192,7 +192,7 @@ class TopK:
         query = np.concatenate([self.query[mine], query])
         sims = np.concatenate([self.sims[mine], sims])
         ids = np.concatenate([self.ids[mine], ids])
-        _, id_order = np.unique(ids, return_inverse=True)
+        id_order = ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1]
         order = np.lexsort((id_order, np.where(np.isnan(sims), np.inf, -sims), query))
         query, sims, ids = query[order], sims[order], ids[order]
         place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
@@ -286,14 +286,14 @@ def batch_topk(
     probes: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
-    seed_over: int = SEED_OVER_ROWS,
+    seed_over_bytes: int = SEED_OVER_BYTES,
 ) -> DataFrame:
     """(query_id, rank, id, similarity) of each request's best rows.
 
     Requests that fit in ``broadcast_bytes`` are sent to the tasks that scan the corpus,
-    which is then read once and not shuffled; a corpus of more than ``seed_over`` rows is
-    searched in a few tasks first, so that all other tasks hand on only rows that may beat
-    those results. Larger request tables and the corpus are both cut into blocks of bounded
+    which is then read once and not shuffled; a corpus with more than ``seed_over_bytes``
+    of vectors is searched in a few tasks first, so that all other tasks hand on only rows
+    that may beat those results. Larger request tables and the corpus are both cut into blocks of bounded
     size, and each pair of blocks is one group.
 
     With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes.
@@ -326,7 +326,7 @@ def batch_topk(
         if cell and probes:
             # Cells no request looks into are not read when the corpus is stored by cell.
             rows = rows.filter(F.col("_cell").isin(sorted({c for p in block.probes for c in p})))
-        if stored > seed_over:
+        if stored * dims * 4 > seed_over_bytes:
             block = replace(block, floors=_floors(rows, block, schema))
         shared = corpus.sparkSession.sparkContext.broadcast(block)
         return _merged(rows.mapInArrow(_score_partitions(lambda: shared.value, schema), schema))

@@ -117,7 +117,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_folder(spark, "index")
     for _ in range(2):
         index_documents(document_requests(spark, sf_dir), WORDS, f"{run}/corpus", f"{run}/refused", F.col("created_at"))
-    return outcomes(spark, f"{run}/corpus", f"{run}/refused").distinct()
+    return outcomes(spark, f"{run}/corpus", f"{run}/refused")
 
 
 def indexed_documents(spark: SparkSession, sf_dir: str) -> str:

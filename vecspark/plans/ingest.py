@@ -52,7 +52,8 @@ def index_documents(
     """Ingest (request_id, content, metadata) or (request_id, body) rows into a corpus table.
 
     Returns one outcome row per request that is new to the table, without vectors. A
-    request's id follows from its request id: running the same batch again adds nothing.
+    request's id follows from its request id: running the same batch again adds nothing to
+    either table. A refused request is tried again when it comes again.
     Rows whose id is stored are dropped before the embedding, the expensive step, and the
     embedded batch is written once and read from there.
 
@@ -66,10 +67,12 @@ def index_documents(
         checked = checked.withColumn("_created_at", created_at)
     checked = checked.select("request_id", "content", "metadata", *extra, *ERROR_COLUMNS)
     keyed = checked.withColumn("id", keyed_uuid(F.col("request_id")))
-    stored = read_corpus(spark, table)
-    if stored_since is not None:
-        stored = stored.filter(F.col("created_at") >= stored_since)
-    fresh = new_rows(keyed, stored.select("id"))
+
+    def known_ids(path: str) -> DataFrame:
+        rows = read_corpus(spark, path)
+        return (rows if stored_since is None else rows.filter(F.col("created_at") >= stored_since)).select("id")
+
+    fresh = new_rows(keyed, known_ids(table))
     fresh = spread(fresh, "id", keyed.count())
     staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
 
@@ -79,5 +82,5 @@ def index_documents(
     good = staged.filter(F.col("error_code").isNull())
     good.select(*STORED).write.mode("append").parquet(table)
     bad = staged.filter(F.col("error_code").isNotNull()).drop("embedding")
-    bad.write.mode("append").parquet(quarantine_table)
+    new_rows(bad, known_ids(quarantine_table)).write.mode("append").parquet(quarantine_table)
     return staged.withColumn("embedding_dim", F.size("embedding")).drop("embedding")

@@ -32,15 +32,6 @@ DOCUMENT = T.StructType(
     ]
 )
 
-SEARCH_REQUEST = T.StructType(
-    [
-        T.StructField("query_id", T.StringType(), False),
-        T.StructField("query", T.StringType(), True),
-        T.StructField("limit", T.DoubleType(), True),
-        T.StructField("threshold", T.DoubleType(), True),
-    ]
-)
-
 SEARCH_RESULT = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
