@@ -103,9 +103,9 @@ def test_search_finds_a_documents_own_text_first(spark, sf, tables):
 def test_stored_rows_and_results_have_the_declared_columns(spark, tables):
     index_documents(bodies(spark, {"content": "a b"}, {"content": "c d"}), WORDS, *tables)
     corpus = spark.read.parquet(tables[0])
-    assert {f.name: f.dataType for f in corpus.schema} == {f.name: f.dataType for f in DOCUMENT}
+    assert dict(corpus.dtypes) == {f.name: f.dataType.simpleString() for f in DOCUMENT}
     found = topk_search(corpus, corpus.first()["embedding"])
-    assert {f.name: f.dataType for f in found.schema} == {f.name: f.dataType for f in SEARCH_RESULT}
+    assert dict(found.dtypes) == {f.name: f.dataType.simpleString() for f in SEARCH_RESULT}
 
 
 def test_search_answers_and_refusals(spark, tables):
