@@ -89,3 +89,22 @@ def test_health_and_columns(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_task_functions_carry_their_code(tmp_path):
+    """An executor has no copy of this package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from vecspark.functions.vector import row_dots
+    from vecspark.operators.batch_search import RequestBlock, TopK
+    from vecspark.operators.embed import _bucket_sums, _embed_batch
+    from vecspark.sources.bodies import _number_lines
+
+    (tmp_path / "code").write_bytes(cloudpickle.dumps([row_dots, RequestBlock, TopK, _bucket_sums, _embed_batch, _number_lines]))
+    check = "import pickle, sys; pickle.load(open('code', 'rb')); assert not any(m.startswith('vecspark') for m in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env=env, check=True)

@@ -13,13 +13,14 @@ therefore do not depend on how the corpus is partitioned, also with any number o
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,6 +62,10 @@ class RequestBlock:
             probes=t["_probes"].to_pylist() if "_probes" in t.column_names else None,
         )
 
+    def share(self, spark: SparkSession) -> Broadcast:
+        """The arrays as a broadcast variable."""
+        return spark.sparkContext.broadcast(vars(self))
+
 
 def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows scaled to length 1 in float32, mask of rows that have a direction)."""
@@ -217,7 +222,7 @@ class TopK:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _score_partitions(block: Callable[[], RequestBlock], schema: T.StructType, tasks: int | None = None):
+def _score_partitions(block: Broadcast, schema: T.StructType, tasks: int | None = None):
     """A task function: corpus batches in, the task's best rows per request out.
 
     With ``tasks``, only that many tasks read their part and the others end at once.
@@ -227,7 +232,7 @@ def _score_partitions(block: Callable[[], RequestBlock], schema: T.StructType, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tasks is not None and TaskContext.get().partitionId() >= tasks:
             return
-        best = TopK(block())
+        best = TopK(RequestBlock(**block.value))
         for b in batches:
             if b.num_rows:
                 cells = b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None
@@ -260,8 +265,7 @@ def _merged(partial: DataFrame) -> DataFrame:
 
 def _floors(rows: DataFrame, block: RequestBlock, schema: T.StructType) -> np.ndarray:
     """The similarity of each request's last result in the first tasks; -inf where they have too few."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-    first = rows.mapInArrow(_score_partitions(lambda: shared.value, schema, SEED_TASKS), schema)
+    first = rows.mapInArrow(_score_partitions(block.share(rows.sparkSession), schema, SEED_TASKS), schema)
     found = _merged(first).groupBy("query_id").agg(F.count("similarity").alias("n"), F.min("similarity").alias("low"))
     seen = {q: (n, low) for q, n, low in zip(*[c.to_pylist() for c in found.toArrow().columns], strict=True)}
     floors = np.full(len(block.ids), -np.inf)
@@ -328,8 +332,7 @@ def batch_topk(
             rows = rows.filter(F.col("_cell").isin(sorted({c for p in block.probes for c in p})))
         if stored * dims * 4 > seed_over_bytes:
             block = replace(block, floors=_floors(rows, block, schema))
-        shared = corpus.sparkSession.sparkContext.broadcast(block)
-        return _merged(rows.mapInArrow(_score_partitions(lambda: shared.value, schema), schema))
+        return _merged(rows.mapInArrow(_score_partitions(block.share(corpus.sparkSession), schema), schema))
 
     corpus_blocks = 1 + stored * dims * 4 // block_bytes
     request_blocks = 1 + asked * per_request // block_bytes
