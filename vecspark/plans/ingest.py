@@ -12,7 +12,7 @@ from vecspark.operators.requests import parse_create_requests
 from vecspark.operators.validation import ERROR_COLUMNS, text_rules, with_errors
 from vecspark.schema import TASK_DOCUMENT
 from vecspark.session import configure, run_folder, spread
-from vecspark.sources.corpus import new_rows, read_corpus, utc_now
+from vecspark.sources.corpus import key_stats, new_rows, read_corpus, utc_now
 
 STORED = ("id", "content", "embedding", "metadata", "created_at")
 
@@ -72,8 +72,9 @@ def index_documents(
         rows = read_corpus(spark, path)
         return (rows if stored_since is None else rows.filter(F.col("created_at") >= stored_since)).select("id")
 
-    fresh = new_rows(keyed, known_ids(table))
-    fresh = spread(fresh, "id", keyed.count())
+    stats = key_stats(keyed)
+    fresh = new_rows(keyed, known_ids(table), stats=stats)
+    fresh = spread(fresh, "id", stats.rows)
     staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
 
     staging = run_folder(spark, "staged")
@@ -82,5 +83,5 @@ def index_documents(
     good = staged.filter(F.col("error_code").isNull())
     good.select(*STORED).write.mode("append").parquet(table)
     bad = staged.filter(F.col("error_code").isNotNull()).drop("embedding")
-    new_rows(bad, known_ids(quarantine_table)).write.mode("append").parquet(quarantine_table)
+    new_rows(bad, known_ids(quarantine_table), stats=stats._replace(most=1)).write.mode("append").parquet(quarantine_table)
     return staged.withColumn("embedding_dim", F.size("embedding")).drop("embedding")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,25 @@ def utc_now() -> Column:
     return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
 
 
-def one_per_key(staged: DataFrame, key: str = "id") -> DataFrame:
+class KeyStats(NamedTuple):
+    rows: int
+    most: int  # rows of the most frequent key
+
+
+def key_stats(staged: DataFrame, key: str = "id") -> KeyStats:
+    """Rows and the highest number of rows per key, from the key column alone."""
+    counts = staged.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows, most = counts.agg(F.sum("n"), F.max("n")).first()
+    return KeyStats(rows or 0, most or 0)
+
+
+def one_per_key(staged: DataFrame, key: str = "id", stats: KeyStats | None = None) -> DataFrame:
     """One row per key, the same one on every run.
 
-    Whether any key repeats is found on the keys alone. Only then are whole rows shuffled,
-    and the minimum is taken in each task first, so a key with very many copies does not
-    fill one task.
+    Whole rows are shuffled only if a key repeats. The minimum is taken in each task first,
+    so a key with very many copies does not fill one task.
     """
-    if staged.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty():
+    if (stats or key_stats(staged, key)).most <= 1:
         return staged
     others = [c for c in staged.columns if c != key]
     if not others:
@@ -56,7 +68,11 @@ def one_per_key(staged: DataFrame, key: str = "id") -> DataFrame:
 
 
 def new_rows(
-    staged: DataFrame, stored: DataFrame, key: str = "id", broadcast_keys: int = BROADCAST_KEYS
+    staged: DataFrame,
+    stored: DataFrame,
+    key: str = "id",
+    broadcast_keys: int = BROADCAST_KEYS,
+    stats: KeyStats | None = None,
 ) -> DataFrame:
     """Staged rows whose key is not stored yet, one per key.
 
@@ -64,8 +80,9 @@ def new_rows(
     is small its keys are sent to the stored table, which is then scanned and not shuffled.
     If few keys are present on both sides, the staged rows are not shuffled either.
     """
-    batch, keys, known = one_per_key(staged, key), staged.select(key), stored.select(key)
-    if keys.count() <= broadcast_keys:
+    stats = stats or key_stats(staged, key)
+    batch, keys, known = one_per_key(staged, key, stats), staged.select(key), stored.select(key)
+    if stats.rows <= broadcast_keys:
         present = known.join(F.broadcast(keys.distinct()), key, "left_semi").distinct()
         return batch.join(F.broadcast(present), key, "left_anti")
     folder = run_folder(staged.sparkSession, "present")
