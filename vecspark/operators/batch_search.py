@@ -141,9 +141,10 @@ class TopK:
         for queries, rows in groups:
             live, searching = rows[usable[rows]], queries[self.usable[queries]]
             if len(live):
+                live_unit = unit[live]
                 step = max(1, SCORE_CELLS // len(live))
                 for i in range(0, len(searching), step):
-                    self._add_scored(searching[i : i + step], live, ids, matrix, unit[live])
+                    self._add_scored(searching[i : i + step], live, ids, matrix, live_unit)
             self._add_unscored(queries, rows, ids, usable)
 
     def _add_scored(self, queries, rows, ids, matrix, unit) -> None:
@@ -155,12 +156,14 @@ class TopK:
             # The row at the k-th place may really be up to the slack lower.
             kth = np.partition(fast[short], len(rows) - k, axis=1)[:, len(rows) - k].astype(np.float64)
             floor[short] = np.maximum(floor[short], kth - 2 * self.slack)
-        hit = fast >= floor[:, None]
+        # Rounded down to float32, so that the comparison does not widen all the scores.
+        hit = fast >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None]
         if np.count_nonzero(hit) > 8 * self.block.limits[queries].sum() + len(rows):
             hit &= first_copies(matrix[rows], ids[rows], k)
-        qi, ri = np.nonzero(hit)
-        if not len(qi):
+        at = np.flatnonzero(hit)
+        if not len(at):
             return
+        qi, ri = np.divmod(at, len(rows))
         used = np.unique(ri)
         squares = np.zeros(len(rows))
         squares[used] = row_dots(matrix[rows[used]], matrix[rows[used]])
@@ -295,9 +298,9 @@ def batch_topk(
     """(query_id, rank, id, similarity) of each request's best rows.
 
     Requests that fit in ``broadcast_bytes`` are sent to the tasks that scan the corpus,
-    which is then read once and not shuffled; a corpus with more than ``seed_over_bytes``
-    of vectors is searched in a few tasks first, so that all other tasks hand on only rows
-    that may beat those results. Larger request tables and the corpus are both cut into blocks of bounded
+    which is then read once and not shuffled. A corpus with more than ``seed_over_bytes`` of
+    vectors is searched in a few tasks first, so that all other tasks hand on only rows that
+    may beat those results. With more requests, both sides are cut into blocks of bounded
     size, and each pair of blocks is one group.
 
     With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes.

@@ -165,7 +165,9 @@ def with_embed_errors(df: DataFrame, embedder: Embedder, vector: str = "embeddin
         F.col("embed_error").isNotNull(), f"Error from external service: {service}", "embedding", EXTERNAL_SERVICE_ERROR
     )
     out = with_errors(df, [failed, dims_rule(F.col(vector), embedder.dims, service)])
-    cause = F.when(F.col("error_code") == EXTERNAL_SERVICE_ERROR, F.coalesce(F.col("embed_error"), F.lit("wrong size")))
+    got = F.coalesce(F.size(vector).cast("string"), F.lit("none"))
+    wrong_size = F.concat(F.lit(f"Expected {embedder.dims} dims, got "), got)
+    cause = F.when(F.col("error_code") == EXTERNAL_SERVICE_ERROR, F.coalesce(F.col("embed_error"), wrong_size))
     return out.withColumn("error_cause", cause).drop("embed_error")
 
 

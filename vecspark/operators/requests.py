@@ -19,6 +19,7 @@ from vecspark.schema import (
     MIN_LIMIT,
 )
 
+# Messages of refused requests.
 INVALID_JSON = "Invalid JSON in request body"
 INVALID_BODY = "Invalid request body"
 INVALID_PARAMETERS = "Invalid query parameters"

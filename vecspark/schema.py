@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Sizes, limits and defaults of documents and requests.
 DEFAULT_DIMS = 1536
 MAX_TEXT_UNITS = 8000
 MIN_LIMIT, MAX_LIMIT = 1, 100
 DEFAULT_SEARCH_LIMIT, DEFAULT_LIST_LIMIT = 10, 20
 
-# Embedding tasks.
+# Embedding tasks.
 TASK_DOCUMENT = "RETRIEVAL_DOCUMENT"
 TASK_QUERY = "RETRIEVAL_QUERY"
 TASK_FAQ = "RETRIEVAL_FAQ"
 
-# Error codes of quarantined rows.
+# Error codes of quarantined rows.
 VALIDATION_ERROR = "VALIDATION_ERROR"
 EXTERNAL_SERVICE_ERROR = "EXTERNAL_SERVICE_ERROR"
 APP_ERROR = "APP_ERROR"

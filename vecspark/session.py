@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SMALL_BATCH_ROWS = 500_000
+ROWS_PER_TASK = 256  # the least a task of a small batch should have
 
 _local_roots: dict[str, str] = {}  # runs in one process, where no folder has been named
 
@@ -44,6 +45,9 @@ def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     A small batch often comes in one file and so in one task. A large one has many tasks
     already and is left as it is: a shuffle of all its texts would gain nothing.
     """
-    if (df.count() if rows is None else rows) > SMALL_BATCH_ROWS:
+    spark = df.sparkSession
+    rows = df.count() if rows is None else rows
+    if rows > SMALL_BATCH_ROWS:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(slots, 1 + rows // ROWS_PER_TASK), key)
