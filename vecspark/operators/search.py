@@ -19,21 +19,24 @@ def clamped(limit: int) -> int:
     return min(max(MIN_LIMIT, limit), MAX_LIMIT)
 
 
-def with_similarity(
-    corpus: DataFrame, query: Sequence[float], vector: str = "embedding", method: str = "arrow"
-) -> DataFrame:
-    """Add the similarity of each row to one query vector.
+def similarity_column(vector: Column, query: Sequence[float], method: str = "arrow") -> Column:
+    """Similarity to one query vector.
 
     ``arrow`` sends only the vector column to Python in batches; ``native`` stays in the
     JVM. Both add the products in the same order, so the values are identical.
     """
     if method == "arrow":
-        score = similarity_to(F.col(vector), query)
-    elif method == "native":
-        score = similarity_to_native(F.col(vector), query)
-    else:
-        raise ValueError(f"unknown method: {method}")
-    return corpus.withColumn("similarity", score)
+        return similarity_to(vector, query)
+    if method == "native":
+        return similarity_to_native(vector, query)
+    raise ValueError(f"unknown method: {method}")
+
+
+def with_similarity(
+    corpus: DataFrame, query: Sequence[float], vector: str = "embedding", method: str = "arrow"
+) -> DataFrame:
+    """Add the similarity of each row to one query vector."""
+    return corpus.withColumn("similarity", similarity_column(F.col(vector), query, method))
 
 
 def topk_search(
@@ -56,12 +59,12 @@ def topk_search(
     """
     order = [F.col("similarity").desc_nulls_last(), F.col(id).asc()]
     n = clamped(limit)
-    scored = with_similarity(corpus.select(id, vector), query, vector, method).drop(vector)
+    scored = corpus.select(id, similarity_column(F.col(vector), query, method).alias("similarity"))
     best = threshold_filter(scored.orderBy(*order).limit(n), threshold)
-    others = corpus.drop(vector)
-    if others.columns == [id]:
+    others = [c for c in corpus.columns if c != vector]
+    if others == [id]:
         return best
-    return others.join(F.broadcast(best), id).orderBy(*order).limit(n)
+    return corpus.select(*others).join(F.broadcast(best), id).orderBy(*order).limit(n)
 
 
 def threshold_filter(scored: DataFrame, threshold: float | Column | None) -> DataFrame:
