@@ -166,3 +166,9 @@ def test_cell_of_rows_without_a_direction(spark, indexed):
     df = spark.createDataFrame([("z", [0.0] * DIMS), ("n", None), ("v", [1.0] * DIMS)], "id string, embedding array<float>")
     got = {x.id: x.cell for x in with_cell(df, cells).collect()}
     assert got["z"] == got["n"] == NO_CELL and got["v"] >= 0
+
+
+def test_size_of_the_centres_is_checked(indexed):
+    c = indexed[0]
+    with pytest.raises(ValueError, match="centres"):
+        train_cells(c, 10_000_000, DIMS)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.vector import arrow_matrix
-from vecspark.operators.batch_search import batch_topk, unit_rows
+from vecspark.operators.batch_search import BROADCAST_BYTES, batch_topk, unit_rows
 
 NO_CELL = -1  # rows without a usable vector
 TRAINING_ROWS = 1_000_000
@@ -61,8 +61,10 @@ def train_cells(corpus: DataFrame, cells: int, dims: int, vector: str = "embeddi
     """Cell centres from k-means on the direction of the vectors.
 
     Only the centres are learnt from a bounded share of a large corpus; every row is
-    assigned to a cell afterwards.
+    assigned to a cell afterwards. The centres go to every task, so their size is checked.
     """
+    if cells * dims * 4 > BROADCAST_BYTES:
+        raise ValueError(f"{cells} centres of {dims} dimensions take more than {BROADCAST_BYTES} bytes")
     v = F.col(vector)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
     usable = corpus.select(vector).filter((F.size(v) == dims) & (length > 0))
@@ -73,7 +75,7 @@ def train_cells(corpus: DataFrame, cells: int, dims: int, vector: str = "embeddi
     model = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(unit)
     centres = np.stack(model.clusterCenters())
     norms = np.linalg.norm(centres, axis=1, keepdims=True)
-    return Cells(centres / np.where(norms > 0, norms, 1.0))
+    return Cells((centres / np.where(norms > 0, norms, 1.0)).astype(np.float32))
 
 
 def with_cell(corpus: DataFrame, cells: Cells, vector: str = "embedding") -> DataFrame:
