@@ -30,6 +30,7 @@ LARGEST = 8  # a sketch of more cells than so many times the digests is not trie
 WORDS = 16  # a longer sentence is cut after so many words
 TASK_BYTES = 16 << 20
 CHUNK = 512  # documents that one round of numpy works on
+FIRST_WORDS = 2
 CHUNK_CHARS = 4 << 20
 NO_ID = -(1 << 63)  # where a NULL id is ordered
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
@@ -40,13 +41,18 @@ U = np.uint64
 def paragraphs(text: str) -> list[str]:
     """The units that are compared: lines, cut into sentences, and these after every 16 words.
 
-    Cuts only depend on what stands before them in the line, so a change leaves the units before it alone.
+    The first 16 words of a text are cut after every 2, so that short texts have several units
+    as well. Cuts only depend on what stands before them, so a change leaves earlier units alone.
     """
-    out = []
+    out, seen = [], 0
     for line in text.split("\n"):
         for sentence in SENTENCE.findall(line):
             words = sentence.split()
-            out += [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+            i = 0
+            while i < len(words):
+                n = FIRST_WORDS if seen < WORDS else WORDS
+                out.append(" ".join(words[i : i + n]))
+                i, seen = i + n, seen + n
     return out
 
 
