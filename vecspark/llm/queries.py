@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from vecspark.llm import bpe, fingerprint, mixing, quality, sharding, toxicity, url_filter, warc  # noqa: F401
+from vecspark.llm import bpe, fingerprint, mixing, ngram_join, quality, sharding, toxicity, url_filter, warc  # noqa: F401
 from vecspark.llm.register import ORACLES, QUERIES  # noqa: F401
