@@ -34,7 +34,7 @@ from vecspark.llm.register import query
 LENGTH = 50  # bytes of a match
 GRAM = 24
 MARKS = LENGTH - GRAM + 1  # grams of a suffix, and suffixes of a run at most
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 TASK_MARKS = 64 << 20  # bytes of text whose marks one task indexes
 CHUNK = 1 << 15  # positions worked on at a time: small enough for a processor's cache
 NO_ID = -(1 << 63)
@@ -293,11 +293,11 @@ def remove_repeats(docs: DataFrame, as_text: bool = True, doc_id: str = "doc_id"
         mark, h = b.mark[order], h[order]
         head = np.flatnonzero(np.concatenate((np.ones(min(1, len(mark)), bool), mark[1:] != mark[:-1])))
         last = np.append(head[1:], len(mark)) - 1 if len(head) else head
-        # Of each mark the least and the greatest run, equal if all its runs are alike.
-        both = np.stack([h[head], h[last]], axis=1).ravel()
+        # Of each mark its run, or 0 if it has several here.
+        only = np.where(h[head] == h[last], h[head], U(0))
         bucket = ((mark[head] >> U(16)) * U(buckets) >> U(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-        out += [(i, p, ALIKE, packed(mark[head][s:e]), planes(both[2 * s : 2 * e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
+        out += [(i, p, ALIKE, packed(mark[head][s:e]), planes(only[s:e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
         return rows_of(ASK, out)
 
     def answer_runs(table: pa.Table) -> pa.Table:
@@ -312,13 +312,14 @@ def remove_repeats(docs: DataFrame, as_text: bool = True, doc_id: str = "doc_id"
             elif kind == MARK:
                 out.append((p, kind, a))
             else:
-                alike.append((p, keys, unplanes(b).reshape(-1, 2)))
+                alike.append((p, keys, unplanes(b)))
         if alike:
-            mark, ends = np.concatenate([k for _, k, _ in alike]), np.concatenate([x for _, _, x in alike])
+            mark, only = np.concatenate([k for _, k, _ in alike]), np.concatenate([x for _, _, x in alike])
             order = np.argsort(mark, kind="stable")
-            mark, ends = mark[order], ends[order]
+            mark, only = mark[order], only[order]
             head = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
-            mixed = mark[head][np.minimum.reduceat(ends[:, 0], head) != np.maximum.reduceat(ends[:, 1], head)]
+            least, most = np.minimum.reduceat(only, head), np.maximum.reduceat(only, head)
+            mixed = mark[head][(least != most) | (least == 0)]
             out += [(p, MIXED, packed(found)) for p, k, _ in alike if len(found := k[among(k, mixed)])]
         return rows_of(ANSWER, out)
 
@@ -356,9 +357,10 @@ def remove_repeats(docs: DataFrame, as_text: bool = True, doc_id: str = "doc_id"
         change = np.zeros(len(b.buf) + 1, dtype=np.int32)
         np.add.at(change, np.concatenate([lo, at]), 1)
         np.add.at(change, np.concatenate([hi, at]) + LENGTH, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        upto = np.concatenate(([0], np.cumsum(gone)))
-        removed = upto[b.ends] - upto[b.starts]
+        gone = np.cumsum(change, out=change)[:-1] > 0
+        np.cumsum(gone, out=change[1:])
+        change[0] = 0
+        removed = (change[b.ends] - change[b.starts]).astype(np.int64)
         kept, spans = [], []
         for s, e, r in zip(b.starts.tolist(), b.ends.tolist(), removed.tolist(), strict=True):
             if not r:

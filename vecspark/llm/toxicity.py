@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import fresh, row_batches, written
 from vecspark.llm.register import query
 
-PER_CLASS = 4000  # labelled examples of each class that are fitted, at most
-TERMS = 2048  # terms, at most
+PER_CLASS = 3000  # labelled examples of each class that are fitted, at most
+TERMS = 384  # terms, at most
 LEAST_CHI = 18.0  # chi-square of a term; a term without meaning gets there about once in fifty thousand
 NEIGHBOURS = 15
 EVIDENCE = 5
@@ -39,17 +39,24 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in STEMS if len(word) >= n)]
 
 
-def counts(text: str, known: dict[str, int] | None = None) -> dict:
+def heads(known: dict[str, int]) -> set[str]:
+    """The first letters a word must have to have a known term."""
+    return {t.rstrip("~+")[: STEMS[0]] for t in known}
+
+
+def counts(text: str, known: dict[str, int] | None = None, first: set[str] | None = None) -> dict:
     """How often the text has each term; by the known terms' numbers, in order, if those are given.
 
     A term that a text has twice or more is there a second time, marked as repeated: unit
     vectors forget how much there is of something, and once by chance is not the same as often.
     """
+    words = WORD.findall(text.lower())
+    if known is not None:
+        words = [w for w in words if w[: STEMS[0]] in first]
     out: dict = {}
-    for w, n in Counter(WORD.findall(text.lower())).items():
+    for w, n in Counter(words).items():
         for t in forms(w):
-            if known is None or t in known or t + "+" in known:
-                out[t] = out.get(t, 0) + n
+            out[t] = out.get(t, 0) + n
     out |= {t + "+": n for t, n in out.items() if n > 1}
     return out if known is None else dict(sorted((known[t], n) for t, n in out.items() if t in known))
 
@@ -62,32 +69,23 @@ class BlockMaxIndex:
         lead = [int(t[np.argmax(w)]) if len(t) else n_terms for t, w in vectors]
         self.order = np.argsort(lead, kind="stable")
         blocks = max(1, -(-len(vectors) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        # Postings in blocks: the weight of each term in each example of a block.
+        self.weights = np.zeros((blocks, n_terms, BLOCK))
         for place, i in enumerate(self.order.tolist()):
-            for t, w in zip(*vectors[i], strict=True):
-                lists[t].append((place, w))
-        self.places = np.array([p for x in lists for p, _ in x], dtype=np.int64)
-        self.weights = np.array([w for x in lists for _, w in x], dtype=np.float64)
-        starts = np.cumsum([0, *map(len, lists)])
-        self.cuts = np.zeros((n_terms, blocks + 1), dtype=np.int64)
-        self.most = np.zeros((n_terms, blocks))
-        for t in range(n_terms):
-            own = self.places[starts[t] : starts[t + 1]]
-            self.cuts[t] = starts[t] + np.searchsorted(own, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(self.most[t], own // BLOCK, self.weights[starts[t] : starts[t + 1]])
+            t, w = vectors[i]
+            self.weights[place // BLOCK, t, place % BLOCK] = w
+        self.most = np.ascontiguousarray(self.weights.max(axis=2).T)
 
     def search(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, as (cosine, example); of equal ones those that stand first."""
         bounds = w @ self.most[t]
         best: list[tuple[float, int]] = []  # (-cosine, place)
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-9):
+            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+            if bounds[b] <= least:
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                s, e = self.cuts[term, b], self.cuts[term, b + 1]
-                scores[self.places[s:e] - b * BLOCK] += weight * self.weights[s:e]
-            found = [(-float(scores[i]), b * BLOCK + int(i)) for i in np.flatnonzero(scores > 0)]
+            scores = w @ self.weights[b][t]
+            found = [(-float(scores[i]), b * BLOCK + i) for i in np.flatnonzero(scores > least).tolist()]
             best = sorted(best + [x for x in found if self.order[x[1]] != without])[:k]
         return [(min(1.0, -s), int(self.order[p])) for s, p in best]
 
@@ -97,6 +95,7 @@ class Model:
 
     def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rates: tuple[float, float]):
         self.known = {t: i for i, t in enumerate(names)}
+        self.heads = heads(self.known)
         self.idf, self.labels, self.ids = idf, [y for _, y, _ in examples], [i for i, _, _ in examples]
         self.vectors = [self.vector(c) for _, _, c in examples]
         self.index = BlockMaxIndex(self.vectors, len(names))
@@ -177,10 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     if not names:
         return prior
     numbers = {t: i for i, t in enumerate(names)}
+    first_letters = heads(numbers)
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_batches(batches, 2, 1 << 20):
-            own = [counts(t, numbers) for t in b.column(2).to_pylist()]
+            own = [counts(t, numbers, first_letters) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([list(x) for x in own], pa.list_(pa.int32())), pa.array([list(x.values()) for x in own], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"]
             )
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
         n = np.zeros(len(names) + 1, dtype=np.int64)  # the last counts documents
         for b in row_batches(batches, 0):
             for t in b.column(0).to_pylist():
-                n[list(counts(t or "", numbers))] += 1
+                n[list(counts(t or "", numbers, first_letters))] += 1
             n[-1] += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["term", "n"])
 
@@ -222,7 +222,7 @@ def score_documents(docs: DataFrame, model: Model | float, score: str = "score",
                 if isinstance(m, float):
                     out.append((m, []))
                     continue
-                found = counts(t or "", m.known)
+                found = counts(t or "", m.known, m.heads)
                 key = tuple(found.items())
                 if key not in seen:
                     if len(seen) >= KEPT_VECTORS:
