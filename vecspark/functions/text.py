@@ -50,7 +50,9 @@ def js_number(c: Column) -> Column:
     sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
 
     def radix(base: int) -> Column:
-        return F.conv(F.substr(t, F.lit(3)), base, 10).try_cast("double")
+        # Digits are summed up as a double: any number of them, without overflow.
+        digits = F.filter(F.split(F.lower(F.substr(t, F.lit(3))), ""), lambda d: d != "")
+        return F.aggregate(digits, F.lit(0.0), lambda n, d: n * base + F.instr(F.lit("123456789abcdef"), d))
 
     return (
         F.when(c.isNull(), F.lit(None).cast("double"))

@@ -14,7 +14,8 @@ def parse_vector(text: Column) -> Column:
     """``'[0.1,0.2]'`` to ``array<float>``; NULL for anything that is not a finite vector."""
     v = F.from_json(text, "array<float>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when((F.size(v) > 0) & finite, v)
+    alone = text.rlike(r"^\s*\[[^\[\]]*\]\s*$")  # the JSON reader stops after the first value
+    return F.when(alone & (F.size(v) > 0) & finite, v)
 
 
 def format_vector(vector: Column) -> Column:

@@ -19,7 +19,6 @@ from vecspark.functions.vector import arrow_matrix
 from vecspark.operators.batch_search import BROADCAST_BYTES, batch_topk, unit_rows
 
 NO_CELL = -1  # rows without a usable vector
-TRAINING_ROWS = 1_000_000
 ASSIGN_ROWS = 4096  # vectors compared with all centres at once by a task
 
 
@@ -60,17 +59,13 @@ class Cells:
 def train_cells(corpus: DataFrame, cells: int, dims: int, vector: str = "embedding", seed: int = 7) -> Cells:
     """Cell centres from k-means on the direction of the vectors.
 
-    Only the centres are learnt from a bounded share of a large corpus; every row is
-    assigned to a cell afterwards. The centres go to every task, so their size is checked.
+    All usable vectors are fitted. The centres go to every task, so their size is checked.
     """
     if cells * dims * 4 > BROADCAST_BYTES:
         raise ValueError(f"{cells} centres of {dims} dimensions take more than {BROADCAST_BYTES} bytes")
     v = F.col(vector)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
     usable = corpus.select(vector).filter((F.size(v) == dims) & (length > 0))
-    total = usable.count()
-    if total > TRAINING_ROWS:
-        usable = usable.sample(fraction=TRAINING_ROWS / total, seed=seed)
     unit = usable.select(array_to_vector(F.transform(v, lambda x: x / length)).alias("features"))
     model = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(unit)
     centres = np.stack(model.clusterCenters())

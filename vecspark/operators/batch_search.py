@@ -263,7 +263,7 @@ def _score_blocks(dims: int, schema: T.StructType):
 
 def _merged(partial: DataFrame) -> DataFrame:
     """Best rows per request over all tasks."""
-    return result_rank(partial, limit="_limit").select("query_id", "rank", "id", "similarity")
+    return result_rank(partial, top=MAX_LIMIT, limit="_limit").select("query_id", "rank", "id", "similarity")
 
 
 def _floors(rows: DataFrame, block: RequestBlock, schema: T.StructType) -> np.ndarray:

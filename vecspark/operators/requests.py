@@ -79,7 +79,7 @@ def _number_issues(kind: Column, n: Column, low: int, high: int, whole: bool) ->
     checks = [(kind.isNotNull() & ~is_number, _type_error(kind, "number"))]
     if whole:
         finite = F.abs(n) != float("inf")
-        checks.append((is_number & ~(finite & (n == F.floor(n))), "Expected integer, received float"))
+        checks.append((is_number & ~(finite & (n % 1 == 0)), "Expected integer, received float"))
     checks.append((is_number & (n < low), f"Number must be greater than or equal to {low}"))
     checks.append((is_number & (n > high), f"Number must be less than or equal to {high}"))
     return _issues(*checks)

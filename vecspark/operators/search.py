@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions.vector import similarity_to, similarity_to_native
 from vecspark.schema import DEFAULT_LIST_LIMIT, DEFAULT_SEARCH_LIMIT, MAX_LIMIT, MIN_LIMIT
-
+from vecspark.session import run_folder
 
 MERGE_SLOTS = 32
 
@@ -76,13 +76,17 @@ def threshold_filter(scored: DataFrame, threshold: float | Column | None) -> Dat
 
 
 def result_rank(
-    scored: DataFrame, query: str = "query_id", id: str = "id", top: int = MAX_LIMIT, limit: str | None = None
+    scored: DataFrame, query: str = "query_id", id: str = "id", top: int | None = None, limit: str | None = None
 ) -> DataFrame:
-    """1-based position of the best ``top`` results of each query, or of its own ``limit``.
+    """1-based position of each query's results: of all, of the best ``top``, or of its own ``limit``.
 
     The literal bound lets each task drop rows beyond it before the shuffle. What is left of
     a query that many tasks have rows of is first ranked in a few slots, then as a whole.
+    Without a bound all rows are ranked, see ``rank_all``.
     """
+    if top is None:
+        best = rank_all(scored, query, id)
+        return best if limit is None else best.filter(F.col("rank") <= F.col(limit))
 
     def ranked(df: DataFrame, *keys: str) -> DataFrame:
         order = W.partitionBy(*keys).orderBy(F.col("similarity").desc_nulls_last(), F.col(id).asc())
@@ -93,6 +97,27 @@ def result_rank(
     return ranked(ranked(slots, query, "_slot").drop("_slot", "rank"), query)
 
 
+def rank_all(scored: DataFrame, query: str, id: str) -> DataFrame:
+    """Positions of all rows of each query, however many one query has.
+
+    Rows are sorted over all tasks by range and written; a row's position is the one in its
+    task plus the rows the query has in earlier tasks.
+    """
+    spark = scored.sparkSession
+    order = [F.col("similarity").desc_nulls_last(), F.col(id).asc()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = run_folder(spark, "ranked")
+    ranges = scored.repartitionByRange(n, F.col(query), *order).withColumn("_range", F.spark_partition_id())
+    ranges.write.parquet(folder)
+    rows = spark.read.schema(ranges.schema).parquet(folder)
+    before = W.partitionBy(query).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(query, "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    counts = counts.select(F.col(query).alias("_query"), F.col("_range").alias("_of"), "_before")
+    joined = rows.join(counts, F.col(query).eqNullSafe(F.col("_query")) & (F.col("_range") == F.col("_of")))
+    place = F.row_number().over(W.partitionBy(query, "_range").orderBy(*order))
+    return joined.withColumn("rank", (place + F.col("_before")).cast("int")).drop("_range", "_query", "_of", "_before")
+
+
 def recent_documents(
     corpus: DataFrame,
     limit: int = DEFAULT_LIST_LIMIT,

@@ -66,7 +66,9 @@ def index_documents(
     if extra:
         checked = checked.withColumn("_created_at", created_at)
     checked = checked.select("request_id", "content", "metadata", *extra, *ERROR_COLUMNS)
-    keyed = checked.withColumn("id", keyed_uuid(F.col("request_id")))
+    # Requests without an id are told apart by what they bring: none is lost but an exact repeat.
+    brought = keyed_uuid(F.lit("no request id"), *[F.to_json(F.struct(c)) for c in ("content", "metadata", "error_code")])
+    keyed = checked.withColumn("id", F.when(F.col("request_id").isNull(), brought).otherwise(keyed_uuid(F.col("request_id"))))
 
     def known_ids(path: str) -> DataFrame:
         rows = read_corpus(spark, path)

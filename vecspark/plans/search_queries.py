@@ -33,6 +33,11 @@ _PAYLOAD = """SELECT s.id, d.content, d.metadata, d.created_at, round(s.similari
 FROM best s JOIN docs d ON s.id = d.id"""
 
 
+def _corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the documents there are, so that every result has its document."""
+    return views.vectors(spark, sf_dir).join(views.documents(spark, sf_dir).select("id"), "id", "left_semi")
+
+
 def _with_documents(best: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of at most 100 results: the results are sent to the scan of the documents."""
     rows = views.documents(spark, sf_dir).join(F.broadcast(best), "id")
@@ -42,20 +47,20 @@ def _with_documents(best: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
 @query(
     "topk_search",
     f"""WITH {views.DOCUMENTS}, {views.SCORED_VECTORS},
-    best AS (SELECT * FROM scored ORDER BY similarity DESC, id LIMIT 10) {_PAYLOAD}""",
+    best AS (SELECT * FROM scored WHERE id IN (SELECT id FROM docs) ORDER BY similarity DESC, id LIMIT 10) {_PAYLOAD}""",
 )
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = topk_search(views.vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=10)
+    best = topk_search(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=10)
     return _with_documents(best, spark, sf_dir)
 
 
 @query(
     "topk_threshold",
     f"""WITH {views.DOCUMENTS}, {views.SCORED_VECTORS},
-    best AS (SELECT * FROM scored WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 100) {_PAYLOAD}""",
+    best AS (SELECT * FROM scored WHERE similarity >= 0.2 AND id IN (SELECT id FROM docs) ORDER BY similarity DESC, id LIMIT 100) {_PAYLOAD}""",
 )
 def _topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = topk_search(views.vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=100, threshold=0.2)
+    best = topk_search(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=100, threshold=0.2)
     return _with_documents(best, spark, sf_dir)
 
 
@@ -103,7 +108,7 @@ def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH top AS (
       SELECT source, doc_id AS id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank
       FROM documents)
-    SELECT source, id, n_chars, rank FROM top WHERE rank <= 100""",
+    SELECT source, id, n_chars, rank FROM top""",
 )
 def _rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions within each group: here the longest documents of each source."""

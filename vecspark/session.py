@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,6 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 SMALL_BATCH_ROWS = 500_000
 ROWS_PER_TASK = 256  # the least a task of a small batch should have
 
-_local_roots: dict[str, str] = {}  # runs in one process, where no folder has been named
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the one SQL option that changes results. Safe to call repeatedly."""
@@ -26,12 +23,10 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        _local_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_roots[app]
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

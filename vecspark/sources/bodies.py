@@ -29,7 +29,7 @@ def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _requests(lines: DataFrame) -> DataFrame:
     # Equal bodies are separate requests, so the position is part of the id. A replayed
     # stream batch reads the same files in the same splits and gives the same ids.
-    split = F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.file_block_start"))
+    split = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
     return lines.select(split.alias("split"), "value").mapInArrow(_number_lines, "request_id string, body string")
 
 
