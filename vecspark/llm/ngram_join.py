@@ -23,9 +23,9 @@ from vecspark.llm.common import components, fresh, keys_join, mix64, planes, row
 from vecspark.llm.register import query
 
 BITS = 4096  # of a token bitmap
-LEAF = 16  # sets of a leaf
+LEAF = 32  # sets of a leaf
 FANOUT = 8
-BLOCK_TOKENS = 4_000_000  # a block of more tokens is cut into pieces, which meet two by two
+BLOCK_TOKENS = 16_000_000  # a block of more tokens is cut into pieces, which meet two by two
 KEY_ROWS = 2_000_000  # keys that one task brings together
 CHUNK_KEYS = 500_000  # keys a task sorts before it hands them on
 
@@ -83,19 +83,22 @@ def bands(num: int, den: int, upto: int) -> list[int]:
     return out
 
 
-def parts_of(band: int, firsts: list[int], num: int, den: int) -> int:
-    """One part more than the tokens that linked sets can differ in, the smaller one in this band.
+def differing(band: int, firsts: list[int], num: int, den: int) -> int:
+    """How many tokens linked sets can differ in, the smaller one in this band.
 
     Sets of sizes a <= b with a Jaccard of num / den have b <= a * den / num and share at least
     num * (a + b) / (num + den); what they don't share is at most a * (den - num) / num.
     """
-    return (firsts[band + 1] - 1) * (den - num) // num + 1
+    return (firsts[band + 1] - 1) * (den - num) // num
 
 
 def meeting_keys(tokens: np.ndarray, firsts: list[int], num: int, den: int) -> np.ndarray:
     """The keys of one set: its parts, as the smaller and as the larger one of a pair.
 
-    A part is a range of token hashes, its key the mixed sum of the tokens in it.
+    A part is a range of token hashes, its key the mixed sum of the tokens in it. Parts that
+    are empty say nothing and have no key: there are some parts more than tokens to differ
+    in, so that linked sets have an equal part besides, unless both have more empty ones
+    than that. Only such sets, which are rare, have keys for their empty parts as well.
     """
     n = len(tokens)
     own = int(np.searchsorted(firsts, n, side="right")) - 1
@@ -105,11 +108,13 @@ def meeting_keys(tokens: np.ndarray, firsts: list[int], num: int, den: int) -> n
     for band in (own, own - 1):
         if band < 0:
             continue
-        m = parts_of(band, firsts, num, den)
+        apart = differing(band, firsts, num, den)
+        m = apart + 1 + (apart > 0) + apart // 12
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         cuts = np.concatenate(([0], np.searchsorted(tokens, edges), [n]))
-        part = sums[cuts[1:]] - sums[cuts[:-1]]
-        out.append(mix64(part * C2 + mix64(np.arange(m, dtype=np.uint64) * C3 + U(band)) + (cuts[1:] - cuts[:-1]).astype(np.uint64)))
+        part, held = sums[cuts[1:]] - sums[cuts[:-1]], cuts[1:] - cuts[:-1]
+        keys = mix64(part * C2 + mix64(np.arange(m, dtype=np.uint64) * C3 + U(band)) + held.astype(np.uint64))
+        out.append(keys[held > 0] if (held == 0).sum() < m - apart else keys)
     return np.concatenate(out)
 
 
@@ -201,12 +206,16 @@ def candidate_edges(docs: DataFrame, sizes: tuple[int, int, int], words: int, nu
 
 
 class Node:
-    """Children, or sets by number in a leaf; OR of their bitmaps, range of their sizes, most tokens lost to shared bits."""
+    """Children, or sets by number in a leaf; OR of their bitmaps, range of their sizes, most tokens lost to shared bits.
 
-    __slots__ = ("children", "sets", "bits", "least", "most", "lost")
+    A leaf has the bitmaps, sizes and losses of its sets besides, one row each.
+    """
+
+    __slots__ = ("children", "sets", "bits", "least", "most", "lost", "maps", "sizes", "losses")
 
-    def __init__(self, children, sets, bits, least, most, lost):
+    def __init__(self, children, sets, bits, least, most, lost, maps=None, sizes=None, losses=None):
         self.children, self.sets, self.bits, self.least, self.most, self.lost = children, sets, bits, least, most, lost
+        self.maps, self.sizes, self.losses = maps, sizes, losses
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -216,14 +225,16 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def build_tree(sets: list[np.ndarray]) -> Node:
-    """Sets in the order of size and least token: near copies stand side by side."""
-    maps = [bitmap(s) for s in sets]
-    lost = [len(s) - int(np.bitwise_count(m).sum()) for s, m in zip(sets, maps, strict=True)]
-    order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i]), i))
+    """Sets ordered by size, in steps of a tenth, and least token: leaves are of like sizes, near copies stand side by side."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    step = (np.log(sizes) / np.log(1.1)).astype(np.int64)
+    order = np.lexsort((sizes, np.array([s[0] for s in sets], dtype=np.uint64), step))
     level = []
     for s in range(0, len(order), LEAF):
         own = order[s : s + LEAF]
-        level.append(Node(None, own, np.bitwise_or.reduce([maps[i] for i in own]), min(len(sets[i]) for i in own), max(len(sets[i]) for i in own), max(lost[i] for i in own)))
+        maps = np.stack([bitmap(sets[i]) for i in own])
+        losses = sizes[own] - np.bitwise_count(maps).sum(axis=1)
+        level.append(Node(None, own, np.bitwise_or.reduce(maps), int(sizes[own].min()), int(sizes[own].max()), int(losses.max()), maps, sizes[own], losses))
     while len(level) > 1:
         level = [
             Node(own, None, np.bitwise_or.reduce([c.bits for c in own]), min(c.least for c in own), max(c.most for c in own), max(c.lost for c in own))
@@ -232,6 +243,13 @@ def build_tree(sets: list[np.ndarray]) -> Node:
     return level[0]
 
 
+def pairs_in_reach(x: Node, y: Node, num: int, den: int) -> np.ndarray:
+    """Of two leaves the pairs of sets that can be linked, by the same bound as for nodes."""
+    a, b = x.sizes[:, None], y.sizes[None, :]
+    shared = np.bitwise_count(x.maps[:, None, :] & y.maps[None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(x.losses[:, None], y.losses[None, :])
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (shared * (num + den) >= num * (a + b))
+
+
 def within_reach(x: Node, y: Node, num: int, den: int) -> bool:
     """Whether a set below x and one below y can be linked at all.
 
@@ -277,16 +295,18 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
         if not within_reach(x, y, num, den):
             continue
         if x.children is None and y.children is None:
-            for i in x.sets:
-                for j in y.sets:
-                    if right is None and (j <= i if x is y else j == i):
-                        continue
-                    s, t = left[i], others[j]
-                    if den * min(len(s), len(t)) < num * max(len(s), len(t)) or (not every and union.root(i) == union.root(j + shift)):
-                        continue
-                    if linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), num, den):
-                        union.join(i, j + shift)
-                        out.append((i, j))
+            near = pairs_in_reach(x, y, num, den)
+            if x is y:
+                near = np.triu(near, 1)
+            if not every:
+                up = [np.array([union.root(int(i) + k) for i in n.sets]) for n, k in ((x, 0), (y, shift))]
+                near &= up[0][:, None] != up[1][None, :]
+            for p, q in np.argwhere(near).tolist():
+                i, j = int(x.sets[p]), int(y.sets[q])
+                s, t = left[i], others[j]
+                if (every or union.root(i) != union.root(j + shift)) and linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), num, den):
+                    union.join(i, j + shift)
+                    out.append((i, j))
         elif x is y:
             own = x.children
             stack += [(own[i], own[j]) for i in range(len(own)) for j in range(i, len(own))]
@@ -352,7 +372,9 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
             sets = [shingle_set(t, words, memory) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
 
-    sets = written(texts.mapInArrow(token_sets, "doc_id long, tokens binary").groupBy("doc_id").agg(F.min("tokens").alias("tokens")), "block-sets")
+    sets = texts.mapInArrow(token_sets, "doc_id long, tokens binary")
+    if not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, pieces = table["doc_id"].to_pylist(), table["piece"].to_pylist()
@@ -367,7 +389,7 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
             found = sorted((min(x), max(x)) for x in ((ids[left[i]], ids[(right or left)[j]]) for i, j in pairs))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    grouped = members.join(sets, "doc_id").groupBy("block", "left_piece", "right_piece")
+    grouped = keys_join(sets, members, "doc_id", "inner", 48).groupBy("block", "left_piece", "right_piece")
     return rows, written(grouped.applyInArrow(compare, "a long, b long"), "links")
 
 
