@@ -34,7 +34,7 @@ from vecspark.llm.register import query
 LENGTH = 50  # bytes of a match
 GRAM = 24
 MARKS = LENGTH - GRAM + 1  # grams of a suffix, and suffixes of a run at most
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20  # a suffix that is looked at takes some hundred bytes, and all of a batch may be
 TASK_MARKS = 64 << 20  # bytes of text whose marks one task indexes
 CHUNK = 1 << 15  # positions worked on at a time: small enough for a processor's cache
 NO_ID = -(1 << 63)
@@ -173,6 +173,7 @@ class Family:
 
 def rows_of(schema: str, rows: list[tuple]) -> pa.Table:
     kinds = {"int": pa.int32(), "binary": pa.binary()}
+    pa.default_memory_pool().release_unused()  # workers live on and would keep what the last batch needed
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns, strict=True)})
@@ -374,6 +375,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = True, doc_id: str = "doc_id"
         left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         columns = {c: left if c == text else ordered[c] for c in given}
         counts = (b.ends - b.starts, removed, np.array(spans, dtype=np.int64))
+        pa.default_memory_pool().release_unused()
         return pa.table(columns | {c: pa.array(x.astype(np.int64)) for c, x in zip(names, counts, strict=True)})
 
     # One plan: the batches are one exchange, which all four passes over the texts share.
