@@ -57,6 +57,21 @@ def test_a_repeated_batch_adds_nothing_and_equal_texts_are_two_documents(spark,
     assert spark.read.parquet(tables[0]).count() == 4
 
 
+def test_every_request_is_stored_or_refused_once(spark, tables):
+    rows = [("a", "one"), ("a", "one"), ("a", "two"), ("a", "  "), ("b", "one"), (None, "x"), (None, "y"), (None, "y"), (None, "")]
+    requests = spark.createDataFrame([(i, c, "{}") for i, c in rows], "request_id string, content string, metadata string").repartition(3)
+    for _ in range(2):
+        index_documents(requests, WORDS, *tables)
+        stored = spark.read.parquet(tables[0])
+        refused = spark.read.parquet(tables[1])
+        assert stored.count() + refused.count() == len(set(rows))
+        assert stored.select("id").distinct().count() == stored.count()
+        assert sorted(r.content for r in stored.collect()) + sorted(r.error_field for r in refused.collect()) in (
+            ["one", "one", "x", "y", "content", "request_id", "request_id"],
+            ["one", "x", "y", "content", "content", "request_id", "request_id"],
+        )
+
+
 def test_rows_older_than_the_lookback_are_not_compared(spark, tables):
     requests = bodies(spark, {"content": "same"})
     index_documents(requests, WORDS, *tables)
@@ -123,6 +138,22 @@ def test_search_answers_and_refusals(spark, tables):
     assert refused == {"r2": "VALIDATION_ERROR", "r3": "EXTERNAL_SERVICE_ERROR"}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 1 << 12}])
+def test_requests_with_one_query_id_are_answered_apart(spark, tables, sizes):
+    index_documents(bodies(spark, {"content": "red apple"}, {"content": "blue plum"}, {"content": "green pear"}), WORDS, *tables)
+    corpus = spark.read.parquet(tables[0])
+    asked = spark.createDataFrame(
+        [("q", "red apple", 1, None), ("q", "blue plum", 2, None), (None, "green pear", 1, None), (None, "red", 1, None)],
+        "query_id string, query string, limit int, threshold double",
+    )
+    out = semantic_search(asked, corpus, WORDS, **sizes)
+    answers = {(r.query_id, r.query): [x.content for x in r.results] for r in out.envelope(corpus).collect()}
+    assert answers[("q", "red apple")] == ["red apple"] and answers[(None, "green pear")] == ["green pear"]
+    assert answers[("q", "blue plum")][0] == "blue plum" and len(answers[("q", "blue plum")]) == 2
+    assert answers[(None, "red")] == ["red apple"]
+    assert out.ranked.columns == ["query_id", "rank", "id", "similarity"] and out.ranked.count() == 5
+
+
 def run(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 

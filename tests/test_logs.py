@@ -34,6 +34,12 @@ def test_documented_queries(logs):
     assert counts == {("POST", "/search", 502): 1, ("GET", "/", 200): 1}
 
 
+def test_failures_that_name_no_status_are_counted(spark):
+    rows = [("request received", None), ("request completed", 200), ("validation error", None), ("unexpected error", None), ("route not found", None)]
+    lines = spark.createDataFrame([("POST", "/search", m, s) for m, s in rows], "method string, path string, msg string, statusCode int")
+    assert {r.statusCode: r.requests for r in L.request_status_counts(lines).collect()} == {200: 1, 400: 1, 500: 1, 404: 1}
+
+
 def test_targets(logs):
     got = {r.path: r.within_target for r in L.latency_targets(L.latency_p95(logs), {("POST", "/search"): 500.0}).collect()}
     assert got == {"/search": False, "/": None}

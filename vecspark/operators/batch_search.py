@@ -29,6 +29,7 @@ from vecspark.functions.vector import arrow_matrix, cosines, row_dots
 from vecspark.operators.search import result_rank
 from vecspark.operators.validation import clamp_limit, effective_limit
 from vecspark.schema import MAX_LIMIT
+from vecspark.session import run_folder
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
@@ -42,7 +43,8 @@ SEED_OVER_BYTES = 128 << 30  # of vectors: well over a thousand scan tasks
 class RequestBlock:
     """A bounded set of requests as arrays."""
 
-    ids: np.ndarray
+    ids: pa.Array  # as the user gave them: they may repeat or be NULL
+    numbers: np.ndarray  # tell the requests apart
     matrix: np.ndarray
     squares: np.ndarray
     limits: np.ndarray
@@ -54,7 +56,8 @@ class RequestBlock:
     def from_arrow(cls, t: pa.Table, dims: int) -> RequestBlock:
         matrix = arrow_matrix(t["_vector"], dims)
         return cls(
-            ids=t["_query"].to_numpy(),
+            ids=t["_query"].combine_chunks(),
+            numbers=t["_request"].to_numpy() if "_request" in t.column_names else np.arange(t.num_rows),
             matrix=matrix,
             squares=row_dots(matrix, matrix),
             limits=t["_limit"].to_numpy(),
@@ -217,10 +220,11 @@ class TopK:
 
     def result(self, schema: pa.Schema) -> pa.RecordBatch:
         columns = [
-            pa.array(self.block.ids[self.query], schema.field(0).type),
+            self.block.ids.take(pa.array(self.query)).cast(schema.field(0).type),
             pa.array([] if self.ids is None else self.ids, schema.field(1).type),
             pa.array(self.sims, pa.float64(), mask=np.isnan(self.sims)),
             pa.array(self.block.limits[self.query], pa.int32()),
+            pa.array(self.block.numbers[self.query], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -263,16 +267,16 @@ def _score_blocks(dims: int, schema: T.StructType):
 
 def _merged(partial: DataFrame) -> DataFrame:
     """Best rows per request over all tasks."""
-    return result_rank(partial, top=MAX_LIMIT, limit="_limit").select("query_id", "rank", "id", "similarity")
+    return result_rank(partial, query="_request", top=MAX_LIMIT, limit="_limit").select("_request", "query_id", "rank", "id", "similarity")
 
 
 def _floors(rows: DataFrame, block: RequestBlock, schema: T.StructType) -> np.ndarray:
     """The similarity of each request's last result in the first tasks; -inf where they have too few."""
     first = rows.mapInArrow(_score_partitions(block.share(rows.sparkSession), schema, SEED_TASKS), schema)
-    found = _merged(first).groupBy("query_id").agg(F.count("similarity").alias("n"), F.min("similarity").alias("low"))
+    found = _merged(first).groupBy("_request").agg(F.count("similarity").alias("n"), F.min("similarity").alias("low"))
     seen = {q: (n, low) for q, n, low in zip(*[c.to_pylist() for c in found.toArrow().columns], strict=True)}
     floors = np.full(len(block.ids), -np.inf)
-    for i, q in enumerate(block.ids.tolist()):
+    for i, q in enumerate(block.numbers.tolist()):
         n, low = seen.get(q, (0, None))
         if n >= block.limits[i]:
             floors[i] = low
@@ -301,7 +305,8 @@ def batch_topk(
     which is then read once and not shuffled. A corpus with more than ``seed_over_bytes`` of
     vectors is searched in a few tasks first, so that all other tasks hand on only rows that
     may beat those results. With more requests, both sides are cut into blocks of bounded
-    size, and each pair of blocks is one group.
+    size, and each pair of blocks is one group. Each row of requests is answered by itself:
+    query ids are carried along, and may repeat or be NULL.
 
     With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes.
     """
@@ -323,6 +328,7 @@ def batch_topk(
             T.StructField("id", rows.schema["_id"].dataType),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("_limit", T.IntegerType()),
+            T.StructField("_request", T.LongType()),
         ]
     )
     # A task also holds a float32 copy and the best rows of each request.
@@ -335,16 +341,22 @@ def batch_topk(
             rows = rows.filter(F.col("_cell").isin(sorted({c for p in block.probes for c in p})))
         if stored * dims * 4 > seed_over_bytes:
             block = replace(block, floors=_floors(rows, block, schema))
-        return _merged(rows.mapInArrow(_score_partitions(block.share(corpus.sparkSession), schema), schema))
+        return _merged(rows.mapInArrow(_score_partitions(block.share(corpus.sparkSession), schema), schema)).drop("_request")
 
     corpus_blocks = 1 + stored * dims * 4 // block_bytes
     request_blocks = 1 + asked * per_request // block_bytes
 
-    def blocked(df: DataFrame, key: str, blocks: int, own: str, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own)
+    # Written, so that a task that runs again finds the same numbers.
+    folder = run_folder(corpus.sparkSession, "requests")
+    numbered = wanted.withColumn("_request", F.monotonically_increasing_id())
+    numbered.write.parquet(folder)
+    wanted = corpus.sparkSession.read.schema(numbered.schema).parquet(folder)
+
+    def blocked(df: DataFrame, key: list[str], blocks: int, own: str, other: str, copies: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)
         return df.select("*", mine, every)
 
-    left = blocked(rows, "_id", corpus_blocks, "_cb", "_qb", request_blocks).groupBy("_qb", "_cb")
-    right = blocked(wanted, "_query", request_blocks, "_qb", "_cb", corpus_blocks).groupBy("_qb", "_cb")
-    return _merged(left.cogroup(right).applyInArrow(_score_blocks(dims, schema), schema))
+    left = blocked(rows, ["_id", "_vector"], corpus_blocks, "_cb", "_qb", request_blocks).groupBy("_qb", "_cb")
+    right = blocked(wanted, ["_request"], request_blocks, "_qb", "_cb", corpus_blocks).groupBy("_qb", "_cb")
+    return _merged(left.cogroup(right).applyInArrow(_score_blocks(dims, schema), schema)).drop("_request")

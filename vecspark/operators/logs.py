@@ -14,6 +14,20 @@ MARGIN = 3 / ACCURACY
 PARTS = 1000
 
 
+# The status of a line that ends a request without naming one, by its message.
+STATUS_OF = {"route not found": 404, "validation error": 400, "application error": 502, "unexpected error": 500}
+
+
+def with_status(logs: DataFrame) -> DataFrame:
+    """Lines with the status they end a request with: the logged one, else that of the message, else NULL."""
+    if "msg" not in logs.columns:
+        return logs
+    status = F.lit(None).cast("int")
+    for message, code in STATUS_OF.items():
+        status = F.when(F.col("msg") == message, F.lit(code)).otherwise(status)
+    return logs.withColumn("statusCode", F.coalesce("statusCode", status))
+
+
 def milliseconds(interval: Column) -> Column:
     """A day-time interval as milliseconds; zone-free, unlike a difference of epoch values."""
     return (interval.cast("interval second").cast("decimal(20,6)") * 1000).cast("double")
@@ -38,7 +52,7 @@ def request_lines(logs: DataFrame, request_id: str) -> DataFrame:
 
 def request_lifecycle(logs: DataFrame) -> DataFrame:
     """One row per request: lines, first and last time, duration, final status and errors."""
-    return logs.groupBy("requestId").agg(
+    return with_status(logs).groupBy("requestId").agg(
         F.count(F.lit(1)).alias("lines"),
         F.min("time").alias("first_time"),
         F.max("time").alias("last_time"),
@@ -67,7 +81,7 @@ def correlation_lifecycle(logs: DataFrame) -> DataFrame:
 
 def request_status_counts(logs: DataFrame) -> DataFrame:
     """Finished requests by route and status."""
-    done = logs.filter(F.col("statusCode").isNotNull())
+    done = with_status(logs).filter(F.col("statusCode").isNotNull())
     return done.groupBy(*ROUTE, "statusCode").agg(F.count(F.lit(1)).alias("requests"))
 
 

@@ -10,10 +10,11 @@ from vecspark.functions.text import trim_text
 from vecspark.operators.embed import Embedder, embed_texts, with_embed_errors
 from vecspark.operators.requests import parse_create_requests
 from vecspark.operators.validation import ERROR_COLUMNS, text_rules, with_errors
-from vecspark.schema import TASK_DOCUMENT
+from vecspark.schema import TASK_DOCUMENT, VALIDATION_ERROR
 from vecspark.session import configure, run_folder, spread
-from vecspark.sources.corpus import key_stats, new_rows, read_corpus, utc_now
+from vecspark.sources.corpus import key_stats, new_rows, one_per_key, read_corpus, utc_now
 
+REPEATED_ID = "request id is used by another request of the batch"
 STORED = ("id", "content", "embedding", "metadata", "created_at")
 
 
@@ -32,7 +33,7 @@ def prepare_documents(checked: DataFrame, embedder: Embedder, created_at: Column
     accepted = F.col("error_code").isNull()
     stamped = checked.select(
         "request_id",
-        keyed_uuid(F.col("request_id")).alias("id"),
+        (F.col("id") if "id" in checked.columns else keyed_uuid(F.col("request_id"))).alias("id"),
         F.when(accepted, trim_text(F.col("content"))).alias("content"),
         "metadata",
         (utc_now() if created_at is None else created_at).alias("created_at"),
@@ -41,6 +42,24 @@ def prepare_documents(checked: DataFrame, embedder: Embedder, created_at: Column
     return with_embed_errors(embed_texts(stamped, embedder, task=TASK_DOCUMENT), embedder)
 
 
+def other_contents(keyed: DataFrame) -> DataFrame:
+    """Of requests with the same id, those that do not say what the least of them says.
+
+    They get an error, unless they have one, and an id of their own. Only rows of repeated
+    ids are shuffled as a whole.
+    """
+    said = F.struct("content", "metadata", *ERROR_COLUMNS)
+    repeated = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
+    several = keyed.join(repeated, "id", "left_semi")
+    first = several.groupBy("id").agg(F.min(said).alias("_first"))
+    others = several.join(first, "id").filter(~said.eqNullSafe(F.col("_first"))).drop("_first")
+    others = others.withColumn("id", keyed_uuid(F.lit("other content"), F.col("id"), F.to_json(said)))
+    accepted = F.col("error_code").isNull()
+    error = {"error_message": REPEATED_ID, "error_field": "request_id", "error_code": VALIDATION_ERROR}
+    others = others.withColumns({c: F.when(accepted, F.lit(v)).otherwise(F.col(c)) for c, v in error.items()})
+    return one_per_key(others.select(*keyed.columns))
+
+
 def index_documents(
     requests: DataFrame,
     embedder: Embedder,
@@ -53,7 +72,9 @@ def index_documents(
 
     Returns one outcome row per request that is new to the table, without vectors. A
     request's id follows from its request id: running the same batch again adds nothing to
-    either table. A refused request is tried again when it comes again.
+    either table. A refused request is tried again when it comes again. Of requests that
+    share an id within a batch, exact repeats count once; of differing ones the least is
+    taken and the others are refused.
     Rows whose id is stored are dropped before the embedding, the expensive step, and the
     embedded batch is written once and read from there.
 
@@ -65,7 +86,7 @@ def index_documents(
     extra = [] if created_at is None else ["_created_at"]
     if extra:
         checked = checked.withColumn("_created_at", created_at)
-    checked = checked.select("request_id", "content", "metadata", *extra, *ERROR_COLUMNS)
+    checked = checked.select("request_id", "content", "metadata", *ERROR_COLUMNS, *extra)
     # Requests without an id are told apart by what they bring: none is lost but an exact repeat.
     brought = keyed_uuid(F.lit("no request id"), *[F.to_json(F.struct(c)) for c in ("content", "metadata", "error_code")])
     keyed = checked.withColumn("id", F.when(F.col("request_id").isNull(), brought).otherwise(keyed_uuid(F.col("request_id"))))
@@ -76,6 +97,8 @@ def index_documents(
 
     stats = key_stats(keyed)
     fresh = new_rows(keyed, known_ids(table), stats=stats)
+    if stats.most > 1:
+        fresh = fresh.unionByName(other_contents(keyed))
     fresh = spread(fresh, "id", stats.rows)
     staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
 

@@ -20,7 +20,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT request_id, correlation_id, path, msg, status::BIGINT AS status, time FROM logs WHERE level = 'error' AND method = 'POST'""",
 )
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.log_error_filter(_logs(spark, sf_dir), "POST")
+    found = L.with_status(L.log_error_filter(_logs(spark, sf_dir), "POST"))
     return found.select(
         F.col("requestId").alias("request_id"),
         F.col("correlationId").alias("correlation_id"),

@@ -21,12 +21,21 @@ BROADCAST_RESULTS = 500_000
 
 @dataclass(frozen=True)
 class SearchOutcome:
-    """``ranked``: query_id, rank, id, similarity; ``requests``: accepted; ``quarantine``: refused."""
+    """``requests``: accepted; ``quarantine``: refused; ``numbered``: the results.
 
-    ranked: DataFrame
+    Query ids may repeat or be NULL. The column ``request`` tells requests apart, in
+    ``requests`` and in ``numbered``.
+    """
+
+    numbered: DataFrame
     requests: DataFrame
     quarantine: DataFrame
 
+    @property
+    def ranked(self) -> DataFrame:
+        """query_id, rank, id, similarity."""
+        return self.numbered.select("query_id", "rank", "id", "similarity")
+
     def envelope(self, corpus: DataFrame, columns: tuple[str, ...] = ("content", "metadata", "created_at")) -> DataFrame:
         """One row per accepted request with its count and results, with the corpus columns.
 
@@ -34,11 +43,11 @@ class SearchOutcome:
         requests, their results are sent to that scan and the corpus is not shuffled.
         """
         most = self.requests.agg(F.sum("limit")).first()[0] or 0
-        ranked = F.broadcast(self.ranked) if most <= BROADCAST_RESULTS else self.ranked
+        ranked = self.numbered.select("request", "rank", "id", "similarity")
+        ranked = F.broadcast(ranked) if most <= BROADCAST_RESULTS else ranked
         found = corpus.select("id", *columns).join(ranked, "id")
-        return search_envelope(
-            self.requests.select("query_id", "query"), found, ("id", "similarity", *columns)
-        )
+        asked = self.requests.select("request", "query_id", "query")
+        return search_envelope(asked, found, ("id", "similarity", *columns), query_id="request").drop("request")
 
 
 def check_searches(requests: DataFrame) -> DataFrame:
@@ -56,7 +65,8 @@ def semantic_search(
 ) -> SearchOutcome:
     """Answer (query_id, query, limit, threshold) or (query_id, body) rows over a corpus.
 
-    The embedded requests are written once, so that the model runs once per query.
+    The embedded requests are written once, so that the model runs once per query, and so
+    are the results, so that ``ranked`` and ``envelope`` do not search again.
     """
     spark = configure(requests.sparkSession)
     checked = parse_search_requests(requests) if "body" in requests.columns else check_searches(requests)
@@ -67,9 +77,13 @@ def semantic_search(
         embed_texts(checked, embedder, "query_text", "query_embedding", TASK_QUERY), embedder, "query_embedding"
     )
     staging = run_folder(spark, "requests")
-    embedded.write.parquet(staging)
+    embedded.withColumn("request", F.monotonically_increasing_id()).write.parquet(staging)
     staged = spark.read.parquet(staging)
     good = staged.filter(F.col("error_code").isNull())
-    ranked = batch_topk(corpus, good, embedder.dims, id=id, vector=vector, **sizes)
-    plain = good.select("query_id", "query", "query_text", effective_limit(F.col("limit")).cast("int").alias("limit"), "threshold")
-    return SearchOutcome(ranked, plain, staged.filter(F.col("error_code").isNotNull()).drop("query_embedding"))
+    best = batch_topk(corpus, good, embedder.dims, id=id, vector=vector, query_id="request", **sizes)
+    best = best.withColumnRenamed("query_id", "request").join(good.select("request", "query_id"), "request")
+    results = run_folder(spark, "results")
+    best.write.parquet(results)
+    numbered = spark.read.schema(best.schema).parquet(results)
+    plain = good.select("request", "query_id", "query", "query_text", effective_limit(F.col("limit")).cast("int").alias("limit"), "threshold")
+    return SearchOutcome(numbered, plain, staged.filter(F.col("error_code").isNotNull()).drop("query_embedding", "request"))

@@ -256,7 +256,7 @@ def _route_case(parts: list[str]) -> Column:
 
 
 def request_log(events: DataFrame) -> DataFrame:
-    """Each event as a request: one line when it arrives, one when it ends."""
+    """Each event as a request: one line when it arrives, one when it ends. Lines of failures name no status."""
     k = F.get_json_object("props", "$.k").cast("int")
     failed = F.col("event_type") == "error"
     code = F.when(
@@ -292,7 +292,7 @@ def request_log(events: DataFrame) -> DataFrame:
     end = F.struct(
         F.col("ended").alias("time"),
         F.when(status == 200, "info").when(status == 400, "warn").otherwise("error").alias("level"),
-        status.alias("statusCode"),
+        F.when(status == 200, status).alias("statusCode"),
         F.col("latency").alias("latencyMs"),
         F.when(status == 200, "request completed")
         .when(status == 400, "validation error")
