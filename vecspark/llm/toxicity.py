@@ -1,19 +1,24 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and their beginnings, kept if labelled examples of the toxic class
-have them clearly more often (chi-square). Examples are blocks of postings in an inverted
-index; with each term goes its highest weight per block, so that a search reads blocks in the
-order of what they can reach and stops when no block can reach the k best found. Neighbours
-vote with their similarity, and a curve fitted on the examples themselves, each without its
-own vote, turns the votes of both sides into a probability.
+"""Toxicity by nearest labelled examples: exact cosine over all their terms, TF-IDF weighed by class.
+
+Terms are words and their beginnings: all that an example has, without a limit. A term weighs
+its TF-IDF times the strength of its tie to the label (root of chi-square over examples, never
+less than chance gives), so that words of everyday prose count, but do not drown the few that
+matter. Terms of many examples are a dense matrix, all others sparse posting lists; a product in
+single precision finds who can be among the nearest, within a proven bound, and those are scored
+in double. Neighbours vote with their similarity, and a curve fitted on the examples themselves,
+each without its own vote, turns the votes of both sides into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,13 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import fresh, row_batches, written
 from vecspark.llm.register import query
 
-PER_CLASS = 3000  # labelled examples of each class that are fitted, at most
-TERMS = 384  # terms, at most
-LEAST_CHI = 18.0  # chi-square of a term; a term without meaning gets there about once in fifty thousand
+PER_CLASS = 4000  # labelled examples of each class that are fitted, at most
 NEIGHBOURS = 15
 EVIDENCE = 5
-BLOCK = 32  # examples of a block
+TOGETHER = 32  # vectors searched at once
+DENSE = 3000  # the terms of most examples, so many, are dense; results do not depend on it
 STEMS = (3, 4, 5)  # letters of the beginnings of words that are terms as well
-KEPT_VECTORS = 50_000  # answers a worker remembers; results do not depend on it
+KEPT_TOKENS, KEPT_ANSWERS = 400_000, 50_000  # what a worker remembers; results do not depend on it
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,71 +43,174 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in STEMS if len(word) >= n)]
 
 
-def heads(known: dict[str, int]) -> set[str]:
-    """The first letters a word must have to have a known term."""
-    return {t.rstrip("~+")[: STEMS[0]] for t in known}
-
-
-def counts(text: str, known: dict[str, int] | None = None, first: set[str] | None = None) -> dict:
-    """How often the text has each term; by the known terms' numbers, in order, if those are given.
+def counts(text: str) -> dict[str, int]:
+    """How often the text has each term.
 
     A term that a text has twice or more is there a second time, marked as repeated: unit
     vectors forget how much there is of something, and once by chance is not the same as often.
     """
-    words = WORD.findall(text.lower())
-    if known is not None:
-        words = [w for w in words if w[: STEMS[0]] in first]
     out: dict = {}
-    for w, n in Counter(words).items():
+    for w, n in Counter(WORD.findall(text.lower())).items():
         for t in forms(w):
             out[t] = out.get(t, 0) + n
-    out |= {t + "+": n for t, n in out.items() if n > 1}
-    return out if known is None else dict(sorted((known[t], n) for t, n in out.items() if t in known))
+    return out | {t + "+": n for t, n in out.items() if n > 1}
+
+
+class Terms:
+    """The numbers of all known terms; remembers which of them a token has. Tokens are parted by blanks, which no word has."""
+
+    def __init__(self, names: list[str]):
+        self.known = {t: i for i, t in enumerate(names)}
+        self.repeated = np.array([self.known.get(t + "+", -1) for t in names], dtype=np.int32)
+        self.often, self.last = np.zeros(len(names), dtype=np.int32), np.zeros(len(names), dtype=np.int32)  # of one text at a time
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.heads: dict[str, list[int]] = {}
+        self.ids, self.starts = array("i"), array("q", [0])
+
+    def place(self, token: str) -> int:
+        for w in WORD.findall(token):
+            head = w[: STEMS[-1]]  # all words that begin alike have the same beginnings as terms
+            if head not in self.heads:
+                self.heads[head] = [self.known[t] for t in forms(head)[1:] if t in self.known]
+            self.ids.extend(self.heads[head])
+            if w in self.known:
+                self.ids.append(self.known[w])
+        self.starts.append(len(self.ids))
+        self.seen[token] = len(self.starts) - 2
+        return self.seen[token]
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``counts`` of each text by the numbers of the known terms: (numbers in order, how often)."""
+        out = []
+        for text in texts:
+            if len(self.seen) > KEPT_TOKENS:
+                self.clear()
+            own, seen = Counter(text.lower().split()), self.seen
+            rows = np.array([seen[t] if t in seen else self.place(t) for t in own], dtype=np.int64)
+            starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
+            n = starts[rows + 1] - starts[rows]
+            at = np.arange(n.sum()) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+            all_ids = ids[at]
+            del starts, ids  # the arrays can't grow while they are looked at
+            np.add.at(self.often, all_ids, np.repeat(np.array(list(own.values()), dtype=np.int32), n))
+            self.last[all_ids] = np.arange(len(all_ids))
+            t = all_ids[self.last[all_ids] == np.arange(len(all_ids))]  # each once
+            many = t[self.often[t] > 1]
+            again = self.repeated[many]
+            self.often[again[again >= 0]] = self.often[many[again >= 0]]
+            t = np.sort(np.concatenate([t, again[again >= 0]]))
+            out.append((t, self.often[t]))
+            self.often[t] = 0
+        return out
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples, by term, with block maxima. ``vectors``: (terms, weights) of each."""
+    """Unit vectors of examples with all their terms. ``vectors``: (terms, weights) of each, weights not below 0."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # Examples with the same heaviest term stand together: blocks are alike inside, and bounds are tight.
-        lead = [int(t[np.argmax(w)]) if len(t) else n_terms for t, w in vectors]
-        self.order = np.argsort(lead, kind="stable")
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        # Postings in blocks: the weight of each term in each example of a block.
-        self.weights = np.zeros((blocks, n_terms, BLOCK))
-        for place, i in enumerate(self.order.tolist()):
-            t, w = vectors[i]
-            self.weights[place // BLOCK, t, place % BLOCK] = w
-        self.most = np.ascontiguousarray(self.weights.max(axis=2).T)
+        self.n, self.n_terms = len(vectors), n_terms
+        self.ends = np.cumsum([0, *(len(t) for t, _ in vectors)])
+        self.terms, self.weights = np.zeros(self.ends[-1], dtype=np.int32), np.zeros(self.ends[-1])
+        held = np.zeros(n_terms, dtype=np.int64)
+        for t, _ in vectors:
+            held[t] += 1
+        dense = np.argsort(-held, kind="stable")[:DENSE]
+        self.column = np.full(n_terms, -1, dtype=np.int64)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), self.n), dtype=np.float32)
+        # Posting lists of the other terms: examples and weights, by term.
+        self.lists = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
+        self.who, self.by = np.zeros(self.lists[-1], dtype=np.int32), np.zeros(self.lists[-1], dtype=np.float32)
+        free = self.lists[:-1].copy()
+        for i, (t, w) in enumerate(vectors):
+            self.terms[self.ends[i] : self.ends[i + 1]], self.weights[self.ends[i] : self.ends[i + 1]] = t, w
+            col = self.column[t]
+            self.matrix[col[col >= 0], i] = w[col >= 0]
+            rare, v = t[col < 0], w[col < 0]
+            self.who[free[rare]], self.by[free[rare]] = i, v
+            free[rare] += 1
+        # Of sums of non-negative numbers in single precision: each summand is rounded, and so is each sum.
+        self.slack = 2.5 * (len(dense) + int(np.diff(self.ends).max(initial=0)) + 8) * 2.0**-24
 
     def search(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest cosine above 0, as (cosine, example); of equal ones those that stand first."""
-        bounds = w @ self.most[t]
-        best: list[tuple[float, int]] = []  # (-cosine, place)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
-            if bounds[b] <= least:
-                break
-            scores = w @ self.weights[b][t]
-            found = [(-float(scores[i]), b * BLOCK + i) for i in np.flatnonzero(scores > least).tolist()]
-            best = sorted(best + [x for x in found if self.order[x[1]] != without])[:k]
-        return [(min(1.0, -s), int(self.order[p])) for s, p in best]
+        return self.search_all([(t, w)], k, [without])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each, the k examples of highest cosine above 0, as (cosine, example); of equal ones those that stand first."""
+        out, exact = [], np.zeros(self.n_terms)
+        for first in range(0, len(queries), TOGETHER):
+            part = queries[first : first + TOGETHER]
+            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
+            t, w = np.concatenate([t for t, _ in part]).astype(np.int64), np.concatenate([w for _, w in part])
+            col = self.column[t]
+            q = np.zeros((len(part), len(self.matrix)), dtype=np.float32)
+            q[row[col >= 0], col[col >= 0]] = w[col >= 0]
+            near = q @ self.matrix
+            r, s, v = row[col < 0], self.lists[t[col < 0]], w[col < 0].astype(np.float32)
+            n = self.lists[t[col < 0] + 1] - s
+            at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
+            place = np.repeat(r * self.n, n) + self.who[at]
+            near += np.bincount(place, np.repeat(v, n) * self.by[at], near.size).reshape(near.shape).astype(np.float32)
+            for i, (t, w) in enumerate(part):
+                own, skip = near[i], -1 if without is None else without[first + i]
+                if skip >= 0:
+                    own[skip] = 0
+                least = np.partition(own, self.n - k)[self.n - k] * (1 - 2 * self.slack) if self.n > k else 0.0
+                found = np.flatnonzero((own > 0) & (own >= least))
+                exact[t] = w
+                scores = np.array([float(exact[self.terms[s:e]] @ self.weights[s:e]) for s, e in zip(self.ends[found].tolist(), self.ends[found + 1].tolist(), strict=True)])
+                exact[t] = 0
+                best = np.lexsort((found, -scores))[:k]
+                out.append([(min(1.0, float(scores[b])), int(found[b])) for b in best])
+        return out
 
 
 class Model:
-    """Everything a worker needs; bounded by the numbers of examples and terms."""
-
-    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rates: tuple[float, float]):
-        self.known = {t: i for i, t in enumerate(names)}
-        self.heads = heads(self.known)
-        self.idf, self.labels, self.ids = idf, [y for _, y, _ in examples], [i for i, _, _ in examples]
-        self.vectors = [self.vector(c) for _, _, c in examples]
-        self.index = BlockMaxIndex(self.vectors, len(names))
-        self.fit(rates)
-
-    def vector(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(list(found), dtype=np.int64)
-        w = (1 + np.log(np.array(list(found.values()), dtype=np.float64))) * self.idf[t]
+    """Everything a worker needs; bounded by the number of examples."""
+
+    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rates: tuple[float, float]):
+        self.names, self.labels, self.ids = "\n".join(names), [y for _, y, _, _ in examples], [i for i, _, _, _ in examples]
+        self.examples, self.rates, self.curve = [(t, c) for _, _, t, c in examples], rates, np.zeros(3)
+        self.weight = idf * self.ties(len(names))
+
+    def __getstate__(self) -> dict:
+        """Packed: gaps between the numbers of terms, and counts, of all examples. What follows from them is made where it is used."""
+        t, c = (np.concatenate([x[i] for x in self.examples]).astype(np.int32) for i in (0, 1))
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(t, prepend=np.int32(0)), c)]
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "index")} | {"examples": ([len(t) for t, _ in self.examples], *packed)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        sizes, t, c = state["examples"]
+        cuts = np.cumsum(sizes)[:-1]
+        t, c = np.cumsum(np.frombuffer(zlib.decompress(t), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(c), np.int32)
+        self.examples = list(zip(np.split(t, cuts), np.split(c, cuts), strict=True))
+
+    @cached_property
+    def terms(self) -> Terms:
+        return Terms(self.names.split("\n"))
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex([self.vector(*x) for x in self.examples], len(self.weight))
+
+    def ties(self, n_terms: int) -> np.ndarray:
+        """How strongly each term goes with either label: the root of chi-square over examples; 1 is what chance gives."""
+        y = np.array(self.labels, dtype=np.float64)
+        yes, no = y.sum(), len(y) - y.sum()
+        held, a = np.zeros(n_terms), np.zeros(n_terms)
+        for label, (t, _) in zip(self.labels, self.examples, strict=True):
+            held[t] += 1
+            a[t] += label
+        b = held - a
+        chi = len(y) * (a * (no - b) - b * (yes - a)) ** 2 / (np.maximum(held, 1) * np.maximum(len(y) - held, 1) * yes * no)
+        return np.sqrt(np.maximum(chi, 1) / len(y))
+
+    def vector(self, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(c.astype(np.float64))) * self.weight[t]
         return t, w / max(math.sqrt(float(w @ w)), 1e-300)
 
     def votes(self, near: list[tuple[float, int]]) -> tuple[float, float]:
@@ -111,9 +218,21 @@ class Model:
         yes = sum(s * s for s, i in near if self.labels[i]) / NEIGHBOURS
         return yes, sum(s * s for s, i in near if not self.labels[i]) / NEIGHBOURS
 
-    def fit(self, rates: tuple[float, float]) -> None:
+    def fit(self, spark: SparkSession) -> Model:
         """Logistic curve over the votes, each class weighed as it is among all labelled rows."""
-        x = np.array([(1.0, *self.votes(self.index.search(t, w, NEIGHBOURS, i) if len(t) else [])) for i, (t, w) in enumerate(self.vectors)])
+        shared = spark.sparkContext.broadcast(self)
+
+        def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                for first in range(0, b.num_rows, TOGETHER):
+                    own = b.column(0).to_pylist()[first : first + TOGETHER]
+                    x = [m.votes(near) for near in m.index.search_all([m.vector(*m.examples[i]) for i in own], NEIGHBOURS, own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([v for v, _ in x], pa.float64()), pa.array([v for _, v in x], pa.float64())], ["i", "yes", "no"])
+
+        rows = spark.range(len(self.examples)).mapInArrow(voted, "i long, yes double, no double").orderBy("i").collect()
+        shared.destroy()
+        x, rates = np.array([(1.0, r["yes"], r["no"]) for r in rows]), self.rates
         y = np.array(self.labels, dtype=np.float64)
         each = np.where(y > 0, rates[1], rates[0])
         c = np.zeros(3)
@@ -123,11 +242,14 @@ class Model:
             step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (each * (y - p)) - pull * c)
             c = c + step / max(1.0, float(np.abs(step).max()) / 5)
         self.curve = c
+        return self
 
-    def score(self, found: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
-        near = self.index.search(*self.vector(found), NEIGHBOURS) if found else []
-        z = float(np.array((1.0, *self.votes(near))) @ self.curve)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(self.ids[i], self.labels[i], s) for s, i in near[:EVIDENCE]]
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        out = []
+        for near in self.index.search_all([self.vector(*x) for x in self.terms.vectors(texts)], NEIGHBOURS):
+            z = float(np.array((1.0, *self.votes(near))) @ self.curve)
+            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(self.ids[i], self.labels[i], s) for s, i in near[:EVIDENCE]]))
+        return out
 
 
 def training_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -158,50 +280,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     texts = written(texts, "toxic-examples")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_batches(batches, 1, 1 << 20):
-            own = [sorted(counts(t)) for t in b.column(1).to_pylist()]
-            flat = [t for x in own for t in x]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array([y for x, y in zip(own, b.column(0).to_pylist(), strict=True) for _ in x], pa.int32())], ["term", "toxic"])
+        for b in row_batches(batches, 0, 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({t for x in b.column(0).to_pylist() for t in counts(x)}), pa.string())], ["term"])
 
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return prior
-    found = texts.select("toxic", "text").mapInArrow(terms_of, "term string, toxic int").groupBy("term")
-    found = found.agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    c, d = float(sizes[1]) - a, float(sizes[0]) - b
-    chi = float(sum(sizes.values())) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * F.greatest(c + d, F.lit(1.0)) * float(sizes[1]) * float(sizes[0]))
-    best = found.where(a * d > b * c).select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
-    names = sorted(r["term"] for r in best.collect())
+    names = sorted(texts.select("text").mapInArrow(terms_of, "term string").distinct().toArrow().column(0).to_pylist())
     if not names:
         return prior
-    numbers = {t: i for i, t in enumerate(names)}
-    first_letters = heads(numbers)
+    shared = docs.sparkSession.sparkContext.broadcast("\n".join(names))
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value.split("\n"))
         for b in row_batches(batches, 2, 1 << 20):
-            own = [counts(t, numbers, first_letters) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([list(x) for x in own], pa.list_(pa.int32())), pa.array([list(x.values()) for x in own], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"]
-            )
+            own = terms.vectors(b.column(2).to_pylist())
+            parts = [pa.array([x[i].astype("<i4").tobytes() for x in own], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], ["doc_id", "toxic", "terms", "counts"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = texts.mapInArrow(vectors_of, f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").orderBy("doc_id", "toxic").collect()
-    examples = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows]
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(vectors_of, f"doc_id {kind}, toxic int, terms binary, counts binary").orderBy("doc_id", "toxic").collect()
+    examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows]
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(names) + 1, dtype=np.int64)  # the last counts documents
+        terms = Terms(shared.value.split("\n"))
+        n = np.zeros(len(terms.known) + 1, dtype=np.int64)  # the last counts documents
         for b in row_batches(batches, 0):
             for t in b.column(0).to_pylist():
-                n[list(counts(t or "", numbers, first_letters))] += 1
+                n[terms.vectors([t or ""])[0][0]] += 1
             n[-1] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["term", "n"])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
 
     df = np.zeros(len(names) + 1)
-    for r in docs.select(F.col(text)).mapInArrow(documents_with, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    sums = docs.select(F.col(text)).mapInArrow(documents_with, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    return Model(names, idf, examples, (rates[0] / sizes[0], rates[1] / sizes[1]))
+    return Model(names, idf, examples, (rates[0] / sizes[0], rates[1] / sizes[1])).fit(docs.sparkSession)
 
 
 def score_documents(docs: DataFrame, model: Model | float, score: str = "score", evidence: str = "evidence", text: str = "text") -> DataFrame:
@@ -216,19 +331,17 @@ def score_documents(docs: DataFrame, model: Model | float, score: str = "score",
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, {}
         pairs = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
-        for b in row_batches(batches, at):
-            out = []
-            for t in b.column(at).to_pylist():
-                if isinstance(m, float):
-                    out.append((m, []))
-                    continue
-                found = counts(t or "", m.known, m.heads)
-                key = tuple(found.items())
-                if key not in seen:
-                    if len(seen) >= KEPT_VECTORS:
-                        seen.clear()
-                    seen[key] = m.score(found)
-                out.append(seen[key])
+        for b in row_batches(batches, at, 1 << 20):
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            if isinstance(m, float):
+                out = [(m, [])] * len(texts)
+            else:
+                keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                if len(seen) >= KEPT_ANSWERS:
+                    seen.clear()
+                new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
+                seen |= zip(new, m.scores(list(new.values())), strict=True)
+                out = [seen[k] for k in keys]
             near = [[{"doc_id": i, "toxic": y, "similarity": s} for i, y, s in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array(near, pairs)], [*b.schema.names, score, evidence])
 
