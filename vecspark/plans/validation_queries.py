@@ -185,8 +185,8 @@ def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {views.REQUEST_LOG} SELECT request_id, status::BIGINT AS status FROM ended",
 )
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of every logged request from its error code."""
-    logs = views.request_log(views.table(spark, sf_dir, "events")).filter(F.col("statusCode").isNotNull())
+    """Status of every logged request from the error code of the line that ends it."""
+    logs = views.request_log(views.table(spark, sf_dir, "events")).filter(F.col("msg") != "request received")
     return logs.select(F.col("requestId").alias("request_id"), error_status(F.col("error_code")).cast("bigint").alias("status"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.text import JS_WHITESPACE
-from vecspark.schema import VALIDATION_ERROR, EXTERNAL_SERVICE_ERROR
+from vecspark.schema import APP_ERROR, EXTERNAL_SERVICE_ERROR, NOT_FOUND, VALIDATION_ERROR
 
 VECTOR_DIMS = 64
 
@@ -256,12 +256,15 @@ def _route_case(parts: list[str]) -> Column:
 
 
 def request_log(events: DataFrame) -> DataFrame:
-    """Each event as a request: one line when it arrives, one when it ends. Lines of failures name no status."""
+    """Each event as a request: one line when it arrives, one when it ends.
+
+    Lines of failures name no status, and that of an unknown route names no latency either.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     failed = F.col("event_type") == "error"
     code = F.when(
         failed,
-        F.when(k % 3 == 0, VALIDATION_ERROR).when(k % 3 == 1, EXTERNAL_SERVICE_ERROR).otherwise("UNEXPECTED"),
+        F.when(k % 5 == 0, VALIDATION_ERROR).when(k % 5 == 1, EXTERNAL_SERVICE_ERROR).when(k % 5 == 2, NOT_FOUND).when(k % 5 == 3, APP_ERROR).otherwise("UNEXPECTED"),
     )
     e = events.select(
         F.col("ts"),
@@ -277,7 +280,8 @@ def request_log(events: DataFrame) -> DataFrame:
         "status",
         F.when(F.col("error_code").isNull(), 200)
         .when(F.col("error_code") == VALIDATION_ERROR, 400)
-        .when(F.col("error_code") == EXTERNAL_SERVICE_ERROR, 502)
+        .when(F.col("error_code") == NOT_FOUND, 404)
+        .when(F.col("error_code").isin(EXTERNAL_SERVICE_ERROR, APP_ERROR), 502)
         .otherwise(500),
     )
     arrival = F.struct(
@@ -291,11 +295,12 @@ def request_log(events: DataFrame) -> DataFrame:
     status = F.col("status")
     end = F.struct(
         F.col("ended").alias("time"),
-        F.when(status == 200, "info").when(status == 400, "warn").otherwise("error").alias("level"),
+        F.when(status == 200, "info").when(status.isin(400, 404), "warn").otherwise("error").alias("level"),
         F.when(status == 200, status).alias("statusCode"),
-        F.col("latency").alias("latencyMs"),
+        F.when(status != 404, F.col("latency")).alias("latencyMs"),
         F.when(status == 200, "request completed")
         .when(status == 400, "validation error")
+        .when(status == 404, "route not found")
         .when(status == 502, "application error")
         .otherwise("unexpected error")
         .alias("msg"),
@@ -309,17 +314,18 @@ REQUEST_LOG = """ended AS (
   SELECT ts, event_id::VARCHAR AS request_id, user_id::VARCHAR AS correlation_id,
          CASE event_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'POST' ELSE 'GET' END AS method,
          CASE event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/embeddings' WHEN 2 THEN '/search' ELSE '/documents' END AS path,
-         value AS latency, ts + to_microseconds(round(value * 1000)::BIGINT) AS ended,
+         CASE WHEN event_type = 'error' AND (props->>'$.k')::INT % 5 = 2 THEN NULL ELSE value END AS latency,
+         ts + to_microseconds(round(value * 1000)::BIGINT) AS ended,
          CASE WHEN event_type = 'error' THEN
-           CASE (props->>'$.k')::INT % 3 WHEN 0 THEN 400 WHEN 1 THEN 502 ELSE 500 END
+           CASE (props->>'$.k')::INT % 5 WHEN 0 THEN 400 WHEN 1 THEN 502 WHEN 2 THEN 404 WHEN 3 THEN 502 ELSE 500 END
          ELSE 200 END AS status
   FROM events),
 logs AS (
   SELECT ts AS time, 'info' AS level, NULL::INT AS status, NULL::DOUBLE AS latency, 'request received' AS msg,
          request_id, correlation_id, method, path FROM ended
   UNION ALL
-  SELECT ended, CASE status WHEN 200 THEN 'info' WHEN 400 THEN 'warn' ELSE 'error' END, status, latency,
-         CASE status WHEN 200 THEN 'request completed' WHEN 400 THEN 'validation error'
+  SELECT ended, CASE status WHEN 200 THEN 'info' WHEN 400 THEN 'warn' WHEN 404 THEN 'warn' ELSE 'error' END, status, latency,
+         CASE status WHEN 200 THEN 'request completed' WHEN 400 THEN 'validation error' WHEN 404 THEN 'route not found'
                      WHEN 502 THEN 'application error' ELSE 'unexpected error' END,
          request_id, correlation_id, method, path FROM ended)"""
 
