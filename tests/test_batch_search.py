@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.operators.ann import NO_CELL, approx_topk, read_by_cell, recall_at_k, train_cells, with_cell, write_by_cell
+from vecspark.operators.ann import NO_CELL, approx_topk, recall_at_k, train_cells
 from vecspark.operators.batch_search import TopK, batch_topk
 from vecspark.session import run_folder
+from vecspark.sources.vector_index import create_index
 
 DIMS = 6
 
@@ -136,39 +137,37 @@ def indexed(spark):
     requests = [q for q in requests if q[1] != [0.0] * DIMS]
     c, r = frames(spark, corpus, requests)
     cells = train_cells(c.filter(~F.exists("embedding", lambda x: x.isNull())), 5, DIMS)
-    path = run_folder(spark, "cells")
-    write_by_cell(c, cells, path)
-    return read_by_cell(spark, path), r, cells, expected(corpus, requests)
+    return create_index(c, cells, run_folder(spark, "index")), r, c, expected(corpus, requests)
 
 
 def test_all_cells_give_the_exact_result(indexed):
-    c, r, cells, want = indexed
-    assert rows(approx_topk(c, r, cells, nprobe=len(cells))) == want
-    assert rows(approx_topk(c, r, cells, nprobe=len(cells), broadcast_bytes=0, block_bytes=5000)) == want
+    index, r, _, want = indexed
+    assert rows(approx_topk(index, r, nprobe=5)) == want
+    assert rows(approx_topk(index, r, nprobe=5, broadcast_bytes=0)) == want
 
 
-def test_recall_rises_with_the_cells_probed(spark, indexed):
-    c, r, cells, _ = indexed
-    exact = approx_topk(c, r, cells, len(cells))
-    recalls = [recall_at_k(exact, approx_topk(c, r, cells, n)).first().recall for n in (1, 2, 4, 5)]
+def test_recall_rises_with_the_cells_probed(indexed):
+    index, r, _, _ = indexed
+    exact = approx_topk(index, r, 5)
+    recalls = [recall_at_k(exact, approx_topk(index, r, n)).first().recall for n in (1, 2, 4, 5)]
     assert recalls == sorted(recalls) and recalls[-1] == 1.0 and 0 < recalls[0] < 1
 
 
-def test_few_cells_are_read_from_their_folders_only(spark, indexed):
-    c, r, cells, _ = indexed
-    one = approx_topk(c, r.filter("query_id = 'copy'"), cells, nprobe=1)
+def test_few_cells_are_read_from_their_folders_only(indexed):
+    index, r, _, _ = indexed
+    one = approx_topk(index, r.filter("query_id = 'copy'"), nprobe=1)
     plan = one._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
 
 
 def test_cell_of_rows_without_a_direction(spark, indexed):
-    _, _, cells, _ = indexed
+    cells = indexed[0].cells
     df = spark.createDataFrame([("z", [0.0] * DIMS), ("n", None), ("v", [1.0] * DIMS)], "id string, embedding array<float>")
-    got = {x.id: x.cell for x in with_cell(df, cells).collect()}
+    got = {x.id: x.at.cell for x in df.withColumn("at", cells.placed(F.col("embedding"))).collect()}
     assert got["z"] == got["n"] == NO_CELL and got["v"] >= 0
 
 
 def test_size_of_the_centres_is_checked(indexed):
-    c = indexed[0]
+    c = indexed[2]
     with pytest.raises(ValueError, match="centres"):
         train_cells(c, 10_000_000, DIMS)

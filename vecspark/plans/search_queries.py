@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.vector import cosine_distance, cosine_similarity, vector_literal
-from vecspark.operators.ann import approx_topk, read_by_cell, recall_at_k, train_cells, write_by_cell
+from vecspark.operators.ann import Cells, approx_topk, bounded_topk, cells_of, recall_at_k, train_cells
 from vecspark.operators.batch_search import batch_topk
 from vecspark.operators.envelope import list_envelope, search_envelope
 from vecspark.operators.search import recent_documents, result_rank, threshold_filter, topk_search, with_similarity
 from vecspark.plans import views
 from vecspark.plans.registry import query
 from vecspark.session import run_folder
+from vecspark.sources.vector_index import VectorIndex, create_index, open_index
 
 CELLS = 16
+CENTRE_STEP = 31  # every so many of the first vectors is a centre
+NPROBE = 12
 
 
 @query("cosine_distance", f"WITH {views.SCORED_VECTORS} SELECT id, round(1 - similarity, 6) AS distance FROM scored")
@@ -138,13 +141,26 @@ def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.select("count", F.array_join(shown, ",").alias("documents"))
 
 
-def _by_cell(spark: SparkSession, sf_dir: str):
-    """The vectors stored by cell, and the cells."""
+def _index(spark: SparkSession, sf_dir: str, cells: Cells | None = None) -> VectorIndex:
+    """All vectors in an index that is stored in two batches and opened again; given vectors are the centres."""
     corpus = views.vectors(spark, sf_dir)
-    cells = train_cells(corpus, CELLS, views.VECTOR_DIMS)
-    path = run_folder(spark, "cells")
-    write_by_cell(corpus, cells, path)
-    return read_by_cell(spark, path), cells
+    if cells is None:
+        cells = cells_of(corpus.filter((F.col("id") % CENTRE_STEP == 0) & (F.col("id") < CELLS * CENTRE_STEP)))
+    path = run_folder(spark, "index")
+    create_index(corpus.filter(F.col("id") % 3 > 0), cells, path).append(corpus)
+    return open_index(spark, path)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("similarity", 6).alias("similarity"))
+
+
+# The cells around given vectors, and how near each is to each vector.
+_NEAR = f"""centres AS (
+  SELECT vec_id // {CENTRE_STEP} AS cell, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {CENTRE_STEP} = 0 AND vec_id < {CELLS * CENTRE_STEP}),
+near AS (
+  SELECT e.vec_id AS id, cell, row_number() OVER (PARTITION BY e.vec_id
+    ORDER BY list_dot_product(e.embedding::DOUBLE[], c.v) / sqrt(list_dot_product(c.v, c.v)) DESC, cell) AS place FROM embeddings e, centres c)"""
 
 
 @query(
@@ -152,27 +168,60 @@ def _by_cell(spark: SparkSession, sf_dir: str):
     f"WITH {views.RANKED_VECTORS} SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM found",
 )
 def _approx_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probing all cells gives the exact result."""
-    indexed, cells = _by_cell(spark, sf_dir)
-    found = approx_topk(indexed, views.vector_requests(spark, sf_dir), cells, nprobe=CELLS)
-    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("similarity", 6).alias("similarity"))
+    """Probing all cells gives the exact result; cells by k-means."""
+    index = _index(spark, sf_dir, train_cells(views.vectors(spark, sf_dir), CELLS, views.VECTOR_DIMS))
+    return _shown(approx_topk(index, views.vector_requests(spark, sf_dir), nprobe=CELLS))
 
 
-@query("approx_topk")
+@query(
+    "approx_topk",
+    f"""WITH {views.RANKED_VECTORS}, {_NEAR}, probed AS (
+      SELECT query_id, r.id, similarity, lim, threshold, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, r.id) AS rank
+      FROM ranked r JOIN near own ON own.id = r.id AND own.place = 1 JOIN near asked ON asked.id = query_id AND asked.cell = own.cell AND asked.place <= {NPROBE})
+    SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM probed WHERE rank <= lim AND (threshold IS NULL OR similarity >= threshold)""",
+)
 def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed, cells = _by_cell(spark, sf_dir)
-    return approx_topk(indexed, views.vector_requests(spark, sf_dir), cells, nprobe=4)
+    """The nearest cells of each request; see ``recall_at_k`` for what that finds."""
+    return _shown(approx_topk(_index(spark, sf_dir), views.vector_requests(spark, sf_dir), nprobe=NPROBE))
+
+
+@query(
+    "approx_topk_join",
+    f"WITH {views.RANKED_VECTORS} SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM found",
+)
+def _approx_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells again, by the join on cells that any number of requests can take."""
+    return _shown(approx_topk(_index(spark, sf_dir), views.vector_requests(spark, sf_dir), nprobe=CELLS, broadcast_bytes=0))
+
 
+@query(
+    "bounded_topk",
+    f"WITH {views.RANKED_VECTORS} SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM found",
+)
+def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact result from cells that are read until no other can hold a better row."""
+    return _shown(bounded_topk(_index(spark, sf_dir), views.vector_requests(spark, sf_dir), first=2)[0])
 
-@query("recall_at_k")
+
+_MEASURED = (1, 4, 8, NPROBE, CELLS)
+
+
+@query(
+    "recall_at_k",
+    f"""WITH {views.RANKED_VECTORS}, {_NEAR}, hits AS (
+      SELECT query_id, nprobe, avg((asked.place <= nprobe)::INT) AS share
+      FROM found f JOIN near own ON own.id = f.id AND own.place = 1 JOIN near asked ON asked.id = query_id AND asked.cell = own.cell,
+        (SELECT unnest([{", ".join(map(str, _MEASURED))}]) AS nprobe)
+      GROUP BY query_id, nprobe)
+    SELECT nprobe, count(*) AS queries, round(avg(share), 9) AS recall FROM hits GROUP BY nprobe""",
+)
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the exact results found with 1, 4, 8 and all cells."""
-    indexed, cells = _by_cell(spark, sf_dir)
+    """Share of the exact results found, by cells probed."""
+    index = _index(spark, sf_dir)
     requests = views.vector_requests(spark, sf_dir)
     exact = _batch(spark, sf_dir)
     rows = None
-    for nprobe in (1, 4, 8, CELLS):
-        found = approx_topk(indexed, requests, cells, nprobe)
-        row = recall_at_k(exact, found).select(F.lit(nprobe).alias("nprobe"), "queries", "recall")
+    for nprobe in _MEASURED:
+        row = recall_at_k(exact, approx_topk(index, requests, nprobe)).select(F.lit(nprobe).alias("nprobe"), "queries", F.round("recall", 9).alias("recall"))
         rows = row if rows is None else rows.union(row)
     return rows

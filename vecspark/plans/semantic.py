@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.text import trim_text
+from vecspark.operators.ann import approx_topk, bounded_topk
 from vecspark.operators.batch_search import batch_topk
 from vecspark.operators.embed import Embedder, embed_texts, with_embed_errors
 from vecspark.operators.envelope import search_envelope
@@ -15,6 +16,7 @@ from vecspark.operators.requests import parse_search_requests
 from vecspark.operators.validation import ERROR_COLUMNS, effective_limit, limit_rule, text_rules, threshold_rule, with_errors
 from vecspark.schema import TASK_QUERY
 from vecspark.session import configure, run_folder, spread
+from vecspark.sources.vector_index import VectorIndex
 
 BROADCAST_RESULTS = 500_000
 
@@ -61,10 +63,20 @@ def check_searches(requests: DataFrame) -> DataFrame:
 
 
 def semantic_search(
-    requests: DataFrame, corpus: DataFrame, embedder: Embedder, id: str = "id", vector: str = "embedding", **sizes
+    requests: DataFrame,
+    corpus: DataFrame | None,
+    embedder: Embedder,
+    id: str = "id",
+    vector: str = "embedding",
+    index: VectorIndex | None = None,
+    nprobe: int | None = None,
+    **sizes,
 ) -> SearchOutcome:
     """Answer (query_id, query, limit, threshold) or (query_id, body) rows over a corpus.
 
+    With an index, the ``nprobe`` nearest cells of each request are searched, or, without a
+    number, as many as it takes to prove the result exact; the corpus is not read then.
+
     The embedded requests are written once, so that the model runs once per query, and so
     are the results, so that ``ranked`` and ``envelope`` do not search again.
     """
@@ -80,7 +92,12 @@ def semantic_search(
     embedded.withColumn("request", F.monotonically_increasing_id()).write.parquet(staging)
     staged = spark.read.parquet(staging)
     good = staged.filter(F.col("error_code").isNull())
-    best = batch_topk(corpus, good, embedder.dims, id=id, vector=vector, query_id="request", **sizes)
+    if index is None:
+        best = batch_topk(corpus, good, embedder.dims, id=id, vector=vector, query_id="request", **sizes)
+    elif nprobe is None:
+        best, _ = bounded_topk(index, good, query_id="request", **sizes)
+    else:
+        best = approx_topk(index, good, nprobe, query_id="request", **sizes)
     best = best.withColumnRenamed("query_id", "request").join(good.select("request", "query_id"), "request")
     results = run_folder(spark, "results")
     best.write.parquet(results)

@@ -11,6 +11,7 @@ from vecspark.operators.logs import with_status
 from vecspark.plans.ingest import index_documents
 from vecspark.plans.semantic import semantic_search
 from vecspark.sources.corpus import read_corpus, utc_now
+from vecspark.sources.vector_index import open_index
 
 
 def stream_ingest(
@@ -36,16 +37,26 @@ def stream_ingest(
 
 
 def stream_search(
-    requests: DataFrame, corpus_table: str, embedder: Embedder, results: str, checkpoint: str
+    requests: DataFrame,
+    corpus_table: str,
+    embedder: Embedder,
+    results: str,
+    checkpoint: str,
+    index: str | None = None,
+    nprobe: int | None = None,
 ) -> DataStreamWriter:
     """Answer a stream of search requests over the corpus as stored when the batch starts.
 
-    Each batch has its own folder and overwrites it when it is run again.
+    Each batch has its own folder and overwrites it when it is run again. With the path of an
+    index, its last version is opened for each batch and only the cells the batch needs are read.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        corpus = read_corpus(batch.sparkSession, corpus_table)
-        outcome = semantic_search(batch, corpus, embedder)
+        spark = batch.sparkSession
+        if index is None:
+            outcome = semantic_search(batch, read_corpus(spark, corpus_table), embedder)
+        else:
+            outcome = semantic_search(batch, None, embedder, index=open_index(spark, index), nprobe=nprobe)
         outcome.ranked.write.mode("overwrite").parquet(f"{results}/ranked/batch={batch_id}")
         outcome.quarantine.write.mode("overwrite").parquet(f"{results}/quarantine/batch={batch_id}")
 
