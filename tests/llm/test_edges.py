@@ -116,11 +116,10 @@ def test_block_max_search_is_exact():
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for t, w in vectors[:100]:
-        if len(t):
-            want = np.sort((dense[:, t] @ w))[::-1][:15]
-            got = [s for s, _ in index.search(t, w, 15)]
-            assert np.allclose(got, np.minimum(1, want[: len(got)])) and (len(got) == 15 or want[len(got)] <= 0)
+    for (t, w), got in zip(vectors[:100], index.search_all(vectors[:100], 15), strict=True):
+        scores = dense[:, t] @ w
+        want = np.lexsort((np.arange(500), -scores))[:15]
+        assert [i for _, i in got] == want[scores[want] > 0].tolist()
 
 
 def test_url_rules(spark):

@@ -1,12 +1,14 @@
-"""Toxicity by nearest labelled examples: exact cosine over all their terms, TF-IDF weighed by class.
-
-Terms are words and their beginnings: all that an example has, without a limit. A term weighs
-its TF-IDF times the strength of its tie to the label (root of chi-square over examples, never
-less than chance gives), so that words of everyday prose count, but do not drown the few that
-matter. Terms of many examples are a dense matrix, all others sparse posting lists; a product in
-single precision finds who can be among the nearest, within a proven bound, and those are scored
-in double. Neighbours vote with their similarity, and a curve fitted on the examples themselves,
-each without its own vote, turns the votes of both sides into a probability.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+
+A text is the TF-IDF vector of the beginnings of its words. The examples of each label have an
+index of their own: posting lists cut into blocks of examples that are alike, each with the
+greatest weight in it. The sum of these over a text's terms bounds the cosine with any example
+of a block, so blocks that cannot hold one of the nearest are never scored.
+
+The nearest examples of either label vote with their similarity. A vote counts in full for the
+part of the similarity that comes from terms tied to the label and is set against the other
+side's votes for the rest. A curve fitted on the examples, each without its own vote, turns the
+votes into a probability; the nearest examples are returned as evidence.
 """
 
 from __future__ import annotations
@@ -14,242 +16,222 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vecspark.llm.common import fresh, row_batches, written
 from vecspark.llm.register import query
 
 PER_CLASS = 4000  # labelled examples of each class that are fitted, at most
+TERMS_PER_CLASS = 8_000_000  # and at most so many terms of all of them together: bounds the model when examples are very long
+LETTERS = 4  # of a word's beginning
 NEIGHBOURS = 15
 EVIDENCE = 5
-TOGETHER = 32  # vectors searched at once
-DENSE = 3000  # the terms of most examples, so many, are dense; results do not depend on it
-STEMS = (3, 4, 5)  # letters of the beginnings of words that are terms as well
-KEPT_TOKENS, KEPT_ANSWERS = 400_000, 50_000  # what a worker remembers; results do not depend on it
+TIE = 5.0  # standard deviations by which a term must be more frequent with a label
+BLOCK = 32  # examples of a block
+DENSE = 1000  # the terms of most examples, so many, are kept as small dense matrices; results do not depend on it
+TOGETHER = 32  # texts searched at once
+KEPT_ANSWERS = 50_000  # what a worker remembers; results do not depend on it
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def forms(word: str) -> list[str]:
-    """The terms of a word: itself and its beginnings."""
-    return [word, *(word[:n] + "~" for n in STEMS if len(word) >= n)]
+def counts(text: str) -> Counter:
+    """How often the text has each term."""
+    return Counter(w[:LETTERS] for w in WORD.findall(text.lower()))
 
 
-def counts(text: str) -> dict[str, int]:
-    """How often the text has each term.
+def unit(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of length 1; a term counts less the more often it is repeated."""
+    w = (1 + np.log(counted.astype(np.float64))) * idf
+    return w / max(math.sqrt(float(w @ w)), 1e-300)
 
-    A term that a text has twice or more is there a second time, marked as repeated: unit
-    vectors forget how much there is of something, and once by chance is not the same as often.
-    """
-    out: dict = {}
-    for w, n in Counter(WORD.findall(text.lower())).items():
-        for t in forms(w):
-            out[t] = out.get(t, 0) + n
-    return out | {t + "+": n for t, n in out.items() if n > 1}
-
-
-class Terms:
-    """The numbers of all known terms; remembers which of them a token has. Tokens are parted by blanks, which no word has."""
-
-    def __init__(self, names: list[str]):
-        self.known = {t: i for i, t in enumerate(names)}
-        self.repeated = np.array([self.known.get(t + "+", -1) for t in names], dtype=np.int32)
-        self.often, self.last = np.zeros(len(names), dtype=np.int32), np.zeros(len(names), dtype=np.int32)  # of one text at a time
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.heads: dict[str, list[int]] = {}
-        self.ids, self.starts = array("i"), array("q", [0])
-
-    def place(self, token: str) -> int:
-        for w in WORD.findall(token):
-            head = w[: STEMS[-1]]  # all words that begin alike have the same beginnings as terms
-            if head not in self.heads:
-                self.heads[head] = [self.known[t] for t in forms(head)[1:] if t in self.known]
-            self.ids.extend(self.heads[head])
-            if w in self.known:
-                self.ids.append(self.known[w])
-        self.starts.append(len(self.ids))
-        self.seen[token] = len(self.starts) - 2
-        return self.seen[token]
-
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``counts`` of each text by the numbers of the known terms: (numbers in order, how often)."""
-        out = []
-        for text in texts:
-            if len(self.seen) > KEPT_TOKENS:
-                self.clear()
-            own, seen = Counter(text.lower().split()), self.seen
-            rows = np.array([seen[t] if t in seen else self.place(t) for t in own], dtype=np.int64)
-            starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
-            n = starts[rows + 1] - starts[rows]
-            at = np.arange(n.sum()) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
-            all_ids = ids[at]
-            del starts, ids  # the arrays can't grow while they are looked at
-            np.add.at(self.often, all_ids, np.repeat(np.array(list(own.values()), dtype=np.int32), n))
-            self.last[all_ids] = np.arange(len(all_ids))
-            t = all_ids[self.last[all_ids] == np.arange(len(all_ids))]  # each once
-            many = t[self.often[t] > 1]
-            again = self.repeated[many]
-            self.often[again[again >= 0]] = self.often[many[again >= 0]]
-            t = np.sort(np.concatenate([t, again[again >= 0]]))
-            out.append((t, self.often[t]))
-            self.often[t] = 0
-        return out
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples with all their terms. ``vectors``: (terms, weights) of each, weights not below 0."""
+    """Unit vectors of examples. ``vectors``: (terms in order, weights above 0) of each."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n, self.n_terms = len(vectors), n_terms
-        self.ends = np.cumsum([0, *(len(t) for t, _ in vectors)])
-        self.terms, self.weights = np.zeros(self.ends[-1], dtype=np.int32), np.zeros(self.ends[-1])
-        held = np.zeros(n_terms, dtype=np.int64)
-        for t, _ in vectors:
-            held[t] += 1
+        self.order = self.alike(vectors)  # the example at each place
+        self.place = np.argsort(self.order)
+        self.blocks = -(-self.n // BLOCK)
+        sizes = np.array([len(t) for t, _ in vectors], dtype=np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
+        self.weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        place, by = np.repeat(self.place, sizes), self.weights.astype(np.float32)
+        held = np.bincount(self.terms, minlength=n_terms)
         dense = np.argsort(-held, kind="stable")[:DENSE]
         self.column = np.full(n_terms, -1, dtype=np.int64)
         self.column[dense] = np.arange(len(dense))
-        self.matrix = np.zeros((len(dense), self.n), dtype=np.float32)
-        # Posting lists of the other terms: examples and weights, by term.
-        self.lists = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
-        self.who, self.by = np.zeros(self.lists[-1], dtype=np.int32), np.zeros(self.lists[-1], dtype=np.float32)
-        free = self.lists[:-1].copy()
-        for i, (t, w) in enumerate(vectors):
-            self.terms[self.ends[i] : self.ends[i + 1]], self.weights[self.ends[i] : self.ends[i + 1]] = t, w
-            col = self.column[t]
-            self.matrix[col[col >= 0], i] = w[col >= 0]
-            rare, v = t[col < 0], w[col < 0]
-            self.who[free[rare]], self.by[free[rare]] = i, v
-            free[rare] += 1
+        col = self.column[self.terms]
+        self.matrix = np.zeros((self.blocks, len(dense), BLOCK), dtype=np.float32)
+        own = col >= 0
+        self.matrix[place[own] // BLOCK, col[own], place[own] % BLOCK] = by[own]
+        self.most = self.matrix.max(axis=2, initial=0).T.copy()  # (dense term, block)
+        # All other terms: postings by term and block, and for each such pair its greatest weight.
+        t, place, by = self.terms[~own], place[~own], by[~own]
+        at = np.lexsort((place, t))
+        t, self.who, self.by = t[at], place[at], by[at]
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (np.diff(t) != 0) | (np.diff(self.who // BLOCK) != 0)
+        self.pair_start = np.flatnonzero(new)
+        self.pair_size = np.diff(np.append(self.pair_start, len(t)))
+        self.pair_block = self.who[self.pair_start] // BLOCK
+        self.pair_most = np.maximum.reduceat(self.by, self.pair_start) if len(t) else np.zeros(0, dtype=np.float32)
+        self.lists = np.searchsorted(t[self.pair_start], np.arange(n_terms + 1))
         # Of sums of non-negative numbers in single precision: each summand is rounded, and so is each sum.
-        self.slack = 2.5 * (len(dense) + int(np.diff(self.ends).max(initial=0)) + 8) * 2.0**-24
-
-    def search(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        return self.search_all([(t, w)], k, [without])[0]
+        self.slack = 2.5 * (len(dense) + int(sizes.max(initial=0)) + 8) * 2.0**-24
+
+    @staticmethod
+    def alike(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """An order in which examples with the same terms are near each other: halved again and again across the widest direction."""
+        rng = np.random.default_rng(7)
+        table = rng.normal(size=(4096, 32)).astype(np.float32)
+        x = np.array([w @ table[t % 4096] for t, w in vectors]).reshape(len(vectors), 32)
+        out, todo = [], [np.arange(len(vectors))]
+        while todo:
+            own = todo.pop()
+            if len(own) <= BLOCK:
+                out.append(own)
+                continue
+            y = x[own] - x[own].mean(axis=0)
+            along = np.linalg.eigh(y.T @ y)[1][:, -1]
+            ranked, half = own[np.argsort(y @ along, kind="stable")], -(-len(own) // (2 * BLOCK)) * BLOCK
+            todo += [ranked[half:], ranked[:half]]
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def bounds(self, part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(text, block) bounds of cosines, the dense part of the texts, and (text, term, weight) of the rest."""
+        row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
+        t, w = np.concatenate([t for t, _ in part]).astype(np.int64), np.concatenate([w for _, w in part]).astype(np.float32)
+        col = self.column[t]
+        q = np.zeros((len(part), len(self.most)), dtype=np.float32)
+        q[row[col >= 0], col[col >= 0]] = w[col >= 0]
+        row, t, w = row[col < 0], t[col < 0], w[col < 0]
+        n = self.lists[t + 1] - self.lists[t]
+        pair = spans(self.lists[t], n)
+        upper = np.bincount(np.repeat(row, n) * self.blocks + self.pair_block[pair], np.repeat(w, n) * self.pair_most[pair], len(part) * self.blocks)
+        return (q @ self.most + upper.reshape(len(part), self.blocks)) * (1 + self.slack), q, (row, t, w)
+
+    def score(self, near: np.ndarray, q: np.ndarray, rest: tuple, chosen: np.ndarray) -> None:
+        """Fill in the cosines with all examples of the chosen blocks."""
+        for b in np.flatnonzero(chosen).tolist():
+            near[:, b * BLOCK : (b + 1) * BLOCK] = q @ self.matrix[b]
+        row, t, w = rest
+        n = self.lists[t + 1] - self.lists[t]
+        pair = spans(self.lists[t], n)
+        row, w = np.repeat(row, n), np.repeat(w, n)
+        own = chosen[self.pair_block[pair]]
+        row, w, pair = row[own], w[own], pair[own]
+        size = self.pair_size[pair]
+        at = spans(self.pair_start[pair], size)
+        near += np.bincount(np.repeat(row, size) * near.shape[1] + self.who[at], np.repeat(w, size) * self.by[at], near.size).reshape(near.shape).astype(np.float32)
 
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each, the k examples of highest cosine above 0, as (cosine, example); of equal ones those that stand first."""
-        out, exact = [], np.zeros(self.n_terms)
-        for first in range(0, len(queries), TOGETHER):
-            part = queries[first : first + TOGETHER]
-            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            t, w = np.concatenate([t for t, _ in part]).astype(np.int64), np.concatenate([w for _, w in part])
-            col = self.column[t]
-            q = np.zeros((len(part), len(self.matrix)), dtype=np.float32)
-            q[row[col >= 0], col[col >= 0]] = w[col >= 0]
-            near = q @ self.matrix
-            r, s, v = row[col < 0], self.lists[t[col < 0]], w[col < 0].astype(np.float32)
-            n = self.lists[t[col < 0] + 1] - s
-            at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
-            place = np.repeat(r * self.n, n) + self.who[at]
-            near += np.bincount(place, np.repeat(v, n) * self.by[at], near.size).reshape(near.shape).astype(np.float32)
-            for i, (t, w) in enumerate(part):
-                own, skip = near[i], -1 if without is None else without[first + i]
-                if skip >= 0:
-                    own[skip] = 0
-                least = np.partition(own, self.n - k)[self.n - k] * (1 - 2 * self.slack) if self.n > k else 0.0
-                found = np.flatnonzero((own > 0) & (own >= least))
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        if not self.n:
+            return out
+        exact = np.zeros(self.n_terms)
+        few = -(-k // BLOCK) + 2
+        made = [(s, *self.bounds(queries[s : s + TOGETHER])) for s in range(0, len(queries), TOGETHER)]
+        best = np.concatenate([upper.argmax(axis=1) for _, upper, _, _ in made]) if made else np.zeros(0)
+        ranked = np.argsort(best, kind="stable")  # texts that go to the same blocks are searched together
+        self.scored = self.all_blocks = 0
+        for first in range(0, len(ranked), TOGETHER):
+            own = ranked[first : first + TOGETHER].tolist()
+            part = [queries[i] for i in own]
+            upper, q, rest = self.bounds(part)
+            near = np.zeros((len(part), self.blocks * BLOCK), dtype=np.float32)
+            skip = np.array([-1 if without is None else without[i] for i in own])
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[np.argpartition(-upper, min(few, self.blocks) - 1, axis=1)[:, :few].ravel()] = True
+            self.score(near, q, rest, chosen)
+            has = np.flatnonzero(skip >= 0)
+            near[has, self.place[skip[has]]] = 0
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.zeros(len(part))
+            more = ((upper > 0) & (upper >= (least * (1 - 2 * self.slack))[:, None])).any(axis=0) & ~chosen
+            if more.any():
+                self.score(near, q, rest, more)
+                near[has, self.place[skip[has]]] = 0
+                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else least
+            self.scored += int(chosen.sum() + more.sum()) * len(part)
+            self.all_blocks += self.blocks * len(part)
+            least = least * (1 - 2 * self.slack)
+            for i, (t, w), row, low in zip(own, part, near, least.tolist(), strict=True):
+                found = np.sort(self.order[np.flatnonzero((row[: self.n] > 0) & (row[: self.n] >= low))])
                 exact[t] = w
                 scores = np.array([float(exact[self.terms[s:e]] @ self.weights[s:e]) for s, e in zip(self.ends[found].tolist(), self.ends[found + 1].tolist(), strict=True)])
                 exact[t] = 0
-                best = np.lexsort((found, -scores))[:k]
-                out.append([(min(1.0, float(scores[b])), int(found[b])) for b in best])
+                top = np.lexsort((found, -scores))[:k]
+                out[i] = [(min(1.0, float(scores[b])), int(found[b])) for b in top]
         return out
 
 
 class Model:
-    """Everything a worker needs; bounded by the number of examples."""
-
-    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rates: tuple[float, float]):
-        self.names, self.labels, self.ids = "\n".join(names), [y for _, y, _, _ in examples], [i for i, _, _, _ in examples]
-        self.examples, self.rates, self.curve = [(t, c) for _, _, t, c in examples], rates, np.zeros(3)
-        self.weight = idf * self.ties(len(names))
-
-    def __getstate__(self) -> dict:
-        """Packed: gaps between the numbers of terms, and counts, of all examples. What follows from them is made where it is used."""
-        t, c = (np.concatenate([x[i] for x in self.examples]).astype(np.int32) for i in (0, 1))
-        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(t, prepend=np.int32(0)), c)]
-        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "index")} | {"examples": ([len(t) for t, _ in self.examples], *packed)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        sizes, t, c = state["examples"]
-        cuts = np.cumsum(sizes)[:-1]
-        t, c = np.cumsum(np.frombuffer(zlib.decompress(t), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(c), np.int32)
-        self.examples = list(zip(np.split(t, cuts), np.split(c, cuts), strict=True))
-
-    @cached_property
-    def terms(self) -> Terms:
-        return Terms(self.names.split("\n"))
-
-    @cached_property
-    def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex([self.vector(*x) for x in self.examples], len(self.weight))
-
-    def ties(self, n_terms: int) -> np.ndarray:
-        """How strongly each term goes with either label: the root of chi-square over examples; 1 is what chance gives."""
-        y = np.array(self.labels, dtype=np.float64)
-        yes, no = y.sum(), len(y) - y.sum()
-        held, a = np.zeros(n_terms), np.zeros(n_terms)
-        for label, (t, _) in zip(self.labels, self.examples, strict=True):
-            held[t] += 1
-            a[t] += label
-        b = held - a
-        chi = len(y) * (a * (no - b) - b * (yes - a)) ** 2 / (np.maximum(held, 1) * np.maximum(len(y) - held, 1) * yes * no)
-        return np.sqrt(np.maximum(chi, 1) / len(y))
-
-    def vector(self, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(c.astype(np.float64))) * self.weight[t]
-        return t, w / max(math.sqrt(float(w @ w)), 1e-300)
-
-    def votes(self, near: list[tuple[float, int]]) -> tuple[float, float]:
-        """What neighbours say for and against, each as loud as it is near; a farther one counts for less than its cosine."""
-        yes = sum(s * s for s, i in near if self.labels[i]) / NEIGHBOURS
-        return yes, sum(s * s for s, i in near if not self.labels[i]) / NEIGHBOURS
-
-    def fit(self, spark: SparkSession) -> Model:
-        """Logistic curve over the votes, each class weighed as it is among all labelled rows."""
-        shared = spark.sparkContext.broadcast(self)
-
-        def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for b in batches:
-                for first in range(0, b.num_rows, TOGETHER):
-                    own = b.column(0).to_pylist()[first : first + TOGETHER]
-                    x = [m.votes(near) for near in m.index.search_all([m.vector(*m.examples[i]) for i in own], NEIGHBOURS, own)]
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([v for v, _ in x], pa.float64()), pa.array([v for _, v in x], pa.float64())], ["i", "yes", "no"])
-
-        rows = spark.range(len(self.examples)).mapInArrow(voted, "i long, yes double, no double").orderBy("i").collect()
-        shared.destroy()
-        x, rates = np.array([(1.0, r["yes"], r["no"]) for r in rows]), self.rates
-        y = np.array(self.labels, dtype=np.float64)
-        each = np.where(y > 0, rates[1], rates[0])
-        c = np.zeros(3)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-            pull = np.array([1e-3, 1e-2, 1e-2])  # keeps the curve finite where classes part cleanly
-            step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (each * (y - p)) - pull * c)
-            c = c + step / max(1.0, float(np.abs(step).max()) / 5)
-        self.curve = c
-        return self
-
-    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        out = []
-        for near in self.index.search_all([self.vector(*x) for x in self.terms.vectors(texts)], NEIGHBOURS):
-            z = float(np.array((1.0, *self.votes(near))) @ self.curve)
-            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(self.ids[i], self.labels[i], s) for s, i in near[:EVIDENCE]]))
-        return out
+    """What a worker needs, made from plain data: bounded by the examples."""
+
+    def __init__(self, state: dict):
+        self.names, self.idf, self.curve = {t: i for i, t in enumerate(state["names"])}, state["idf"], state["curve"]
+        self.ids, self.own = state["ids"], state["digests"]
+        self.vectors = [[(t, unit(c, self.idf[t])) for t, c in side] for side in state["examples"]]
+        self.indexes = [BlockMaxIndex(side, len(self.names)) for side in self.vectors]
+        self.tied = self.ties()
+
+    def ties(self) -> np.ndarray:
+        """1 for terms that go with toxic examples by more than ``TIE`` standard deviations, else 0."""
+        n = [max(1, len(side)) for side in self.vectors]
+        held = [np.bincount(np.concatenate([t for t, _ in side] or [np.zeros(0, dtype=np.int64)]), minlength=len(self.names)) for side in self.vectors]
+        share = (held[0] + held[1] + 1) / (n[0] + n[1] + 2)
+        apart = (held[1] + 0.5) / (n[1] + 1) - (held[0] + 0.5) / (n[0] + 1)
+        return (apart > TIE * np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))).astype(np.float64)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        known = {self.names[t]: n for t, n in counts(text).items() if t in self.names}
+        t = np.array(sorted(known), dtype=np.int64)
+        return t, unit(np.array([known[i] for i in t.tolist()], dtype=np.int64), self.idf[t])
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[tuple[int, int]]) -> tuple[np.ndarray, list]:
+        """Of each text what its neighbours say, as (1, toxic against clean, part that is tied to toxic), and the neighbours."""
+        near = [index.search_all(queries, NEIGHBOURS, [w[y] for w in without]) for y, index in enumerate(self.indexes)]
+        out, full = np.zeros((len(queries), 3)), np.zeros(len(self.names))
+        for i, (t, w) in enumerate(queries):
+            full[t] = w * self.tied[t]
+            tied = [float(full[self.vectors[1][j][0]] @ self.vectors[1][j][1]) for _, j in near[1][i]]
+            full[t] = 0
+            no, yes = (sum(s * s for s, _ in near[y][i]) / NEIGHBOURS for y in (0, 1))
+            share = sum(s * x for (s, _), x in zip(near[1][i], tied, strict=True)) / (NEIGHBOURS * yes) if yes else 0.0
+            out[i] = 1.0, math.log((yes + 1e-3) / (no + 1e-3)), math.sqrt(max(0.0, share))
+        return out, near
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple]]]:
+        without = [self.own.get(digest_of(t), (-1, -1)) for t in texts]
+        x, near = self.votes([self.vector(t) for t in texts], without)
+        z = np.clip(x @ self.curve, -30, 30)
+        found = [sorted([(-s, y, j) for y in (0, 1) for s, j in near[y][i]])[:EVIDENCE] for i in range(len(texts))]
+        return [(p, [(self.ids[y][j], y, -s) for s, y, j in e]) for p, e in zip((1 / (1 + np.exp(-z))).tolist(), found, strict=True)]
+
+
+def digest_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def model_of(state: dict) -> Model:
+    """The model of this worker, built once and kept beside the broadcast data."""
+    if "model" not in state:
+        state["model"] = Model(state)
+    return state["model"]
 
 
 def training_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -259,13 +241,15 @@ def training_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "tox
     return rows.where("toxic = other").select("doc_id", F.col("toxic").cast("int"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> dict | float:
     """Fit on at most ``per_class`` labelled documents of each class, the first by a hash of their ids.
 
     Equal texts of one label are one example. How many documents have a term is counted over
-    all documents. If one of the classes or all terms are missing, the model is one number:
-    the share of toxic labels.
+    all documents. The driver holds the examples' vectors, at most ``TERMS_PER_CLASS`` terms of
+    each class; what would go beyond is left out from the end. If one of the classes or all
+    terms are missing, the model is one number: the share of toxic labels.
     """
+    spark = docs.sparkSession
     known = training_labels(labels)
     rates = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = rates.get(1, 0) / max(1, sum(rates.values()))
@@ -274,40 +258,51 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = written(chosen[0].unionAll(chosen[1]), "toxic-chosen")  # at most twice per_class rows
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    texts = written(texts.withColumn("digest", F.sha2("text", 256)), "toxic-texts")
-    first = texts.groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    texts = texts.join(F.broadcast(first), ["digest", "toxic", "doc_id"]).dropDuplicates(["digest", "toxic"]).select("doc_id", "toxic", "text")
-    texts = written(texts, "toxic-examples")
-
-    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_batches(batches, 0, 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({t for x in b.column(0).to_pylist() for t in counts(x)}), pa.string())], ["term"])
-
-    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return prior
-    names = sorted(texts.select("text").mapInArrow(terms_of, "term string").distinct().toArrow().column(0).to_pylist())
-    if not names:
-        return prior
-    shared = docs.sparkSession.sparkContext.broadcast("\n".join(names))
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value.split("\n"))
-        for b in row_batches(batches, 2, 1 << 20):
-            own = terms.vectors(b.column(2).to_pylist())
-            parts = [pa.array([x[i].astype("<i4").tobytes() for x in own], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], ["doc_id", "toxic", "terms", "counts"])
+        for b in row_batches(batches, 1, 1 << 20):
+            held = [sorted(counts(t).items()) for t in b.column("text").to_pylist()]
+            made = [pa.array([digest_of(t) for t in b.column("text").to_pylist()], pa.binary()), pa.array([len(h) for h in held], pa.int64())]
+            made += [pa.array([[t for t, _ in h] for h in held], pa.list_(pa.string())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *made], ["doc_id", "toxic", "digest", "n", "terms", "counts"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(vectors_of, f"doc_id {kind}, toxic int, terms binary, counts binary").orderBy("doc_id", "toxic").collect()
-    examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows]
+    schema = f"doc_id {kind}, toxic int, digest binary, n long, terms array<string>, counts array<int>"
+    rows = written(texts.select("doc_id", "text", "toxic").mapInArrow(vectors_of, schema), "toxic-vectors")
+    first = rows.groupBy("toxic", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
+    first = first.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where((F.col("upto") <= TERMS_PER_CLASS) & (F.col("n") > 0))
+    kept = rows.join(F.broadcast(first.select("toxic", "digest", "doc_id")), ["toxic", "digest", "doc_id"]).dropDuplicates(["toxic", "digest"])
+    table = kept.orderBy("doc_id", "toxic").select("doc_id", "toxic", "digest", "terms", "counts").toArrow()
+    y = table.column("toxic").to_numpy()
+    sizes = {c: int((y == c).sum()) for c in (0, 1)}
+    if not all(sizes.values()):
+        return prior
+    terms = table.column("terms").combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    counted, ends = table.column("counts").combine_chunks().flatten().to_numpy(), terms.offsets.to_numpy()
+    coded = coded.indices.to_numpy()
+    examples: list[list] = [[], []]
+    ids: list[list] = [[], []]
+    digests: dict[bytes, list[int]] = {}
+    for i, (doc, label, d) in enumerate(zip(table.column("doc_id").to_pylist(), y.tolist(), table.column("digest").to_pylist(), strict=True)):
+        own = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+        at = np.argsort(coded[own])
+        digests.setdefault(d, [-1, -1])[label] = len(examples[label])
+        examples[label].append((coded[own][at].astype(np.int32), counted[own][at]))
+        ids[label].append(doc)
+    del table, terms, coded, counted
+    shared = spark.sparkContext.broadcast(names)
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value.split("\n"))
-        n = np.zeros(len(terms.known) + 1, dtype=np.int64)  # the last counts documents
+        known = {t: i for i, t in enumerate(shared.value)}
+        n = np.zeros(len(known) + 1, dtype=np.int64)  # the last counts documents
         for b in row_batches(batches, 0):
             for t in b.column(0).to_pylist():
-                n[terms.vectors([t or ""])[0][0]] += 1
+                own = {w[:LETTERS] for w in WORD.findall((t or "").lower())}
+                n[[known[w] for w in own if w in known]] += 1
             n[-1] += b.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
@@ -315,38 +310,71 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     df = np.zeros(len(names) + 1)
     sums = docs.select(F.col(text)).mapInArrow(documents_with, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    return Model(names, idf, examples, (rates[0] / sizes[0], rates[1] / sizes[1])).fit(docs.sparkSession)
-
-
-def score_documents(docs: DataFrame, model: Model | float, score: str = "score", evidence: str = "evidence", text: str = "text") -> DataFrame:
+    state = {"names": names, "idf": np.log((1 + df[-1]) / (1 + df[:-1])) + 1, "examples": examples, "ids": ids, "digests": digests, "id_type": kind, "curve": np.zeros(3)}
+    state["curve"] = fit_curve(spark, state, (rates[0] / sizes[0], rates[1] / sizes[1]))
+    return state
+
+
+def fit_curve(spark: SparkSession, state: dict, rates: tuple[float, float]) -> np.ndarray:
+    """Logistic curve over the votes, each class weighed as it is among all labelled rows; no example, and no copy of it, votes for itself."""
+    shared = spark.sparkContext.broadcast(state)
+    twins = {(y, i): tuple(own) for own in state["digests"].values() for y, i in enumerate(own) if i >= 0}
+    places = [(y, i, *twins[y, i]) for y in (0, 1) for i in range(len(state["examples"][y]))]
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(shared.value)
+        for b in batches:
+            for s in range(0, b.num_rows, 8 * TOGETHER):
+                own = b.slice(s, 8 * TOGETHER).to_pylist()
+                x, _ = m.votes([m.vectors[r["y"]][r["i"]] for r in own], [(r["a"], r["b"]) for r in own])
+                yield pa.RecordBatch.from_arrays([pa.array([r["y"] for r in own], pa.int32()), pa.array([r["i"] for r in own], pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])], ["y", "i", "against", "tied"])
+
+    rows = spark.createDataFrame(pa.table({c: pa.array([p[k] for p in places], pa.int32()) for k, c in enumerate("yiab")})).repartition(spark.sparkContext.defaultParallelism, "i")
+    found = rows.mapInArrow(voted, "y int, i int, against double, tied double").orderBy("y", "i").toArrow()  # a row per example
+    y = found.column("y").to_numpy().astype(np.float64)
+    x = np.column_stack([np.ones(len(y)), found.column("against").to_numpy(), found.column("tied").to_numpy()])
+    each, c = np.where(y > 0, rates[1], rates[0]), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        pull = np.array([1e-3, 1e-2, 1e-2])  # keeps the curve finite where classes part cleanly
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (each * (y - p)) - pull * c)
+        c = c + step / max(1.0, float(np.abs(step).max()) / 5)
+    return c
+
+
+def score_documents(docs: DataFrame, model: dict | float, score: str = "score", evidence: str = "evidence", text: str = "text") -> DataFrame:
     """All rows and columns, with a score from 0 to 1 and the nearest examples as evidence.
 
     A text without known terms, such as an empty or NULL one, has no neighbours and gets the
-    score of that. Nothing but the text is an input of the score. No shuffle.
+    score of that. An example with the very same text is no neighbour, as when the curve was
+    fitted. Nothing but the text is an input of the score. No shuffle.
     """
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, {}
-        pairs = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
+        m = m if isinstance(m, float) else model_of(m)
+        ids = pa.string() if isinstance(m, float) else pa.array([i for side in m.ids for i in side]).type
+        pairs = pa.list_(pa.struct([("doc_id", ids), ("toxic", pa.int32()), ("similarity", pa.float64())]))
         for b in row_batches(batches, at, 1 << 20):
             texts = [t or "" for t in b.column(at).to_pylist()]
             if isinstance(m, float):
                 out = [(m, [])] * len(texts)
             else:
-                keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                keys = [digest_of(t) for t in texts]
                 if len(seen) >= KEPT_ANSWERS:
                     seen.clear()
                 new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
-                seen |= zip(new, m.scores(list(new.values())), strict=True)
+                if new:
+                    seen |= zip(new, m.scores(list(new.values())), strict=True)
                 out = [seen[k] for k in keys]
             near = [[{"doc_id": i, "toxic": y, "similarity": s} for i, y, s in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array(near, pairs)], [*b.schema.names, score, evidence])
 
     columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{columns}, `{score}` double, `{evidence}` array<struct<doc_id: long, toxic: int, similarity: double>>")
+    kind = "string" if isinstance(model, float) else model["id_type"]
+    return docs.mapInArrow(scored, f"{columns}, `{score}` double, `{evidence}` array<struct<doc_id: {kind}, toxic: int, similarity: double>>")
 
 
 def held_out(doc_id: str = "doc_id"):
