@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from vecspark.operators.embed import HashingEmbedder, ModelEmbedder
 from vecspark.operators.search import topk_search
-from vecspark.plans.ingest import index_documents
+from vecspark.plans import ingest
+from vecspark.plans.ingest import REPEATED_ID, STORED_ID, index_documents
 from vecspark.plans.semantic import semantic_search
 from vecspark.schema import DOCUMENT, SEARCH_RESULT
 from vecspark.session import run_folder
 from vecspark.sources.bodies import bodies_table, read_bodies, stream_bodies
-from vecspark.sources.corpus import read_corpus, utc_now
+from vecspark.sources import key_log
+from vecspark.sources.corpus import read_corpus
+from vecspark.sources.key_log import KeyLog
 from vecspark.streaming.jobs import latest_metrics, request_metrics, stream_ingest, stream_request_metrics, stream_search
 
 WORDS = HashingEmbedder(128, normalize=False)
@@ -72,14 +75,80 @@ def test_every_request_is_stored_or_refused_once(spark, tables):
         )
 
 
-def test_rows_older_than_the_lookback_are_not_compared(spark, tables):
-    requests = bodies(spark, {"content": "same"})
-    index_documents(requests, WORDS, *tables)
-    hour = F.expr("INTERVAL 1 HOUR")
-    index_documents(requests, WORDS, *tables, stored_since=utc_now() - hour)
-    assert spark.read.parquet(tables[0]).count() == 1
-    index_documents(requests, WORDS, *tables, stored_since=utc_now() + hour)
-    assert spark.read.parquet(tables[0]).count() == 2
+def test_requests_that_differ_from_stored_ones_are_refused_in_later_batches(spark, tables):
+    first = [("a", "one"), ("b", " two "), ("c", "three"), ("d", " ")]
+    later = [("a", "one"), ("b", "two"), ("c", "other"), ("c", "another"), ("c", "three"), ("c", ""), ("d", "now good"), ("e", "five"), ("e", "six")]
+    frame = lambda rows: spark.createDataFrame([(i, c, "{}") for i, c in rows], "request_id string, content string, metadata string")
+    index_documents(frame(first), WORDS, *tables)
+    for _ in range(2):
+        index_documents(frame(later), WORDS, *tables)
+        assert sorted(r.content for r in spark.read.parquet(tables[0]).collect()) == ["five", "now good", "one", "three", "two"]
+        refused = sorted((r.request_id, r.error_message) for r in spark.read.parquet(tables[1]).collect())
+        assert refused == [("c", "content cannot be empty"), ("c", STORED_ID), ("c", STORED_ID), ("d", "content cannot be empty"), ("e", REPEATED_ID)]
+
+
+@pytest.mark.parametrize("step", ["corpus", "corpus log", "quarantine", "commit"])
+def test_a_run_that_is_cut_off_is_finished_by_the_next(spark, tables, monkeypatch, step):
+    """Whatever was done last, each request ends up in one of the tables once."""
+    requests = bodies(spark, *[{"content": f"text {i}"} for i in range(20)], "nope")
+    put, add, commit, calls = ingest._put, KeyLog.add, KeyLog.commit, []
+
+    def stop(*a, **k):
+        raise RuntimeError("lost")
+
+    def counted(log, batch, rows, table, *rest, **k):
+        calls.append(table)
+        if step == "corpus" and len(calls) == 1:
+            rows.filter("abs(hash(id)) % 2 = 0").select(*rest[0]).write.mode("append").parquet(table)
+            stop()
+        if step == "quarantine" and len(calls) == 2:
+            stop()
+        put(log, batch, rows, table, *rest, **k)
+
+    monkeypatch.setattr(ingest, "_put", counted)
+    if step == "corpus log":
+        monkeypatch.setattr(KeyLog, "add", stop)
+    if step == "commit":
+        monkeypatch.setattr(KeyLog, "commit", stop)
+    with pytest.raises(RuntimeError):
+        index_documents(requests, WORDS, *tables)
+    monkeypatch.setattr(ingest, "_put", put)
+    monkeypatch.setattr(KeyLog, "add", add)
+    monkeypatch.setattr(KeyLog, "commit", commit)
+    for again in (bodies(spark, {"content": "text 0"}), requests):
+        index_documents(again, WORDS, *tables)
+        stored = spark.read.parquet(tables[0])
+        assert stored.count() == stored.select("id").distinct().count() == 20
+        assert spark.read.parquet(tables[1]).count() == 1
+
+
+def test_only_folders_of_the_batch_are_looked_into(spark, tables):
+    index_documents(bodies(spark, *[{"content": f"text {i}"} for i in range(300)]), WORDS, *tables)
+    log = KeyLog(spark, tables[0])
+    ids = spark.read.parquet(tables[0]).select("id").limit(1)
+    assert log.known(ids).count() == 1
+    found = log.entries().join(F.broadcast(ids), "id", "left_semi").filter(F.col("prefix").isin([ids.first()[0][:2]]))
+    assert "PartitionFilters: [isnotnull(prefix" in found._jdf.queryExecution().toString()
+    assert log.entries().select("prefix").distinct().count() > 100 and found.count() == 1
+
+
+def test_generations_keep_all_entries(spark, tables, monkeypatch):
+    monkeypatch.setattr(key_log, "BATCHES", 2)
+    for n in range(3):
+        index_documents(bodies(spark, *[{"content": f"text {n} {i}"} for i in range(5)]).withColumn("request_id", F.concat_ws("-", F.lit(n), "request_id")), WORDS, *tables)
+    log = KeyLog(spark, tables[0])
+    assert log.generation[0] >= 1 and log.entries().count() == 15
+    index_documents(bodies(spark, {"content": "other"}).withColumn("request_id", F.lit("0-r0")), WORDS, *tables)
+    assert spark.read.parquet(tables[0]).count() == 15 and spark.read.parquet(tables[1]).count() == 1
+
+
+def test_a_table_without_a_log_gets_one(spark, tables):
+    other = run_folder(spark, "old")
+    index_documents(bodies(spark, {"content": "a"}, {"content": "b"}), WORDS, f"{other}/corpus", tables[1])
+    spark.read.parquet(f"{other}/corpus").write.parquet(tables[0])
+    index_documents(bodies(spark, {"content": "a"}, {"content": "changed"}, {"content": "c"}), WORDS, *tables)
+    assert sorted(r.content for r in spark.read.parquet(tables[0]).collect()) == ["a", "b", "c"]
+    assert [r.error_message for r in spark.read.parquet(tables[1]).collect()] == [STORED_ID]
 
 
 def test_a_failing_model_stores_nothing_for_its_texts(spark, tables):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.ids import keyed_uuid
@@ -12,12 +12,20 @@ from vecspark.operators.requests import parse_create_requests
 from vecspark.operators.validation import ERROR_COLUMNS, text_rules, with_errors
 from vecspark.schema import TASK_DOCUMENT, VALIDATION_ERROR
 from vecspark.session import configure, run_folder, spread
-from vecspark.sources.corpus import key_stats, new_rows, one_per_key, read_corpus, utc_now
+from vecspark.sources.corpus import key_stats, one_per_key, read_corpus, utc_now
+from vecspark.sources.key_log import KeyLog, broadcast_if_small
+from vecspark.sources.vector_index import VectorIndex
 
 REPEATED_ID = "request id is used by another request of the batch"
+STORED_ID = "request id is used by another request stored before"
 STORED = ("id", "content", "embedding", "metadata", "created_at")
 
 
+def said() -> Column:
+    """A digest of what a request says: its trimmed text and its metadata."""
+    return F.md5(F.to_json(F.struct(trim_text(F.col("content")).alias("content"), "metadata")))
+
+
 def check_contents(requests: DataFrame) -> DataFrame:
     """Errors for (request_id, content, metadata) rows."""
     return with_errors(requests, text_rules(F.col("content"), "content"))
@@ -48,16 +56,55 @@ def other_contents(keyed: DataFrame) -> DataFrame:
     They get an error, unless they have one, and an id of their own. Only rows of repeated
     ids are shuffled as a whole.
     """
-    said = F.struct("content", "metadata", *ERROR_COLUMNS)
+    whole = F.struct("content", "metadata", *ERROR_COLUMNS)
     repeated = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
     several = keyed.join(repeated, "id", "left_semi")
-    first = several.groupBy("id").agg(F.min(said).alias("_first"))
-    others = several.join(first, "id").filter(~said.eqNullSafe(F.col("_first"))).drop("_first")
-    others = others.withColumn("id", keyed_uuid(F.lit("other content"), F.col("id"), F.to_json(said)))
+    first = several.groupBy("id").agg(F.min(whole).alias("_first"))
+    others = several.join(first, "id").filter(~whole.eqNullSafe(F.col("_first"))).drop("_first")
+    return one_per_key(refused(others.select(*keyed.columns), REPEATED_ID))
+
+
+def refused(rows: DataFrame, message: str) -> DataFrame:
+    """Rows with this error, unless they have one, under ids of their own that follow from what they say."""
+    what = F.to_json(F.struct("content", "metadata", *ERROR_COLUMNS))
+    rows = rows.withColumn("id", keyed_uuid(F.lit("other content"), F.col("id"), what))
     accepted = F.col("error_code").isNull()
-    error = {"error_message": REPEATED_ID, "error_field": "request_id", "error_code": VALIDATION_ERROR}
-    others = others.withColumns({c: F.when(accepted, F.lit(v)).otherwise(F.col(c)) for c, v in error.items()})
-    return one_per_key(others.select(*keyed.columns))
+    error = {"error_message": message, "error_field": "request_id", "error_code": VALIDATION_ERROR}
+    return rows.withColumns({c: F.when(accepted, F.lit(v)).otherwise(F.col(c)) for c, v in error.items()})
+
+
+def key_log(spark: SparkSession, table: str, digest: Column) -> KeyLog:
+    """The log of a table; of one that has rows and no log yet, made from its rows."""
+    log = KeyLog(spark, table)
+    if not log.exists():
+        rows = read_corpus(spark, table)
+        if not rows.isEmpty():
+            log.begin("")
+            log.add("", log.missing(rows).select("id", digest.alias("said")))
+    return log
+
+
+def _put(log: KeyLog, batch: str, rows: DataFrame, table: str, columns: tuple[str, ...], digest: Column, again: bool) -> None:
+    """Add rows to a table and to its log. ``again``: part of that may have been done before."""
+    new = rows
+    if again:  # only after a failure the table itself is looked into
+        there = rows.select("id").join(read_corpus(rows.sparkSession, table).select("id"), "id", "left_semi").distinct()
+        new = rows.join(broadcast_if_small(there), "id", "left_anti")
+    new.select(*columns).write.mode("append").parquet(table)
+    log.add(batch, (log.missing(rows) if again else rows).select("id", digest.alias("said")))
+
+
+def add_staged(log: KeyLog, refusals: KeyLog, batch: str, staging: str, index: VectorIndex | None, again: bool = False) -> None:
+    """Add a staged batch: the good rows to the table and the index, the others to quarantine, and commit."""
+    staged = log.spark.read.parquet(staging)
+    good, bad = staged.filter(F.col("error_code").isNull()), staged.filter(F.col("error_code").isNotNull()).drop("embedding")
+    if index is not None:
+        index.append(good)
+    _put(log, batch, good, log.table, STORED, said(), again)
+    if not bad.isEmpty():
+        bad = refusals.missing(bad) if not again else bad
+        _put(refusals, batch, bad, refusals.table, tuple(bad.columns), F.lit(""), again)
+    log.commit(batch)
 
 
 def index_documents(
@@ -66,22 +113,29 @@ def index_documents(
     table: str,
     quarantine_table: str,
     created_at: Column | None = None,
-    stored_since: Column | None = None,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """Ingest (request_id, content, metadata) or (request_id, body) rows into a corpus table.
 
-    Returns one outcome row per request that is new to the table, without vectors. A
-    request's id follows from its request id: running the same batch again adds nothing to
-    either table. A refused request is tried again when it comes again. Of requests that
-    share an id within a batch, exact repeats count once; of differing ones the least is
-    taken and the others are refused.
-    Rows whose id is stored are dropped before the embedding, the expensive step, and the
-    embedded batch is written once and read from there.
+    Returns one outcome row per request that is new, without vectors. A request's id follows
+    from its request id: running the same batch again adds nothing to either table, also after
+    a run that was cut off. A refused request is tried again when it comes again. Of requests
+    that share an id within a batch, exact repeats count once; of differing ones the least is
+    taken and the others are refused. A request that says something else than a stored one of
+    its id is refused as well: every request is stored, refused, or says what one of them says.
 
-    ``stored_since`` limits the look at stored ids to rows created from then on, which lets
-    the scan skip older row groups: for streams, whose batches are only repeated soon after.
+    Ids are looked up in the table's ``KeyLog``; neither table is scanned. Known rows are
+    dropped before the embedding, the expensive step, and the embedded batch is written once
+    and read from there. With an index, the stored rows are added to it, too.
     """
     spark = configure(requests.sparkSession)
+    log, refusals = key_log(spark, table, said()), key_log(spark, quarantine_table, F.lit(""))
+    for batch, staging in log.unfinished():
+        if staging:
+            add_staged(log, refusals, batch, staging, index, again=True)
+        else:
+            log.add(batch, log.missing(read_corpus(spark, table)).select("id", said().alias("said")))
+            log.commit(batch)
     checked = check_bodies(requests) if "body" in requests.columns else check_contents(requests)
     extra = [] if created_at is None else ["_created_at"]
     if extra:
@@ -91,22 +145,29 @@ def index_documents(
     brought = keyed_uuid(F.lit("no request id"), *[F.to_json(F.struct(c)) for c in ("content", "metadata", "error_code")])
     keyed = checked.withColumn("id", F.when(F.col("request_id").isNull(), brought).otherwise(keyed_uuid(F.col("request_id"))))
 
-    def known_ids(path: str) -> DataFrame:
-        rows = read_corpus(spark, path)
-        return (rows if stored_since is None else rows.filter(F.col("created_at") >= stored_since)).select("id")
-
+    # Parsed once; what follows reads the columns it needs from here.
+    folder = run_folder(spark, "parsed")
+    keyed.withColumn("digest", said()).write.parquet(folder)
+    keyed = spark.read.schema(keyed.withColumn("digest", said()).schema).parquet(folder)
     stats = key_stats(keyed)
-    fresh = new_rows(keyed, known_ids(table), stats=stats)
+    known = log.known(keyed.select("id"))
+    fresh, some = keyed.drop("digest"), known.count()
+    if some:
+        known = broadcast_if_small(known, rows=some)
+        fresh = fresh.join(known.select("id"), "id", "left_anti")
+    new = one_per_key(fresh, stats=stats)
     if stats.most > 1:
-        fresh = fresh.unionByName(other_contents(keyed))
-    fresh = spread(fresh, "id", stats.rows)
-    staged = prepare_documents(fresh, embedder, F.col("_created_at") if extra else None)
+        new = new.unionByName(other_contents(fresh))
+    if some:
+        clash = keyed.join(known, "id").filter(~F.col("digest").eqNullSafe(F.col("said")) | F.col("error_code").isNotNull())
+        if not clash.isEmpty():
+            new = new.unionByName(one_per_key(refused(clash.select(*fresh.columns), STORED_ID)))
+    new = spread(new, "id", stats.rows)
+    staged = prepare_documents(new, embedder, F.col("_created_at") if extra else None)
 
     staging = run_folder(spark, "staged")
     staged.write.parquet(staging)
+    add_staged(log, refusals, log.begin(staging), staging, index)
+    log.compact()
     staged = spark.read.parquet(staging)
-    good = staged.filter(F.col("error_code").isNull())
-    good.select(*STORED).write.mode("append").parquet(table)
-    bad = staged.filter(F.col("error_code").isNotNull()).drop("embedding")
-    new_rows(bad, known_ids(quarantine_table), stats=stats._replace(most=1)).write.mode("append").parquet(quarantine_table)
     return staged.withColumn("embedding_dim", F.size("embedding")).drop("embedding")

@@ -10,7 +10,7 @@ from vecspark.operators.embed import Embedder
 from vecspark.operators.logs import with_status
 from vecspark.plans.ingest import index_documents
 from vecspark.plans.semantic import semantic_search
-from vecspark.sources.corpus import read_corpus, utc_now
+from vecspark.sources.corpus import read_corpus
 from vecspark.sources.vector_index import open_index
 
 
@@ -20,18 +20,18 @@ def stream_ingest(
     table: str,
     quarantine_table: str,
     checkpoint: str,
-    lookback: str | None = None,
+    index: str | None = None,
 ) -> DataStreamWriter:
     """Ingest a stream of create requests.
 
-    Ids follow from request ids and stored ids are skipped, so a batch that is run again
-    after a failure adds nothing. ``lookback``, such as ``7 days``, bounds how old the
-    stored rows are that each batch is compared with.
+    Ids follow from request ids and are looked up in the table's key log, so a batch that is
+    run again after a failure adds nothing, and a request that differs from a stored one of
+    its id is refused. With the path of an index, stored rows are added to its last version.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        since = None if lookback is None else utc_now() - F.expr(f"INTERVAL {lookback}")
-        index_documents(batch, embedder, table, quarantine_table, stored_since=since)
+        opened = None if index is None else open_index(batch.sparkSession, index)
+        index_documents(batch, embedder, table, quarantine_table, index=opened)
 
     return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
