@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vecspark.session import run_folder
 
@@ -30,6 +31,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], tasks: int, name: str, place: str = "pos") -> DataFrame:
+    """The rows with ``place``, their place from 0 within the group, which leads the order and is never NULL.
+
+    Rows are ranged over tasks and counted per task and group; only these counts are summed up,
+    so a group of any size is spread over many tasks. The order is written once: rows that are
+    equal in it keep the places they got.
+    """
+    keys = [c for c in rows.columns if c != group]
+    at, part = fresh(rows, "at"), fresh(rows, "part")
+    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = written(placed.withColumn(part, F.shiftright(at, 33)), name)
+    counts = placed.groupBy(group, part).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = written(counts.select(group, part, (upto - F.col("n") - F.col("first")).alias("shift")), f"{name}-counts")
+    counts = F.broadcast(counts) if counts.count() * 48 <= BROADCAST_BYTES else counts
+    return placed.join(counts, [group, part]).select(group, (F.col(at) + F.col("shift")).alias(place), *keys)
+
+
 def keys_join(df: DataFrame, keys: DataFrame, on: str, how: str, row_bytes: int = 32) -> DataFrame:
     """A join with a table of keys, which is broadcast only if its counted rows are few."""
     if keys.count() * row_bytes <= BROADCAST_BYTES:

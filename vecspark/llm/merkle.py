@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from vecspark.llm.common import BROADCAST_BYTES, tasks_for, written
+from vecspark.llm.common import BROADCAST_BYTES, numbered, tasks_for, written
 from vecspark.llm.register import query
 from vecspark.session import run_folder
 
@@ -58,23 +57,6 @@ def height(n: Column) -> Column:
     return sum((F.when(n > F.lit(FAN**i), 1).otherwise(0) for i in range(15)), F.lit(0))
 
 
-def numbered(rows: DataFrame, group: str, order: list[Column], tasks: int, name: str) -> DataFrame:
-    """The rows with ``pos``, their place from 0 within the group, which leads the order.
-
-    Rows are ranged over tasks and counted per task and group; only these counts are summed up,
-    so a group of any size is spread over many tasks. The order is written once: rows that are
-    equal in it keep the places they got.
-    """
-    keys = [c for c in rows.columns if c != group]
-    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = written(placed.withColumn("part", F.shiftright("at", 33)), name)
-    counts = placed.groupBy(group, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = written(counts.select(group, "part", (upto - F.col("n") - F.col("first")).alias("shift")), f"{name}-counts")
-    counts = F.broadcast(counts) if counts.count() * 48 <= BROADCAST_BYTES else counts
-    return placed.join(counts, [group, "part"]).select(group, (F.col("at") + F.col("shift")).alias("pos"), *keys)
-
-
 def stored_levels(leaves: DataFrame, tallest: int, folder: str) -> list[DataFrame]:
     """Write the checkpoints above (tree, height, pos, digest): a table for each ``STEP`` levels.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecspark.llm.common import blank_split, fresh, written
+from vecspark.llm.common import blank_split, fresh, numbered, tasks_for, written
 from vecspark.llm.register import query
 
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating, NULL last
@@ -61,11 +61,12 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     source with most of the rows does not fill one task. Reruns agree.
 
     NULL and empty texts have size 0 and are taken 0 words. NULL is a source of its own.
-    Rows of one id draw the same number; equal rows are interchangeable. Sources without
+    Rows of one id draw the same number; rows that are equal in id, source and size are
+    interchangeable, and as many of them are taken as the target asks for. Sources without
     words have target 0. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(blank_split(F.col(text))).cast("long").alias("size"))
-    rows = written(rows, "mix-sizes")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # parts rows that are equal in all else
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.floor(ratio)).withColumn("chance", ratio - F.floor(ratio))
@@ -93,19 +94,19 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     sums = inside.groupBy("source", "inner").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     inner = written(reached(sums, "inner"), "mix-inner")
     at_inner = F.col("d.source").eqNullSafe(F.col("i.source")) & (F.col("d.inner") == F.col("i.inner"))
-    last = live.alias("d").join(inner.alias("i"), at_inner).select("d.source", "d.rank", "d.doc_id", "d.size", "i.rest", "i.before")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = live.alias("d").join(inner.alias("i"), at_inner).select("d.source", "d.rank", "d.doc_id", "d.size", "d.row", "i.rest", "i.before")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = last.withColumn("upto", upto + F.col("before"))
     # The document that crosses the target is taken if that comes nearer to it.
     last = last.where("upto <= rest OR upto - rest < rest - (upto - size)")
-    cut = last.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("cut"))
+    cut = last.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size", "row")).alias("cut"))
     ends = written(
         inner.alias("i").join(cut.alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")), "left").select("i.source", "i.inner", "c.cut"), "mix-ends"
     )
     at_end = F.col("d.source").eqNullSafe(F.col("e.source"))
     out = drawn.alias("d").join(ends.alias("e"), at_end, "left")
     before_cut = F.col("d.inner") < F.col("e.inner")
-    at_cut = (F.col("d.inner") == F.col("e.inner")) & (F.struct("d.rank", "d.doc_id", "d.size") <= F.col("e.cut"))
+    at_cut = (F.col("d.inner") == F.col("e.inner")) & (F.struct("d.rank", "d.doc_id", "d.size", "d.row") <= F.col("e.cut"))
     extra = F.when((F.col("chance") > 0) & (F.col("rest") > 0) & F.coalesce(before_cut | at_cut, F.lit(False)), 1).otherwise(0)
     copies = (F.col("whole") + extra).cast("int")
     return out.select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
@@ -114,21 +115,33 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
 def mixed(docs: DataFrame, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix with all their columns, each as often as it has copies.
 
-    Rows that share id, source and size but are copied unequally often can't be told apart;
-    the first of them in the shuffle get the copies.
+    Rows that share id, source and size but are copied unequally often can't be told apart:
+    as many of them as there should be, the first in an order written once, get one copy more.
     """
     size = F.size(blank_split(F.col(text))).cast("long")
     own = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "source", "size")}
-    times = fresh(docs, "mix_copies")
-    copies = mix(docs, seed=seed, doc_id=doc_id, text=text, source=source).where("copies > 0")
-    # One row per (id, source, size): whole copies are alike, and only the sample can differ.
-    counted = copies.groupBy(*own).agg(F.max("copies").alias(times)).select(*[F.col(c).alias(n) for c, n in own.items()], times)
+    times, most, extra, group = (fresh(docs, f"mix_{c}") for c in ("copies", "most", "extra", "group"))
+    copies = mix(docs, seed=seed, doc_id=doc_id, text=text, source=source)
+    least, high = F.min("copies"), F.max("copies")
+    counted = copies.groupBy(*own).agg(least.alias(times), high.alias(most), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    counted = counted.where(F.col(most) > 0).withColumn(extra, F.col("_sum") - F.col(times) * F.col("_n")).select(*[F.col(c).alias(n) for c, n in own.items()], times, most, extra)
+    counted = written(counted, "mix-copies")
     keys = [F.col(doc_id).eqNullSafe(F.col(own["doc_id"])), F.col(source).eqNullSafe(F.col(own["source"])), size == F.col(own["size"])]
-    joined = docs.join(counted, keys[0] & keys[1] & keys[2])
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    out = docs.join(counted.where(F.col(times) == F.col(most)), keys[0] & keys[1] & keys[2]).select(*[docs[c] for c in docs.columns], times)
+    unequal = counted.where(F.col(times) < F.col(most))
+    if not unequal.isEmpty():
+        rows = docs.join(unequal, keys[0] & keys[1] & keys[2])
+        rows = rows.withColumn(group, F.to_json(F.struct(*own.values()))).select(*[docs[c] for c in docs.columns], group, times, extra)
+        row, place = fresh(rows, "row"), fresh(rows, "place")
+        rows = rows.withColumn(row, F.monotonically_increasing_id())
+        ranked = numbered(rows, group, [F.col(group), F.col(row)], tasks_for(docs.sparkSession, 0, 1), "mix-unequal", place)
+        ranked = ranked.withColumn(times, F.col(times) + (F.col(place) < F.col(extra)).cast("int"))
+        out = out.unionByName(ranked.select(*docs.columns, times).where(F.col(times) > 0))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the target weights of their sources ask for, with their columns."""
     return mixed(docs)
 
 

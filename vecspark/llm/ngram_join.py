@@ -16,7 +16,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import components, fresh, keys_join, mix64, planes, row_batches, tasks_for, unplanes, written
@@ -393,37 +393,79 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
     return rows, written(grouped.applyInArrow(compare, "a long, b long"), "links")
 
 
+def own_nodes(docs: DataFrame, words: int, doc_id: str, text: str) -> Column:
+    """A number for each row to be told apart by: its id, unless ids repeat with different sets.
+
+    Then it is a hash of id and text. That no two different sets of an id or ids share one is
+    checked, and another seed is taken if they do.
+    """
+    id = F.col(doc_id).cast("long")
+    if docs.where(id.isNotNull()).groupBy(id.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return id
+    rows = docs.select(id.alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    sets = written(profiles(rows, words, "doc_id", "text").select("doc_id", "digest").distinct(), "shingle-ids")
+    if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return id
+    seed = 0
+    while True:
+        node = F.when(id.isNotNull(), F.xxhash64(F.lit(seed), id, F.col(text)))
+        # Equal texts of an id are one row here, so a number that several rows have is that of different texts.
+        several = docs.select(node.alias("node"), id.alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text")).where("doc_id IS NOT NULL")
+        if several.distinct().groupBy("node").count().where("count > 1").isEmpty():
+            return node
+        seed += 1
+
+
+def grouped(docs: DataFrame, words: int, num: int, den: int, doc_id: str, text: str, node: Column) -> DataFrame:
+    """(node, doc_id, n, component_id, stands) of every row; ``stands``: it has its component's least id, and the least node with it."""
+    rows = docs.select(node.alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = written(rows.select("node", "doc_id").where("node IS NOT NULL").distinct(), "shingle-nodes")
+    sets, edges = links(rows, words, num, den, doc_id="node", text="text")
+    found = components(edges, "linked").select(F.col("node").alias("first"), F.col("root"))
+    sets = sets.withColumnRenamed("doc_id", "node").join(found, "first", "left").withColumn("root", F.coalesce("root", "first")).join(named, "node", "left")
+    sets = written(sets.select("node", "doc_id", "n", "root"), "shingle-roots")
+    # Of each component the least id: taken in each task first, so that a large component is small after the shuffle.
+    least = sets.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    alone = F.when(F.col("n") == 0, F.col("doc_id"))  # without a set
+    out = sets.join(least, "root", "left")
+    return out.select("node", "doc_id", "n", F.coalesce(alone, "least.doc_id").alias("component_id"), (alone.isNotNull() | (F.col("least.node") == F.col("node")) | F.col("node").isNull()).alias("stands"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: what links of num / den or more connect.
 
     A document's set holds its distinct word shingles; with fewer words, the whole sequence. NULL,
     empty and blank texts have no set and are linked with nothing. A row without id is
-    linked with nothing and has no component. Of rows that repeat an id with different texts,
-    each belongs with the rows of its own set, and one of the sets is linked for all.
+    linked with nothing and has no component. Rows that repeat an id with different texts are
+    documents of their own: each is in the component of its own set, which is named by the least
+    id in it.
     """
-    rows, edges = links(docs, words, num, den, doc_id=doc_id, text=text)
-    found = components(edges, "linked").select(F.col("node").alias("first"), F.col("root"))
-    rows = rows.join(found, "first", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
+    node = own_nodes(docs, words, doc_id, text)
+    rows = grouped(docs, words, num, den, doc_id, text, node)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the documents that no smaller id stands for, with their columns; of rows that repeat an id one stays.
+    """The rows of the documents that no smaller id stands for, with their columns.
 
-    Rows without id stay.
+    Of rows that repeat id and text one stays. Rows that repeat an id with texts that are not
+    linked all stay. Rows without id stay.
     """
-    found = written(jaccard_components(docs, words, num, den, doc_id, text), "near-copies")
-    gone = fresh(docs, "gone_id")
-    ids = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    node = own_nodes(docs, words, doc_id, text)
+    found = written(grouped(docs, words, num, den, doc_id, text, node), "near-copies")
+    gone, own = fresh(docs, "gone_node"), fresh(docs, "own_node")
+    ids = found.where("NOT stands").select(F.col("node").alias(gone)).distinct()
     if ids.count() * 16 <= 64 << 20:
         ids = F.broadcast(ids)
-    kept = docs.join(ids, docs[doc_id] == ids[gone], "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(doc_id).isNull()).unionByName(kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    kept = docs.withColumn(own, node)
+    kept = kept.join(ids, kept[own] == ids[gone], "left_anti")
+    if not found.where("node IS NOT NULL").groupBy("node").count().where("count > 1").isEmpty():
+        kept = kept.where(F.col(own).isNull()).unionByName(kept.where(F.col(own).isNotNull()).dropDuplicates([own]))
+    return kept.select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, with its columns: five words, a similarity of 0.8."""
     return one_of_each(docs)
 
 

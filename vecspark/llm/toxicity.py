@@ -34,7 +34,7 @@ LETTERS = 4  # of a word's beginning
 NEIGHBOURS = 15
 EVIDENCE = 5
 TIE = 5.0  # standard deviations by which a term must be more frequent with a label
-BLOCK = 32  # examples of a block
+BLOCK, GROUPS = 32, 16  # examples of a block, groups of like examples that blocks are cut from
 DENSE = 1000  # the terms of most examples, so many, are kept as small dense matrices; results do not depend on it
 TOGETHER = 32  # texts searched at once
 KEPT_ANSWERS = 50_000  # what a worker remembers; results do not depend on it
@@ -95,11 +95,23 @@ class BlockMaxIndex:
 
     @staticmethod
     def alike(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """An order in which examples with the same terms are near each other: halved again and again across the widest direction."""
+        """An order in which examples with the same terms are near each other.
+
+        On random projections: first some groups around centres far from each other, then each
+        parted again and again at the middle of its widest direction.
+        """
         rng = np.random.default_rng(7)
         table = rng.normal(size=(4096, 32)).astype(np.float32)
         x = np.array([w @ table[t % 4096] for t, w in vectors]).reshape(len(vectors), 32)
-        out, todo = [], [np.arange(len(vectors))]
+        centres = x[:1]
+        while len(centres) < min(GROUPS, len(x) // BLOCK):
+            away = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).min(axis=1)
+            centres = np.concatenate([centres, x[[int(away.argmax())]]])
+        of = np.zeros(len(x), dtype=np.int64)
+        for _ in range(10 if len(centres) > 1 else 0):
+            of = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([x[of == c].mean(axis=0) if (of == c).any() else centres[c] for c in range(len(centres))])
+        out, todo = [], [own for c in reversed(range(max(1, len(centres)))) if len(own := np.flatnonzero(of == c))]
         while todo:
             own = todo.pop()
             if len(own) <= BLOCK:
@@ -107,8 +119,9 @@ class BlockMaxIndex:
                 continue
             y = x[own] - x[own].mean(axis=0)
             along = np.linalg.eigh(y.T @ y)[1][:, -1]
-            ranked, half = own[np.argsort(y @ along, kind="stable")], -(-len(own) // (2 * BLOCK)) * BLOCK
-            todo += [ranked[half:], ranked[:half]]
+            ranked, half = np.argsort(y @ along, kind="stable"), int((y @ along <= 0).sum())
+            half = half if BLOCK // 4 <= half <= len(own) - BLOCK // 4 else len(own) // 2
+            todo += [own[ranked[half:]], own[ranked[:half]]]
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def bounds(self, part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple]:
