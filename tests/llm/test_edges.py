@@ -119,7 +119,7 @@ def test_block_max_search_is_exact():
     for (t, w), got in zip(vectors[:100], index.search_all(vectors[:100], 15), strict=True):
         scores = dense[:, t] @ w
         want = np.lexsort((np.arange(500), -scores))[:15]
-        assert [i for _, i in got] == want[scores[want] > 0].tolist()
+        assert [i for _, i, _ in got] == want[scores[want] > 0].tolist()
 
 
 def test_url_rules(spark):

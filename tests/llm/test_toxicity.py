@@ -102,7 +102,7 @@ def test_blocks_that_cannot_reach_are_not_scored():
     for (t, w), got in zip(asked, found, strict=True):
         scores = dense[:, t] @ w
         best = np.lexsort((np.arange(1200), -scores))[:15]
-        assert [i for _, i in got] == best[scores[best] > 0].tolist()
+        assert [i for _, i, _ in got] == best[scores[best] > 0].tolist()
 
 
 def test_odd_ids_and_long_examples(spark, monkeypatch):

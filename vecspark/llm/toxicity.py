@@ -38,12 +38,12 @@ BLOCK, GROUPS = 32, 16  # examples of a block, groups of like examples that bloc
 DENSE = 1000  # the terms of most examples, so many, are kept as small dense matrices; results do not depend on it
 TOGETHER = 32  # texts searched at once
 KEPT_ANSWERS = 50_000  # what a worker remembers; results do not depend on it
-WORD = re.compile(r"[^\W\d_]+")
+START = re.compile(rf"([^\W\d_]{{1,{LETTERS}}})[^\W\d_]*")  # of each word
 
 
 def counts(text: str) -> Counter:
     """How often the text has each term."""
-    return Counter(w[:LETTERS] for w in WORD.findall(text.lower()))
+    return Counter(START.findall(text.lower()))
 
 
 def unit(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -124,14 +124,18 @@ class BlockMaxIndex:
             todo += [own[ranked[half:]], own[ranked[:half]]]
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
-    def bounds(self, part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """(text, block) bounds of cosines, the dense part of the texts, and (text, term, weight) of the rest."""
+    def split(self, part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, tuple]:
+        """The dense part of the texts, and (text, term, weight) of the rest."""
         row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
         t, w = np.concatenate([t for t, _ in part]).astype(np.int64), np.concatenate([w for _, w in part]).astype(np.float32)
         col = self.column[t]
         q = np.zeros((len(part), len(self.most)), dtype=np.float32)
         q[row[col >= 0], col[col >= 0]] = w[col >= 0]
-        row, t, w = row[col < 0], t[col < 0], w[col < 0]
+        return q, (row[col < 0], t[col < 0], w[col < 0])
+
+    def bounds(self, part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(text, block) bounds of cosines, and the split of the texts."""
+        q, (row, t, w) = self.split(part)
         n = self.lists[t + 1] - self.lists[t]
         pair = spans(self.lists[t], n)
         upper = np.bincount(np.repeat(row, n) * self.blocks + self.pair_block[pair], np.repeat(w, n) * self.pair_most[pair], len(part) * self.blocks)
@@ -151,44 +155,51 @@ class BlockMaxIndex:
         at = spans(self.pair_start[pair], size)
         near += np.bincount(np.repeat(row, size) * near.shape[1] + self.who[at], np.repeat(w, size) * self.by[at], near.size).reshape(near.shape).astype(np.float32)
 
-    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each, the k examples of highest cosine above 0, as (cosine, example); of equal ones those that stand first."""
-        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, marked: np.ndarray | None = None) -> list[list[tuple[float, int, float]]]:
+        """For each, the k examples of highest cosine above 0, as (cosine, example, part); of equal ones those that stand first.
+
+        ``part`` is what the terms with a weight in ``marked`` have of the cosine.
+        """
+        out: list[list[tuple[float, int, float]]] = [[] for _ in queries]
         if not self.n:
             return out
-        exact = np.zeros(self.n_terms)
-        few = -(-k // BLOCK) + 2
-        made = [(s, *self.bounds(queries[s : s + TOGETHER])) for s in range(0, len(queries), TOGETHER)]
-        best = np.concatenate([upper.argmax(axis=1) for _, upper, _, _ in made]) if made else np.zeros(0)
-        ranked = np.argsort(best, kind="stable")  # texts that go to the same blocks are searched together
+        exact, marked = np.zeros(self.n_terms), np.zeros(self.n_terms) if marked is None else marked
+        few = min(-(-k // BLOCK) + 2, self.blocks)
+        upper = np.concatenate([self.bounds(queries[s : s + TOGETHER])[0] for s in range(0, len(queries), TOGETHER)]) if queries else np.zeros((0, 1))
+        ranked = np.argsort(upper.argmax(axis=1), kind="stable")  # texts that go to the same blocks are searched together
         self.scored = self.all_blocks = 0
         for first in range(0, len(ranked), TOGETHER):
             own = ranked[first : first + TOGETHER].tolist()
             part = [queries[i] for i in own]
-            upper, q, rest = self.bounds(part)
-            near = np.zeros((len(part), self.blocks * BLOCK), dtype=np.float32)
+            most, q, rest = upper[own], *self.split(part)
+            near = np.zeros((len(part), self.blocks, BLOCK), dtype=np.float32)
             skip = np.array([-1 if without is None else without[i] for i in own])
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[np.argpartition(-upper, min(few, self.blocks) - 1, axis=1)[:, :few].ravel()] = True
-            self.score(near, q, rest, chosen)
             has = np.flatnonzero(skip >= 0)
-            near[has, self.place[skip[has]]] = 0
-            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.zeros(len(part))
-            more = ((upper > 0) & (upper >= (least * (1 - 2 * self.slack))[:, None])).any(axis=0) & ~chosen
-            if more.any():
-                self.score(near, q, rest, more)
-                near[has, self.place[skip[has]]] = 0
-                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else least
-            self.scored += int(chosen.sum() + more.sum()) * len(part)
+            chosen, least = np.zeros(self.blocks, dtype=bool), np.zeros(len(part))
+            more = chosen.copy()
+            more[np.argpartition(-most, few - 1, axis=1)[:, :few].ravel()] = True
+            while more.any():
+                self.score(near.reshape(len(part), -1), q, rest, more)
+                near[has, self.place[skip[has]] // BLOCK, self.place[skip[has]] % BLOCK] = 0
+                chosen |= more
+                seen = near[:, chosen].reshape(len(part), -1)
+                if seen.shape[1] > k:
+                    least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] * (1 - 2 * self.slack)
+                more = ((most > 0) & (most >= least[:, None])).any(axis=0) & ~chosen
+            self.scored += int(chosen.sum()) * len(part)
             self.all_blocks += self.blocks * len(part)
-            least = least * (1 - 2 * self.slack)
-            for i, (t, w), row, low in zip(own, part, near, least.tolist(), strict=True):
+            for i, (t, w), row, low in zip(own, part, near.reshape(len(part), -1), least.tolist(), strict=True):
                 found = np.sort(self.order[np.flatnonzero((row[: self.n] > 0) & (row[: self.n] >= low))])
+                if not len(found):
+                    continue
                 exact[t] = w
-                scores = np.array([float(exact[self.terms[s:e]] @ self.weights[s:e]) for s, e in zip(self.ends[found].tolist(), self.ends[found + 1].tolist(), strict=True)])
+                sizes = self.ends[found + 1] - self.ends[found]
+                at, cuts = spans(self.ends[found], sizes), np.cumsum(sizes) - sizes
+                each = exact[self.terms[at]] * self.weights[at]
+                scores, tied = np.add.reduceat(each, cuts), np.add.reduceat(each * marked[self.terms[at]], cuts)
                 exact[t] = 0
                 top = np.lexsort((found, -scores))[:k]
-                out[i] = [(min(1.0, float(scores[b])), int(found[b])) for b in top]
+                out[i] = list(zip(np.minimum(1.0, scores[top]).tolist(), found[top].tolist(), tied[top].tolist(), strict=True))
         return out
 
 
@@ -217,14 +228,11 @@ class Model:
 
     def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[tuple[int, int]]) -> tuple[np.ndarray, list]:
         """Of each text what its neighbours say, as (1, toxic against clean, part that is tied to toxic), and the neighbours."""
-        near = [index.search_all(queries, NEIGHBOURS, [w[y] for w in without]) for y, index in enumerate(self.indexes)]
-        out, full = np.zeros((len(queries), 3)), np.zeros(len(self.names))
-        for i, (t, w) in enumerate(queries):
-            full[t] = w * self.tied[t]
-            tied = [float(full[self.vectors[1][j][0]] @ self.vectors[1][j][1]) for _, j in near[1][i]]
-            full[t] = 0
-            no, yes = (sum(s * s for s, _ in near[y][i]) / NEIGHBOURS for y in (0, 1))
-            share = sum(s * x for (s, _), x in zip(near[1][i], tied, strict=True)) / (NEIGHBOURS * yes) if yes else 0.0
+        near = [index.search_all(queries, NEIGHBOURS, [w[y] for w in without], self.tied) for y, index in enumerate(self.indexes)]
+        out = np.zeros((len(queries), 3))
+        for i in range(len(queries)):
+            no, yes = (sum(s * s for s, _, _ in near[y][i]) / NEIGHBOURS for y in (0, 1))
+            share = sum(s * x for s, _, x in near[1][i]) / (NEIGHBOURS * yes) if yes else 0.0
             out[i] = 1.0, math.log((yes + 1e-3) / (no + 1e-3)), math.sqrt(max(0.0, share))
         return out, near
 
@@ -232,7 +240,7 @@ class Model:
         without = [self.own.get(digest_of(t), (-1, -1)) for t in texts]
         x, near = self.votes([self.vector(t) for t in texts], without)
         z = np.clip(x @ self.curve, -30, 30)
-        found = [sorted([(-s, y, j) for y in (0, 1) for s, j in near[y][i]])[:EVIDENCE] for i in range(len(texts))]
+        found = [sorted([(-s, y, j) for y in (0, 1) for s, j, _ in near[y][i]])[:EVIDENCE] for i in range(len(texts))]
         return [(p, [(self.ids[y][j], y, -s) for s, y, j in e]) for p, e in zip((1 / (1 + np.exp(-z))).tolist(), found, strict=True)]
 
 
@@ -314,8 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
         n = np.zeros(len(known) + 1, dtype=np.int64)  # the last counts documents
         for b in row_batches(batches, 0):
             for t in b.column(0).to_pylist():
-                own = {w[:LETTERS] for w in WORD.findall((t or "").lower())}
-                n[[known[w] for w in own if w in known]] += 1
+                n[[known[w] for w in set(START.findall((t or "").lower())) if w in known]] += 1
             n[-1] += b.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
