@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
-from vecspark.operators.search import recent_documents, topk_search
+from vecspark.operators.search import recent_documents, topk_positions, topk_search
 from vecspark.plans import views
 
 ALL_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -24,10 +26,26 @@ def test_no_all_pairs_joins(spark, sf, name):
 
 def test_single_search_ranks_ids_and_vectors_only(spark, sf):
     e = views.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
-    text = plan(topk_search(e, views.first_vector(spark, sf)))
-    assert text.count("TakeOrderedAndProject") >= 1 and "BroadcastHashJoin" in text
+    text = plan(topk_positions(e, views.first_vector(spark, sf)))
+    assert "TakeOrderedAndProject" in text
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
-    assert "ReadSchema: struct<vec_id:bigint,label:int>" in text
+
+
+def test_results_are_fetched_from_their_files_only(spark, tmp_path):
+    """Forty files of texts: one search reads those its results are in, by id."""
+    path = str(tmp_path / "corpus")
+    rows = spark.range(4000).select("id", F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 50)).alias("content"), F.array(*[(F.col("id") % m).cast("float") for m in (7, 11, 13, 4001)]).alias("embedding"))
+    rows.repartitionByRange(40, "id").write.parquet(path)
+    corpus = spark.read.parquet(path)
+    found = topk_search(corpus, [1.0, 2.0, 3.0, 500.0], limit=3)
+    text = plan(found)
+    assert "In(id, [" in text and "ReadSchema: struct<id:bigint,content:string>" in text
+    want = topk_positions(corpus, [1.0, 2.0, 3.0, 500.0], limit=3).collect()
+    got = found.collect()
+    assert [r.id for r in got] == [r.id for r in want] and all(r.content.startswith("text ") for r in got)
+    assert len({r["_file"] for r in want}) <= 3
+    files = corpus.filter(F.col("_metadata.file_path").isin(sorted({r["_file"] for r in want}))).select("content")
+    assert files.rdd.getNumPartitions() <= 3 < corpus.select("content").rdd.getNumPartitions()
 
 
 def test_native_similarity_is_computed_once_per_row(spark, sf):

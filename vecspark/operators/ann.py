@@ -7,7 +7,6 @@ triangle inequality proves that no other cell can hold a better row, and is exac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
@@ -19,10 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from vecspark.functions.vector import arrow_matrix
-from vecspark.operators.batch_search import BROADCAST_BYTES, RequestBlock, TopK, batch_topk, unit_rows
+from vecspark.operators.batch_search import BROADCAST_BYTES, batch_topk, stream_slices, unit_rows
 from vecspark.operators.search import result_rank
 from vecspark.operators.validation import clamp_limit, effective_limit
 from vecspark.schema import MAX_LIMIT
@@ -34,7 +32,6 @@ if TYPE_CHECKING:
 NO_CELL = -1  # rows without a usable vector
 ASSIGN_ROWS = 4096  # vectors compared with all centres at once by a task
 SLICE_ROWS = 65_536  # rows of a cell that a task holds at once
-REQUESTS_AT_ONCE = 2048
 BYTES_PER_TASK = 64 << 20
 COSINE_SLACK = 1e-6  # more than the cosines of single-precision vectors are off
 TUNING_REQUESTS = 1000
@@ -164,33 +161,6 @@ def staged_requests(requests: DataFrame, query_id: str = "query_id", query_vecto
     return spark.read.schema(numbered.schema).parquet(folder)
 
 
-def _stream_slices(dims: int, schema: T.StructType):
-    """A task function: rows of a slice, then the requests that look into it, block by block."""
-    arrow_schema = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for b in batches:
-            cell, part, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_cell", "_slice", "_asks"))
-            change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
-                if s == e:
-                    continue
-                if key != (cell[s], part[s]):
-                    key, held = (cell[s], part[s]), []
-                if not asks[s]:
-                    held.append(b.slice(s, e - s))
-                    continue
-                for i in range(s, e, REQUESTS_AT_ONCE):
-                    best = TopK(RequestBlock.from_arrow(pa.Table.from_batches([b.slice(i, min(REQUESTS_AT_ONCE, e - i))]), dims))
-                    for h in held:
-                        best.add(h.column("_id").to_numpy(zero_copy_only=False), h.column("_vector"))
-                    if best.ids is not None:
-                        yield best.result(arrow_schema)
-
-    return run
-
-
 def cell_join_topk(index: VectorIndex, staged: DataFrame) -> DataFrame:
     """(_request, query_id, id, similarity, _limit): best rows of the cells each request probes, for any number of requests.
 
@@ -223,7 +193,7 @@ def cell_join_topk(index: VectorIndex, staged: DataFrame) -> DataFrame:
             T.StructField("_request", T.LongType()),
         ]
     )
-    return both.mapInArrow(_stream_slices(dims, schema), schema)
+    return both.mapInArrow(stream_slices(dims, schema), schema)
 
 
 def _probed_topk(index: VectorIndex, staged: DataFrame, broadcast_bytes: int) -> DataFrame:

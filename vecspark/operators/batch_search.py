@@ -35,6 +35,7 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20  # scores held at once by a task
 BATCH_ROWS = 4096  # corpus rows scored at once by a task
+REQUESTS_AT_ONCE = 2048  # that a slice of the corpus is compared with at once
 SEED_TASKS = 64
 SEED_OVER_BYTES = 128 << 30  # of vectors: well over a thousand scan tasks
 
@@ -249,18 +250,29 @@ def _score_partitions(block: Broadcast, schema: T.StructType, tasks: int | None
     return run
 
 
-def _score_blocks(dims: int, schema: T.StructType):
-    """A group function: one block of the corpus against one block of the requests."""
+def stream_slices(dims: int, schema: T.StructType):
+    """A task function: rows of a slice, then the requests that look into it, block by block."""
     arrow_schema = to_arrow_schema(schema)
 
-    def run(corpus: pa.Table, requests: pa.Table) -> pa.Table:
-        if not corpus.num_rows or not requests.num_rows:
-            return arrow_schema.empty_table()
-        best = TopK(RequestBlock.from_arrow(requests, dims))
-        for b in corpus.to_batches():
-            cells = b.column("_cell").to_numpy(zero_copy_only=False) if "_cell" in corpus.column_names else None
-            best.add(b.column("_id").to_numpy(zero_copy_only=False), b.column("_vector"), cells)
-        return pa.Table.from_batches([best.result(arrow_schema)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            cell, part, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_cell", "_slice", "_asks"))
+            change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
+                if s == e:
+                    continue
+                if key != (cell[s], part[s]):
+                    key, held = (cell[s], part[s]), []
+                if not asks[s]:
+                    held.append(b.slice(s, e - s))
+                    continue
+                for i in range(s, e, REQUESTS_AT_ONCE):
+                    best = TopK(RequestBlock.from_arrow(pa.Table.from_batches([b.slice(i, min(REQUESTS_AT_ONCE, e - i))]), dims))
+                    for h in held:
+                        best.add(h.column("_id").to_numpy(zero_copy_only=False), h.column("_vector"))
+                    if best.ids is not None:
+                        yield best.result(arrow_schema)
 
     return run
 
@@ -304,11 +316,12 @@ def batch_topk(
     Requests that fit in ``broadcast_bytes`` are sent to the tasks that scan the corpus,
     which is then read once and not shuffled. A corpus with more than ``seed_over_bytes`` of
     vectors is searched in a few tasks first, so that all other tasks hand on only rows that
-    may beat those results. With more requests, both sides are cut into blocks of bounded
-    size, and each pair of blocks is one group. Each row of requests is answered by itself:
-    query ids are carried along, and may repeat or be NULL.
+    may beat those results. With more requests, the corpus is cut into slices of bounded size
+    and shuffled once, and all requests pass by each slice in blocks. Each row of requests is
+    answered by itself: query ids are carried along, and may repeat or be NULL.
 
-    With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes.
+    With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes;
+    such requests must fit (see ``ann.cell_join_topk`` for more).
     """
     wanted = requests.select(
         F.col(query_id).alias("_query"),
@@ -334,6 +347,8 @@ def batch_topk(
     # A task also holds a float32 copy and the best rows of each request.
     per_request = dims * 4 + MAX_LIMIT * 24
     asked, stored = wanted.count(), rows.count()
+    if cell and asked * per_request > broadcast_bytes:
+        raise ValueError("too many requests with probes to be sent to all tasks")
     if asked * per_request <= broadcast_bytes:
         block = RequestBlock.from_arrow(wanted.toArrow(), dims)
         if cell and probes:
@@ -343,20 +358,22 @@ def batch_topk(
             block = replace(block, floors=_floors(rows, block, schema))
         return _merged(rows.mapInArrow(_score_partitions(block.share(corpus.sparkSession), schema), schema)).drop("_request")
 
-    corpus_blocks = 1 + stored * dims * 4 // block_bytes
-    request_blocks = 1 + asked * per_request // block_bytes
-
     # Written, so that a task that runs again finds the same numbers.
     folder = run_folder(corpus.sparkSession, "requests")
-    numbered = wanted.withColumn("_request", F.monotonically_increasing_id())
+    numbered = wanted.drop("_probes").withColumn("_request", F.monotonically_increasing_id())
     numbered.write.parquet(folder)
     wanted = corpus.sparkSession.read.schema(numbered.schema).parquet(folder)
 
-    def blocked(df: DataFrame, key: list[str], blocks: int, own: str, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)
-        return df.select("*", mine, every)
-
-    left = blocked(rows, ["_id", "_vector"], corpus_blocks, "_cb", "_qb", request_blocks).groupBy("_qb", "_cb")
-    right = blocked(wanted, ["_request"], request_blocks, "_qb", "_cb", corpus_blocks).groupBy("_qb", "_cb")
-    return _merged(left.cogroup(right).applyInArrow(_score_blocks(dims, schema), schema)).drop("_request")
+    # Each row goes to one slice and each request to all of them: however many requests there
+    # are, the corpus is shuffled once. A task holds a slice and lets the requests pass by.
+    slices = int(1 + stored * dims * 4 // block_bytes)
+    own = ("_query", "_limit", "_threshold", "_request")
+    left = rows.select(
+        F.lit(0).alias("_cell"), F.pmod(F.xxhash64("_id", "_vector"), F.lit(slices)).cast("int").alias("_slice"), F.lit(False).alias("_asks"), "_id", "_vector",
+        *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in own],
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
+    right = wanted.select(F.lit(0).alias("_cell"), every, F.lit(True).alias("_asks"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), "_vector", *own)
+    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), slices)
+    both = left.unionByName(right).repartition(tasks, "_slice").sortWithinPartitions("_slice", "_asks")
+    return _merged(both.mapInArrow(stream_slices(dims, schema), schema)).drop("_request")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.functions.vector import similarity_to, similarity_to_native
 from vecspark.schema import DEFAULT_LIST_LIMIT, DEFAULT_SEARCH_LIMIT, MAX_LIMIT, MIN_LIMIT
 from vecspark.session import run_folder
 
 MERGE_SLOTS = 32
+FILE = "_file"
 
 
 def clamped(limit: int) -> int:
@@ -51,20 +54,60 @@ def topk_search(
     """The ``limit`` most similar rows, most similar first, without their vectors.
 
     The ranking reads ids and vectors only, and each task keeps its own best rows, so no
-    more than ``limit`` small rows per partition are moved. The other columns are fetched
-    for the at most 100 results, which are sent to a second scan.
+    more than ``limit`` small rows per partition are moved. The other columns are fetched for
+    the at most 100 results alone: see ``fetch``.
+    """
+    best = topk_positions(corpus, query, limit, threshold, id, vector, method)
+    others = [c for c in corpus.columns if c != vector]
+    if others == [id]:
+        return best.drop(FILE)
+    order = [F.col("similarity").desc_nulls_last(), F.col(id).asc()]
+    return fetch(corpus.select(*others), best, id).orderBy(*order).limit(clamped(limit))
+
+
+def topk_positions(
+    corpus: DataFrame,
+    query: Sequence[float],
+    limit: int = DEFAULT_SEARCH_LIMIT,
+    threshold: float | None = None,
+    id: str = "id",
+    vector: str = "embedding",
+    method: str = "arrow",
+) -> DataFrame:
+    """(id, similarity, _file) of the best rows; ``_file`` is the file a row is in, NULL if the corpus is not read from files.
 
     The threshold is tested after the limit: the rows that pass are a prefix of the ordered
     result, and testing it before would compute the similarity twice.
     """
     order = [F.col("similarity").desc_nulls_last(), F.col(id).asc()]
-    n = clamped(limit)
-    scored = corpus.select(id, similarity_column(F.col(vector), query, method).alias("similarity"))
-    best = threshold_filter(scored.orderBy(*order).limit(n), threshold)
-    others = [c for c in corpus.columns if c != vector]
-    if others == [id]:
-        return best
-    return corpus.select(*others).join(F.broadcast(best), id).orderBy(*order).limit(n)
+    scored = corpus.select(id, similarity_column(F.col(vector), query, method).alias("similarity"), file_of(corpus))
+    return threshold_filter(scored.orderBy(*order).limit(clamped(limit)), threshold)
+
+
+def file_of(rows: DataFrame) -> Column:
+    """The file each row is read from, as the column ``_file``; one that the rows bring along is kept."""
+    if FILE in rows.columns:
+        return F.col(FILE)
+    try:
+        rows.select("_metadata.file_path").schema  # noqa: B018
+    except AnalysisException:
+        return F.lit(None).cast("string").alias(FILE)
+    return F.col("_metadata.file_path").alias(FILE)
+
+
+def fetch(rows: DataFrame, best: DataFrame, id: str = "id") -> DataFrame:
+    """The rows of at most 100 results with their similarity, read from the files the results are in.
+
+    The results are ranked now, once; their files and ids then prune the scan of everything
+    else, so what is read does not grow with the table.
+    """
+    found = best.collect()
+    rows_of = rows.filter(F.col(id).isin([r[id] for r in found]))
+    files = {r[FILE] for r in found}
+    if files and None not in files and FILE not in rows.columns:
+        rows_of = rows_of.filter(F.col("_metadata.file_path").isin(sorted(files)))
+    kept = rows.sparkSession.createDataFrame([(r[id], r["similarity"]) for r in found], T.StructType([best.schema[id], best.schema["similarity"]]))
+    return rows_of.join(F.broadcast(kept), id)
 
 
 def threshold_filter(scored: DataFrame, threshold: float | Column | None) -> DataFrame:

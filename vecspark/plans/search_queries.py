@@ -9,7 +9,7 @@ from vecspark.functions.vector import cosine_distance, cosine_similarity, vector
 from vecspark.operators.ann import Cells, approx_topk, bounded_topk, cells_of, recall_at_k, train_cells
 from vecspark.operators.batch_search import batch_topk
 from vecspark.operators.envelope import list_envelope, search_envelope
-from vecspark.operators.search import recent_documents, result_rank, threshold_filter, topk_search, with_similarity
+from vecspark.operators.search import fetch, file_of, recent_documents, result_rank, threshold_filter, topk_positions, with_similarity
 from vecspark.plans import views
 from vecspark.plans.registry import query
 from vecspark.session import run_folder
@@ -37,13 +37,14 @@ FROM best s JOIN docs d ON s.id = d.id"""
 
 
 def _corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the documents there are, so that every result has its document."""
-    return views.vectors(spark, sf_dir).join(views.documents(spark, sf_dir).select("id"), "id", "left_semi")
+    """Vectors of the documents there are, so that every result has its document, with the document's file."""
+    documents = views.documents(spark, sf_dir)
+    return views.vectors(spark, sf_dir).join(documents.select("id", file_of(documents)), "id")
 
 
 def _with_documents(best: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of at most 100 results: the results are sent to the scan of the documents."""
-    rows = views.documents(spark, sf_dir).join(F.broadcast(best), "id")
+    """The documents of at most 100 results."""
+    rows = fetch(views.documents(spark, sf_dir), best)
     return rows.select("id", "content", "metadata", "created_at", F.round("similarity", 6).alias("similarity"))
 
 
@@ -53,7 +54,7 @@ def _with_documents(best: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
     best AS (SELECT * FROM scored WHERE id IN (SELECT id FROM docs) ORDER BY similarity DESC, id LIMIT 10) {_PAYLOAD}""",
 )
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = topk_search(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=10)
+    best = topk_positions(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=10)
     return _with_documents(best, spark, sf_dir)
 
 
@@ -63,7 +64,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best AS (SELECT * FROM scored WHERE similarity >= 0.2 AND id IN (SELECT id FROM docs) ORDER BY similarity DESC, id LIMIT 100) {_PAYLOAD}""",
 )
 def _topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = topk_search(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=100, threshold=0.2)
+    best = topk_positions(_corpus_vectors(spark, sf_dir), views.first_vector(spark, sf_dir), limit=100, threshold=0.2)
     return _with_documents(best, spark, sf_dir)
 
 

@@ -13,12 +13,14 @@ from vecspark.operators.batch_search import batch_topk
 from vecspark.operators.embed import Embedder, embed_texts, with_embed_errors
 from vecspark.operators.envelope import search_envelope
 from vecspark.operators.requests import parse_search_requests
+from vecspark.operators.search import FILE, file_of
 from vecspark.operators.validation import ERROR_COLUMNS, effective_limit, limit_rule, text_rules, threshold_rule, with_errors
 from vecspark.schema import TASK_QUERY
 from vecspark.session import configure, run_folder, spread
 from vecspark.sources.vector_index import VectorIndex
 
-BROADCAST_RESULTS = 500_000
+BROADCAST_BYTES = 64 << 20  # results are sent to the corpus scan up to this measured size
+MOST_FILES = 1000  # that a scan is told by name; beyond it all are read
 
 
 @dataclass(frozen=True)
@@ -41,13 +43,21 @@ class SearchOutcome:
     def envelope(self, corpus: DataFrame, columns: tuple[str, ...] = ("content", "metadata", "created_at")) -> DataFrame:
         """One row per accepted request with its count and results, with the corpus columns.
 
-        The corpus is read once more for these columns only. Unless there are very many
-        requests, their results are sent to that scan and the corpus is not shuffled.
+        The ids of the corpus tell which files have results, and these columns are read from
+        those files only. Results of a checked size are sent to that scan, and the corpus is
+        not shuffled.
         """
-        most = self.requests.agg(F.sum("limit")).first()[0] or 0
         ranked = self.numbered.select("request", "rank", "id", "similarity")
-        ranked = F.broadcast(ranked) if most <= BROADCAST_RESULTS else ranked
-        found = corpus.select("id", *columns).join(ranked, "id")
+        size = ranked.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 32)).first()[0] or 0
+        small = size <= BROADCAST_BYTES
+        rows = corpus.select("id", *columns)
+        file = file_of(corpus)
+        if small and "_metadata" in file._jc.toString():
+            ids = F.broadcast(ranked.select("id").distinct())
+            files = [r[0] for r in corpus.select("id", file).join(ids, "id", "left_semi").select(FILE).distinct().limit(MOST_FILES + 1).collect()]
+            if len(files) <= MOST_FILES:
+                rows = corpus.filter(F.col("_metadata.file_path").isin(files)).select("id", *columns)
+        found = rows.join(F.broadcast(ranked) if small else ranked, "id")
         asked = self.requests.select("request", "query_id", "query")
         return search_envelope(asked, found, ("id", "similarity", *columns), query_id="request").drop("request")
 
