@@ -59,3 +59,20 @@ def test_percentile_is_exact(spark, p):
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     got = {r.g: r.percentile for r in L.percentile_by(df, ["g"], "v", p).collect()}
     assert got == pytest.approx({g: float(np.quantile(xs, p)) for g, xs in groups.items()}, rel=1e-12)
+
+
+def test_sketches_of_parts_merge_to_close_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [("GET" if i % 9 else None, "/a" if i % 3 else "/b", float(v), i % 10) for i, v in enumerate(rng.exponential(size=20_000))]
+    lines = spark.createDataFrame(rows, "method string, path string, latencyMs double, day int").repartition(4)
+    parts = L.latency_sketches(lines, F.col("day"))
+    assert parts.count() == 40
+    merged = L.merged_latency(parts)
+    for r in merged.collect():
+        own = [v for m, p, v, _ in rows if m == r.method and p == r.path]
+        assert r.requests == len(own) and r.max_ms == max(own)
+        assert abs(np.mean(np.array(own) <= r.p95_ms) - 0.95) <= L.RANK_ERROR
+    checked = L.rank_is_close(merged, lines, L.ROUTE)
+    assert all(r.p95_close for r in checked.collect())
+    wrong = L.rank_is_close(merged.withColumn("p95_ms", F.col("p95_ms") * 2), lines, L.ROUTE)
+    assert not any(r.p95_close for r in wrong.collect())

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from vecspark.sources.corpus import (
     read_corpus,
     schema_evolve,
 )
-from vecspark.operators.inspection import corpus_columns, corpus_count, corpus_health
+from vecspark.operators.inspection import DISTINCT_ERROR, column_sketches, corpus_columns, corpus_count, corpus_health, merged_profile
 from vecspark.schema import DOCUMENT
 from vecspark.session import run_folder
 
@@ -108,3 +110,17 @@ def test_task_functions_carry_their_code(tmp_path):
     check = "import pickle, sys; pickle.load(open('code', 'rb')); assert not any(m.startswith('vecspark') for m in sys.modules)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env=env, check=True)
+
+
+def test_profile_of_parts_equals_that_of_the_whole(spark):
+    rows = [(i, None if i % 4 == 0 else f"t{i % 50}", [1.0, float(i % 3)], i % 2 == 0, float(i) / 7, datetime(2024, 1, 1 + i % 28)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t string, v array<double>, b boolean, x double, at timestamp_ntz")
+    whole = merged_profile(column_sketches(df))
+    parts = merged_profile(column_sketches(df, F.col("id") % 11))
+    assert sorted(map(tuple, whole.drop("n_distinct").collect())) == sorted(map(tuple, parts.drop("n_distinct").collect()))
+    got = {r.column_name: r for r in parts.collect()}
+    assert [(got[c].n_rows, got[c].nulls) for c in ("id", "t", "v")] == [(900, 0), (900, 225), (900, 0)]
+    assert (got["id"].low, got["id"].high, got["t"].low, got["t"].high) == ("0", "899", "t1", "t9") and got["v"].low is None
+    want = {"id": 900, "t": 50, "v": 3, "b": 2, "at": 28}
+    assert all(abs(got[c].n_distinct - n) <= n * DISTINCT_ERROR for c, n in want.items())
+    assert merged_profile(column_sketches(df.limit(0))).count() == 0

@@ -129,11 +129,40 @@ def percentile_by(df: DataFrame, keys: Sequence[str], value: str, p: float) -> D
     return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * rest).alias("percentile"))
 
 
-def latency_p95(logs: DataFrame, approximate: bool = False, p: float = 0.95) -> DataFrame:
-    """95th percentile of the latency per route; ``approximate`` needs a single pass."""
+SKETCH_SIZE = 400  # of the quantile sketches
+RANK_ERROR = 0.02  # of their quantiles: well over what a sketch of this size is off by
+
+
+def latency_sketches(logs: DataFrame, *parts: Column) -> DataFrame:
+    """Per route and part, such as a day: how many latencies, the greatest, and a quantile sketch. To be stored and merged."""
     done = logs.filter(F.col("latencyMs").isNotNull())
+    return done.groupBy(*ROUTE, *parts).agg(
+        F.count(F.lit(1)).alias("requests"), F.max("latencyMs").alias("max_ms"), F.kll_sketch_agg_double("latencyMs", SKETCH_SIZE).alias("latency_sketch")
+    )
+
+
+def merged_latency(sketches: DataFrame, *parts: Column | str, p: float = 0.95) -> DataFrame:
+    """Sketches of any parts merged to larger ones, by route; ``p95_ms`` has a rank within ``RANK_ERROR`` of ``p``."""
+    merged = sketches.groupBy(*ROUTE, *parts).agg(
+        F.sum("requests").alias("requests"), F.max("max_ms").alias("max_ms"), F.kll_merge_agg_double("latency_sketch", SKETCH_SIZE).alias("latency_sketch")
+    )
+    return merged.withColumn("p95_ms", F.kll_sketch_get_quantile_double("latency_sketch", F.lit(p)))
+
+
+def rank_is_close(estimates: DataFrame, logs: DataFrame, keys: Sequence[str], value: str = "latencyMs", p: float = 0.95) -> DataFrame:
+    """The estimates with ``p95_close``: whether the rank of ``p95_ms`` among all values of its group is within ``RANK_ERROR`` of ``p``."""
+    v, e = F.col(value), F.col("_estimate")
+    rows = _same_keys(logs.select(*keys, value).filter(v.isNotNull()), estimates.select(*keys, F.col("p95_ms").alias("_estimate")), keys)
+    below, upto = F.count_if(v < e) / F.count(F.lit(1)), F.count_if(v <= e) / F.count(F.lit(1))
+    ranks = rows.groupBy(*keys).agg(((below <= p + RANK_ERROR) & (upto >= p - RANK_ERROR)).alias("p95_close"))
+    return _same_keys(estimates, ranks, keys)
+
+
+def latency_p95(logs: DataFrame, approximate: bool = False, p: float = 0.95) -> DataFrame:
+    """95th percentile of the latency per route; ``approximate`` needs a single pass and keeps a sketch per route."""
     if approximate:
-        return done.groupBy(*ROUTE).agg(F.percentile_approx("latencyMs", p, ACCURACY).alias("p95_ms"))
+        return merged_latency(latency_sketches(logs), p=p).select(*ROUTE, "p95_ms")
+    done = logs.filter(F.col("latencyMs").isNotNull())
     return percentile_by(done, ROUTE, "latencyMs", p).withColumnRenamed("percentile", "p95_ms")
 
 

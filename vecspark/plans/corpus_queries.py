@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions import display, ids, text, vector
-from vecspark.operators.inspection import corpus_columns, corpus_count, corpus_health
+from vecspark.operators.inspection import DISTINCT_ERROR, column_sketches, corpus_count, corpus_health, merged_profile
 from vecspark.operators.search import with_similarity
 from vecspark.plans import views
 from vecspark.plans.registry import query
@@ -236,13 +236,40 @@ def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_count(views.documents(spark, sf_dir))
 
 
-@query(
-    "corpus_columns",
-    """SELECT * FROM (VALUES (1, 'doc_id', 'bigint'), (2, 'text', 'string'), (3, 'lang', 'string'),
-       (4, 'source', 'string'), (5, 'n_chars', 'bigint')) AS t(ordinal_position, column_name, data_type)""",
-)
+_PROFILED = {"documents": ("doc_id", "text", "lang", "source", "n_chars"), "events": ("event_id", "ts", "user_id", "event_type", "value", "props")}
+_KINDS = {"doc_id": "bigint", "n_chars": "bigint", "event_id": "bigint", "user_id": "bigint", "value": "double", "ts": "timestamp_ntz"}
+_UNSHOWN = ("value", "ts")  # texts of these differ between engines
+
+
+def _profile_sql() -> str:
+    rows = []
+    for table, columns in _PROFILED.items():
+        for i, c in enumerate(columns, 1):
+            low, high = ("''", "''") if c in _UNSHOWN else (f"left(min({c})::VARCHAR, 40)", f"left(max({c})::VARCHAR, 40)")
+            rows.append(
+                f"SELECT '{table}' AS table_name, {i} AS ordinal_position, '{c}' AS column_name, '{_KINDS.get(c, 'string')}' AS data_type, count(*) AS n_rows, "
+                f"count(*) FILTER ({c} IS NULL) AS nulls, {low} AS low, {high} AS high, TRUE AS distinct_close FROM {table}"
+            )
+    return " UNION ALL ".join(rows)
+
+
+@query("corpus_columns", _profile_sql())
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("nullable")
+    """Profile of every column of two tables: sketched in parts, stored, read again and merged; distinct counts held against exact ones."""
+    out = None
+    for name, columns in _PROFILED.items():
+        rows = views.table(spark, sf_dir, name)
+        folder = run_folder(spark, "sketches")
+        column_sketches(rows, F.pmod(F.col(columns[0]), F.lit(7))).write.parquet(folder)
+        profile = merged_profile(spark.read.parquet(folder))
+        exact = rows.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("n")) for c in columns]).alias("c"))
+        exact = exact.select(F.explode("c").alias("c")).select("c.*")
+        close = F.abs(F.col("n_distinct") - F.col("n")) <= F.col("n") * DISTINCT_ERROR
+        shown = [F.when(F.col("column_name").isin(*_UNSHOWN), "").otherwise(F.substring(c, 1, 40)).alias(c) for c in ("low", "high")]
+        profile = profile.join(F.broadcast(exact), "column_name")
+        part = profile.select(F.lit(name).alias("table_name"), "ordinal_position", "column_name", "data_type", "n_rows", "nulls", *shown, close.alias("distinct_close"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecspark.operators import logs as L
 from vecspark.plans import views
 from vecspark.plans.registry import query
+from vecspark.session import run_folder
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,15 @@ def _p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("latency_p95_approx")
+@query(
+    "latency_p95_approx",
+    f"""WITH {views.REQUEST_LOG}
+    SELECT method, path, count(latency) AS requests, max(latency) AS max_ms, TRUE AS p95_close FROM logs WHERE latency IS NOT NULL GROUP BY ALL""",
+)
 def _p95_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.latency_p95(_logs(spark, sf_dir), approximate=True)
+    """Quantile sketches by day, stored, merged by route, and held against exact quantiles."""
+    logs = _logs(spark, sf_dir)
+    folder = run_folder(spark, "latency")
+    L.latency_sketches(logs, F.to_date("time").alias("day")).write.parquet(folder)
+    merged = L.merged_latency(spark.read.parquet(folder))
+    return L.rank_is_close(merged, logs, L.ROUTE).select("method", "path", "requests", "max_ms", "p95_close")

@@ -15,6 +15,7 @@ from vecspark.plans.embedding_queries import (
     shown,
     text_requests,
 )
+from vecspark.operators.logs import rank_is_close
 from vecspark.plans.registry import query
 from vecspark.session import run_folder
 from vecspark.streaming.jobs import latest_metrics, stream_ingest, stream_request_metrics, stream_search
@@ -51,14 +52,18 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_request_metrics",
     f"""WITH {views.REQUEST_LOG}
     SELECT time_bucket(INTERVAL 1 HOUR, ended) AS window_start, method, path, count(*) AS requests,
-      count(*) FILTER (status >= 400) AS errors, max(latency) AS max_ms
+      count(*) FILTER (status >= 400) AS errors, max(latency) AS max_ms, CASE WHEN max(latency) IS NOT NULL THEN TRUE ELSE FALSE END AS p95_close
     FROM ended GROUP BY ALL""",
 )
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly metrics per route of all events as a stream of log lines."""
+    """Hourly metrics per route of all events as a stream of log lines; percentiles are held against exact ones."""
     run = run_folder(spark, "stream-metrics")
     logs = views.request_log(views.stream_table(spark, sf_dir, "events"))
     logs = logs.withColumn("time", F.col("time").cast("timestamp"))
     _finish(stream_request_metrics(logs, f"{run}/metrics", f"{run}/checkpoint"))
-    metrics = latest_metrics(spark.read.parquet(f"{run}/metrics")).drop("p95_ms")
-    return metrics.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    metrics = latest_metrics(spark.read.parquet(f"{run}/metrics")).drop("latency_sketch")
+    metrics = metrics.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    lines = views.request_log(views.table(spark, sf_dir, "events")).withColumn("window_start", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    checked = rank_is_close(metrics.filter("p95_ms IS NOT NULL"), lines.filter("latencyMs IS NOT NULL"), ("window_start", "method", "path"))
+    none = metrics.filter("p95_ms IS NULL").withColumn("p95_close", F.lit(False))
+    return checked.unionByName(none).drop("p95_ms")
