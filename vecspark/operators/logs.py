@@ -79,6 +79,40 @@ def correlation_lifecycle(logs: DataFrame) -> DataFrame:
     )
 
 
+def request_outcomes(logs: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+    """Per request, and again after a silence of ``timeout``: first and last time, lines, and whether a line has ended it.
+
+    Works on tables and, with a watermark, on streams, where a request comes out once no more
+    of its lines can come: one that has not ended by then has timed out.
+    """
+    ends = with_status(logs).withColumn("_ends", F.col("statusCode").isNotNull() | F.col("latencyMs").isNotNull())
+    keys = ["requestId", "correlationId", *(["service"] if "service" in logs.columns else [])]
+    out = ends.groupBy(F.session_window("time", timeout).alias("_session"), *keys).agg(
+        F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count(F.lit(1)).alias("lines"), F.max("statusCode").alias("status"), F.bool_or("_ends").alias("ended")
+    )
+    return out.drop("_session")
+
+
+def correlation_sessions(logs: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+    """One row per correlation id and run of requests, across services, that follow each other within ``timeout``.
+
+    A request holds its session open from its first line until ``timeout`` after its last. Those
+    that have not ended are ``open`` while the log goes on for less than ``timeout`` after them,
+    else ``timed_out``. Requests are put together first, so a correlation id with a large share
+    of the lines is spread over many tasks until its requests are merged.
+    """
+    newest = logs.agg(F.max("time").alias("_newest"))
+    requests = request_outcomes(logs, timeout).join(F.broadcast(newest))  # one row
+    silent = F.col("_newest") - F.expr(f"INTERVAL {timeout}") >= F.col("last_time")
+    open_time = F.expr(f"timestampdiff(MICROSECOND, first_time, last_time + INTERVAL {timeout})")
+    session = F.session_window("first_time", F.concat(open_time.cast("string"), F.lit(" microseconds")))
+    services = F.count_distinct("service") if "service" in logs.columns else F.lit(1).cast("long")
+    return requests.groupBy(session.alias("_session"), "correlationId").agg(
+        F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("requests"), services.alias("services"),
+        F.count_if(~F.col("ended") & ~silent).alias("open"), F.count_if(~F.col("ended") & silent).alias("timed_out"),
+    ).drop("_session")
+
+
 def request_status_counts(logs: DataFrame) -> DataFrame:
     """Finished requests by route and status."""
     done = with_status(logs).filter(F.col("statusCode").isNotNull())

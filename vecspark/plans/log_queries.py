@@ -68,6 +68,36 @@ def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.correlation_lifecycle(_logs(spark, sf_dir)).withColumnRenamed("correlationId", "correlation_id")
 
 
+# Three services answer the requests; every eleventh answer is lost.
+_SERVED = f"""{views.REQUEST_LOG}, served AS (
+  SELECT *, CASE request_id::BIGINT % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'search' ELSE 'ingest' END AS service
+  FROM logs WHERE msg = 'request received' OR request_id::BIGINT % 11 <> 3),
+requests AS (
+  SELECT request_id, correlation_id, service, min(time) AS first_time, max(time) AS last_time, count(*) AS lines, bool_or(msg <> 'request received') AS done
+  FROM served GROUP BY ALL)"""
+
+
+def served_logs(logs: DataFrame) -> DataFrame:
+    n = F.col("requestId").cast("long")
+    service = F.when(n % 3 == 0, "api").when(n % 3 == 1, "search").otherwise("ingest")
+    return logs.withColumn("service", service).filter((F.col("msg") == "request received") | (n % 11 != 3))
+
+
+@query(
+    "correlation_sessions",
+    f"""WITH {_SERVED}, marked AS (
+      SELECT *, CASE WHEN first_time <= max(last_time + INTERVAL 3 HOUR) OVER (PARTITION BY correlation_id ORDER BY first_time, request_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts, (SELECT max(time) FROM served) AS newest FROM requests),
+    islands AS (SELECT *, sum(starts) OVER (PARTITION BY correlation_id ORDER BY first_time, request_id) AS island FROM marked)
+    SELECT correlation_id, min(first_time) AS first_time, max(last_time) AS last_time, sum(lines)::BIGINT AS lines, count(*) AS requests, count(DISTINCT service) AS services,
+      count(*) FILTER (NOT done AND newest - INTERVAL 3 HOUR < last_time) AS open, count(*) FILTER (NOT done AND newest - INTERVAL 3 HOUR >= last_time) AS timed_out
+    FROM islands GROUP BY correlation_id, island""",
+)
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests across services by correlation id, cut where three hours pass without one."""
+    return L.correlation_sessions(served_logs(_logs(spark, sf_dir)), "3 hours").withColumnRenamed("correlationId", "correlation_id")
+
+
 @query(
     "request_status_counts",
     f"""WITH {views.REQUEST_LOG}

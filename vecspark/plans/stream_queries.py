@@ -16,9 +16,10 @@ from vecspark.plans.embedding_queries import (
     text_requests,
 )
 from vecspark.operators.logs import rank_is_close
+from vecspark.plans.log_queries import _SERVED, served_logs
 from vecspark.plans.registry import query
 from vecspark.session import run_folder
-from vecspark.streaming.jobs import latest_metrics, stream_ingest, stream_request_metrics, stream_search
+from vecspark.streaming.jobs import latest_metrics, stream_ingest, stream_request_metrics, stream_request_outcomes, stream_search
 
 
 def _finish(writer) -> None:
@@ -67,3 +68,18 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = rank_is_close(metrics.filter("p95_ms IS NOT NULL"), lines.filter("latencyMs IS NOT NULL"), ("window_start", "method", "path"))
     none = metrics.filter("p95_ms IS NULL").withColumn("p95_close", F.lit(False))
     return checked.unionByName(none).drop("p95_ms")
+
+
+@query(
+    "stream_request_outcomes",
+    f"""WITH {_SERVED}
+    SELECT request_id, correlation_id, service, lines, done AS ended, first_time, last_time FROM requests
+    WHERE last_time + INTERVAL 10 MINUTE <= (SELECT max(time) - INTERVAL 10 MINUTE FROM served)""",
+)
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of log lines; a request comes out when no more of its lines can come, ended or not."""
+    run = run_folder(spark, "stream-outcomes")
+    logs = served_logs(views.request_log(views.stream_table(spark, sf_dir, "events"))).withColumn("time", F.col("time").cast("timestamp"))
+    _finish(stream_request_outcomes(logs, f"{run}/outcomes", f"{run}/checkpoint"))
+    out = spark.read.parquet(f"{run}/outcomes").withColumnsRenamed({"requestId": "request_id", "correlationId": "correlation_id"})
+    return out.drop("status").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_time", "last_time")})

@@ -54,5 +54,7 @@ REQUEST_LOG = T.StructType(
         T.StructField("statusCode", T.IntegerType(), True),
         T.StructField("latencyMs", T.DoubleType(), True),
         T.StructField("msg", T.StringType(), True),
+        T.StructField("service", T.StringType(), True),
+        T.StructField("env", T.StringType(), True),
     ]
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from vecspark.operators.embed import Embedder
-from vecspark.operators.logs import SKETCH_SIZE, with_status
+from vecspark.operators.logs import SKETCH_SIZE, request_outcomes, with_status
 from vecspark.plans.ingest import index_documents
 from vecspark.plans.semantic import semantic_search
 from vecspark.sources.corpus import read_corpus
@@ -92,6 +92,15 @@ def stream_request_metrics(
     return metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def stream_request_outcomes(logs: DataFrame, output: str, checkpoint: str, timeout: str = "10 minutes", delay: str = "10 minutes") -> DataStreamWriter:
+    """Write each request once it can get no more lines; those without an end have timed out.
+
+    The state holds the requests of the last ``timeout`` and ``delay`` only.
+    """
+    outcomes = request_outcomes(logs.withWatermark("time", delay), timeout)
+    return outcomes.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+
+
 def latest_metrics(changes: DataFrame) -> DataFrame:
     """The last written state of each window and route."""
     keys = ["window_start", "method", "path"]
