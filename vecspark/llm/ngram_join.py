@@ -25,7 +25,7 @@ from vecspark.llm.register import query
 BITS = 4096  # of a token bitmap
 LEAF = 32  # sets of a leaf
 FANOUT = 8
-BLOCK_TOKENS = 16_000_000  # a block of more tokens is cut into pieces, which meet two by two
+BLOCK_TOKENS = 16_000_000  # a block of more tokens is cut by sizes, and a level of sizes of more tokens into slices
 KEY_ROWS = 2_000_000  # keys that one task brings together
 CHUNK_KEYS = 500_000  # keys a task sorts before it hands them on
 
@@ -346,21 +346,32 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
     held = written(blocks.join(rows.where("doc_id = first").select("first", "n").distinct(), blocks["node"] == F.col("first")).select(F.col("node").alias("doc_id"), F.col("root").alias("block"), "n"), "block-members")
     if held.isEmpty():
         return rows, spark.createDataFrame([], "a long, b long")
-    # A block of many tokens is cut into pieces and dealt out in pairs of pieces whose sizes
-    # allow a link; a row goes to the pairs its piece is in.
+    # A block of many tokens is cut by levels of sizes: linked sets are of one level or of two
+    # side by side. A level of many tokens is cut into slices. Each group compares a slice with
+    # itself and a slice of the next level, or two slices of a level.
     per = held.groupBy("block").agg(F.sum("n").alias("tokens"))
-    large = per.where(F.col("tokens") > BLOCK_TOKENS)
-    small = held.join(per.where(F.col("tokens") <= BLOCK_TOKENS).select("block"), "block").select("doc_id", "block", F.lit(0).alias("left_piece"), F.lit(0).alias("right_piece"))
-    # Linked sets are of the same level of sizes or of two levels side by side.
-    cut = held.join(large, "block").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))))
-    cut = cut.withColumn("slices", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    cut = cut.withColumn("piece", (F.col("level") * F.col("slices") + F.col("slice")).cast("int")).withColumn("pieces", ((F.col("level") + 2) * F.col("slices")).cast("int"))
-    lowest = (F.greatest(F.col("level") - 1, F.lit(0)) * F.col("slices")).cast("int")
-    meets = F.transform(
-        F.sequence(lowest, F.col("pieces") - 1), lambda p: F.struct(F.least(p, F.col("piece")).alias("left_piece"), F.greatest(p, F.col("piece")).alias("right_piece"))
-    )
-    cut = cut.select("doc_id", "block", F.explode(meets).alias("pair"), "piece").select("doc_id", "block", "pair.*", "piece")
-    small = small.withColumn("piece", F.lit(0))
+    group = [F.lit(0).alias(c) for c in ("level", "first_slice", "second_slice", "kind", "side")]
+    small = held.join(per.where(F.col("tokens") <= BLOCK_TOKENS).select("block"), "block").select("doc_id", "block", *group)
+    cut = held.join(per.where(F.col("tokens") > BLOCK_TOKENS).select("block"), "block")
+    cut = cut.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
+    sliced = cut.groupBy("block", "level").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("slices"))
+    sliced = sliced.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("level", "slices"))).alias("slices"))  # a few dozen levels
+    cut = cut.join(sliced, "block")
+    count = {d: F.coalesce(F.try_element_at("slices", F.col("level") + d), F.lit(0)) for d in (-1, 0, 1)}
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id"), count[0]).cast("int"))
+
+    def meets(n: Column, level: Column, first, second, kind: int, side) -> Column:
+        """Groups of this row with each of n slices."""
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        made = lambda j: F.struct(level.alias("level"), first(j).alias("first_slice"), second(j).alias("second_slice"), F.lit(kind).alias("kind"), side(j).alias("side"))
+        return F.transform(every, made)
+
+    own, level = F.col("slice"), F.col("level")
+    with_next = meets(F.greatest(count[1], F.lit(1)), level, lambda j: own, lambda j: j, 0, lambda j: F.lit(0))
+    with_last = meets(count[-1], level - 1, lambda j: j, lambda j: own, 0, lambda j: F.lit(1))
+    beside = meets(count[0], level, lambda j: F.least(own, j), lambda j: F.greatest(own, j), 1, lambda j: (own > j).cast("int"))
+    beside = F.filter(beside, lambda g: g["first_slice"] != g["second_slice"])
+    cut = cut.select("doc_id", "block", F.explode(F.concat(with_next, with_last, beside)).alias("g")).select("doc_id", "block", "g.*")
     members = written(small.unionByName(cut), "block-pairs")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     ids = members.select("doc_id").distinct()
@@ -377,19 +388,20 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
         sets = sets.groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, pieces = table["doc_id"].to_pylist(), table["piece"].to_pylist()
+        ids, sides = table["doc_id"].to_pylist(), table["side"].to_pylist()
         tokens = [np.frombuffer(t, dtype=np.uint64) for t in table["tokens"].to_pylist()]
         at = sorted(range(len(ids)), key=lambda i: ids[i])
-        l, r = table["left_piece"][0].as_py(), table["right_piece"][0].as_py()
-        left = [i for i in at if pieces[i] == l]
-        right = None if l == r else [i for i in at if pieces[i] == r]
+        left, right = ([i for i in at if sides[i] == side] for side in (0, 1))
+        within = table["kind"][0].as_py() == 0 and table["second_slice"][0].as_py() == 0
         found = []
-        if left and (right is None or right):
-            pairs = tree_links([tokens[i] for i in left], None if right is None else [tokens[i] for i in right], num, den, every)
-            found = sorted((min(x), max(x)) for x in ((ids[left[i]], ids[(right or left)[j]]) for i, j in pairs))
+        for others in ([None] if within else []) + ([right] if right else []):
+            if left:
+                pairs = tree_links([tokens[i] for i in left], None if others is None else [tokens[i] for i in others], num, den, every)
+                found += [(ids[left[i]], ids[(others or left)[j]]) for i, j in pairs]
+        found = sorted((min(x), max(x)) for x in found)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    grouped = keys_join(sets, members, "doc_id", "inner", 48).groupBy("block", "left_piece", "right_piece")
+    grouped = keys_join(sets, members, "doc_id", "inner", 48).groupBy("block", "level", "first_slice", "second_slice", "kind")
     return rows, written(grouped.applyInArrow(compare, "a long, b long"), "links")
 
 
