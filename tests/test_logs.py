@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators import logs as L
-from vecspark.sources.logs import read_logs
+from vecspark.sources.logs import corrupt_lines, parsed_lines, read_log_lines, read_logs
 
 LINES = [
     {"time": "2026-01-01T00:00:00.000Z", "level": 30, "requestId": "a", "correlationId": "c", "method": "POST", "path": "/search", "msg": "request received"},
@@ -66,7 +67,7 @@ def test_sketches_of_parts_merge_to_close_ranks(spark):
     rows = [("GET" if i % 9 else None, "/a" if i % 3 else "/b", float(v), i % 10) for i, v in enumerate(rng.exponential(size=20_000))]
     lines = spark.createDataFrame(rows, "method string, path string, latencyMs double, day int").repartition(4)
     parts = L.latency_sketches(lines, F.col("day"))
-    assert parts.count() == 40
+    assert parts.count() == 30
     merged = L.merged_latency(parts)
     for r in merged.collect():
         own = [v for m, p, v, _ in rows if m == r.method and p == r.path]
@@ -76,3 +77,28 @@ def test_sketches_of_parts_merge_to_close_ranks(spark):
     assert all(r.p95_close for r in checked.collect())
     wrong = L.rank_is_close(merged.withColumn("p95_ms", F.col("p95_ms") * 2), lines, L.ROUTE)
     assert not any(r.p95_close for r in wrong.collect())
+
+
+def test_corrupt_lines_are_kept(spark, tmp_path):
+    good = [json.dumps(x) for x in LINES]
+    bad = ['{"time": "2026-01-01T00', "plain text", '{"latencyMs": "much", "requestId": "z"}']
+    (tmp_path / "a.json").write_text("\n".join([good[0], bad[0], *good[1:3]]))
+    (tmp_path / "b.json").write_text("\n".join([*bad[1:], good[3]]))
+    lines = read_log_lines(spark, str(tmp_path))
+    assert sorted(r.requestId for r in parsed_lines(lines).collect()) == ["a", "a", "b", "b"]
+    kept = corrupt_lines(lines).collect()
+    assert sorted(r.line for r in kept) == sorted(bad) and {r.file[-6:] for r in kept} == {"a.json", "b.json"}
+    assert {r.requestId for r in L.request_lifecycle(read_logs(spark, str(tmp_path))).collect()} == {"a", "b"}
+
+
+def test_sessions_of_requests(spark):
+    def line(minute, request, correlation, service, status=None):
+        return datetime(2026, 1, 1, minute // 60, minute % 60), request, correlation, service, status, "m"
+
+    rows = [
+        line(0, "a", "x", "api"), line(1, "a", "x", "api", 200), line(5, "b", "x", "search"), line(100, "c", "x", "api"), line(104, "c", "x", "api", 500),
+        line(200, "d", "y", "api"), line(3, "e", None, "api", 200),
+    ]
+    lines = spark.createDataFrame(rows, "time timestamp, requestId string, correlationId string, service string, statusCode int, msg string").withColumn("latencyMs", F.lit(None).cast("double"))
+    got = {(r.correlationId, r.first_time.minute + 60 * r.first_time.hour): (r.lines, r.requests, r.services, r.open, r.timed_out) for r in L.correlation_sessions(lines, "10 minutes").collect()}
+    assert got == {("x", 0): (3, 2, 2, 0, 1), ("x", 100): (2, 1, 1, 0, 0), ("y", 200): (1, 1, 1, 1, 0), (None, 3): (1, 1, 1, 0, 0)}

@@ -21,6 +21,7 @@ from vecspark.sources.corpus import (
 from vecspark.operators.inspection import DISTINCT_ERROR, column_sketches, corpus_columns, corpus_count, corpus_health, merged_profile
 from vecspark.schema import DOCUMENT
 from vecspark.session import run_folder
+from vecspark.sources.table_log import NotNullViolation, VersionedTable
 
 
 def staged(spark, *ids):
@@ -124,3 +125,31 @@ def test_profile_of_parts_equals_that_of_the_whole(spark):
     want = {"id": 900, "t": 50, "v": 3, "b": 2, "at": 28}
     assert all(abs(got[c].n_distinct - n) <= n * DISTINCT_ERROR for c, n in want.items())
     assert merged_profile(column_sketches(df.limit(0))).count() == 0
+
+
+def test_versions_of_a_table(spark):
+    table = VersionedTable(spark, run_folder(spark, "versions"))
+    with pytest.raises(ValueError, match="nothing"):
+        table.read()
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert table.append(frame([(1, "a")], "id int, t string")) == 1
+    assert table.append(frame([(2, "b")], "id int, t string")) == 2
+    with pytest.raises(ValueError, match="no columns m"):
+        table.append(frame([(3, "c", "m")], "id int, t string, m string"))
+    assert table.evolve(AddColumn("m", "string")) == 3
+    assert table.append(frame([(3, "m3")], "id int, m string")) == 4
+    with pytest.raises(NotNullViolation, match="column m contains 2 null"):
+        table.evolve(RequireNotNull("m"))
+    assert table.evolve(Backfill("m", "{}"), RequireNotNull("m")) == 6
+    with pytest.raises(NotNullViolation):
+        table.append(frame([(4, "d")], "id int, t string"))
+    assert table.append(frame([(4, "m4")], "id int, m string")) == 7
+    rows = lambda v: sorted(tuple(r) for r in table.read(v).collect())
+    assert rows(1) == [(1, "a")] and rows(2) == [(1, "a"), (2, "b")]
+    assert rows(4) == [(1, "a", None), (2, "b", None), (3, None, "m3")]
+    assert rows(None) == [(1, "a", "{}"), (2, "b", "{}"), (3, None, "m3"), (4, None, "m4")]
+    assert VersionedTable(spark, table.path).version() == 7
+    # Appends without a step between them are one scan.
+    for i in range(4):
+        table.append(frame([(10 + i, "x")], "id int, m string"))
+    assert table.read()._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan") == 3

@@ -22,6 +22,7 @@ from vecspark.sources.corpus import (
     strip_embedding,
 )
 from vecspark.session import run_folder
+from vecspark.sources.table_log import VersionedTable
 
 
 @query(
@@ -220,6 +221,31 @@ def _evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_evolve(d.join(q, "doc_id", "left"), steps)
 
 
+@query(
+    "table_versions",
+    """SELECT 'first' AS version, doc_id, lang, '' AS metadata, '' AS test_field FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT 'before', doc_id, lang, CASE doc_id % 3 WHEN 0 THEN '' ELSE source END, '' FROM documents WHERE doc_id % 3 < 2
+    UNION ALL SELECT 'last', doc_id, lang, CASE doc_id % 3 WHEN 0 THEN '{}' ELSE source END, CASE doc_id % 3 WHEN 2 THEN 'new' ELSE 'none' END FROM documents""",
+)
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended under three schemas; the first, an earlier and the last version are read."""
+    d = views.table(spark, sf_dir, "documents")
+    part = [d.filter(F.col("doc_id") % 3 == i) for i in range(3)]
+    table = VersionedTable(spark, run_folder(spark, "versions"))
+    first = table.append(part[0].select("doc_id", "lang"))
+    table.evolve(AddColumn("metadata", "string"))
+    before = table.append(part[1].select("doc_id", "lang", F.col("source").alias("metadata")))
+    table.evolve(Backfill("metadata", "{}"), RequireNotNull("metadata"), AddColumn("test_field", "string", default="none"))
+    table.append(part[2].select("doc_id", "lang", F.col("source").alias("metadata"), F.lit("new").alias("test_field")))
+    out = None
+    for name, version in (("first", first), ("before", before), ("last", None)):
+        rows = table.read(version)
+        shown = [F.coalesce(c, F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ("metadata", "test_field")]
+        rows = rows.select(F.lit(name).alias("version"), "doc_id", "lang", *shown)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "not_null_violations",
     """SELECT count(*) FILTER (d.text IS NULL) AS text, count(*) FILTER (l.quality IS NULL) AS quality

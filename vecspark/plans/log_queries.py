@@ -9,6 +9,7 @@ from vecspark.operators import logs as L
 from vecspark.plans import views
 from vecspark.plans.registry import query
 from vecspark.session import run_folder
+from vecspark.sources.logs import stream_log_lines, stream_split_logs
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,3 +143,20 @@ def _p95_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     L.latency_sketches(logs, F.to_date("time").alias("day")).write.parquet(folder)
     merged = L.merged_latency(spark.read.parquet(folder))
     return L.rank_is_close(merged, logs, L.ROUTE).select("method", "path", "requests", "max_ms", "p95_close")
+
+
+@query(
+    "log_quarantine",
+    """SELECT event_id::VARCHAR AS request_id, CASE WHEN event_id % 13 = 5 THEN 'quarantined' ELSE 'parsed' END AS outcome FROM events""",
+)
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as log files of which every thirteenth line is cut off, read by a stream: each line is parsed or kept as it is."""
+    run = run_folder(spark, "log-lines")
+    n = F.col("event_id")
+    line = F.to_json(F.struct(n.cast("string").alias("requestId"), F.lit(30).alias("level"), F.col("value").alias("latencyMs"), F.lit("request completed").alias("msg")))
+    cut = F.when(n % 13 == 5, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
+    views.table(spark, sf_dir, "events").select(cut.alias("value")).write.text(f"{run}/in")
+    stream_split_logs(stream_log_lines(spark, f"{run}/in"), f"{run}/lines", f"{run}/corrupt", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parsed = spark.read.parquet(f"{run}/lines").select(F.col("requestId").alias("request_id"), F.lit("parsed").alias("outcome"))
+    corrupt = spark.read.parquet(f"{run}/corrupt").select(F.regexp_extract("line", '"requestId":"([0-9]+)"', 1), F.lit("quarantined"))
+    return parsed.union(corrupt)
