@@ -108,6 +108,14 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
     return mark, lo, hi, doc
 
 
+def spread_marks(mark: np.ndarray) -> np.ndarray:
+    """Other numbers of 48 bits for the marks, one for each: marks are minima of hashes and crowd at the low end, these do not."""
+    for _ in range(2):
+        mark = (mark * C1) & U((1 << 48) - 1)
+        mark = mark ^ (mark >> U(24))
+    return mark
+
+
 def suffix_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the 50 bytes from each position on."""
     e = eights(buf)
@@ -208,6 +216,7 @@ class Batch:
         self.rank = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))) if len(ids) else ids  # equal ids are no smaller than each other
         full = self.ends > self.starts
         self.mark, self.lo, self.hi, doc = runs(self.buf, self.starts[full], self.ends[full])
+        self.mark = spread_marks(self.mark)
         self.doc = np.flatnonzero(full)[doc] if len(doc) else doc
 
     def only(self, keep: np.ndarray) -> None:
