@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from vecspark.operators.search import recent_documents, topk_positions, topk_search
+from vecspark.operators.search import recent_documents, threshold_filter, topk_positions, topk_search, with_similarity
 from vecspark.plans import views
 
 ALL_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -69,3 +69,9 @@ def test_listing_skips_old_row_groups(spark, sf, tmp_path):
     text = plan(df)
     assert "Subquery" in text and "ReadSchema: struct<created_at:timestamp_ntz>" in text
     assert "PushedFilters: [IsNotNull(created_at)" in text
+
+
+def test_a_filter_does_not_compute_the_similarity_again(spark, sf):
+    scored = with_similarity(views.vectors(spark, sf), views.first_vector(spark, sf))
+    text = plan(threshold_filter(scored, 0.0)).split("== Physical Plan ==")[1]
+    assert text.count("ArrowEvalPython") == 1

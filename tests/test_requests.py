@@ -146,3 +146,9 @@ def test_clamp_dims_and_status(spark):
     codes = [None, "VALIDATION_ERROR", "EXTERNAL_SERVICE_ERROR", "APP_ERROR", "NOT_FOUND", "other"]
     c = spark.createDataFrame([(x,) for x in codes], "c string")
     assert [r[0] for r in c.select(error_status(F.col("c"), success=201)).collect()] == [201, 400, 502, 502, 404, 500]
+
+
+def test_a_repeated_key_keeps_its_last_value_whatever_the_session_says(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    rows = spark.createDataFrame([("r", '{"content": "a", "content": "b"}')], "request_id string, body string")
+    assert [(r.content, r.error_code) for r in parse_create_requests(rows).collect()] == [("b", None)]

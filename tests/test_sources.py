@@ -9,6 +9,8 @@ from vecspark import session
 from vecspark.sources.bodies import read_bodies
 from vecspark.sources.corpus import (
     MIGRATIONS,
+    AddColumn,
+    Backfill,
     RequireNotNull,
     corpus_append,
     corpus_scan,

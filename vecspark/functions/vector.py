@@ -118,4 +118,5 @@ def similarity_to(vector: Column, query: Sequence[float]) -> Column:
         sims = cosines(row_dots(m, q), row_dots(m, m), qq)
         return pa.array(sims, mask=np.isnan(sims))
 
-    return score(vector.cast("array<float>"))
+    # Declared so that a filter on the similarity is not worked out from the vector again.
+    return score.asNondeterministic()(vector.cast("array<float>"))

@@ -12,7 +12,6 @@ therefore do not depend on how the corpus is partitioned, also with any number o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -93,12 +92,12 @@ def first_copies(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     Equal vectors have equal similarities, so ties among them go to the lowest ids and the
     other copies cannot be in any result of up to ``k`` rows.
     """
-    seen: Counter[bytes] = Counter()
+    bytes_of = np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.shape[1] * matrix.itemsize))).reshape(-1)
+    group = np.unique(bytes_of, return_inverse=True)[1]
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], group))
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order], side="left")
     keep = np.zeros(len(ids), dtype=bool)
-    for i in np.argsort(ids, kind="stable"):
-        key = matrix[i].tobytes()
-        seen[key] += 1
-        keep[i] = seen[key] <= k
+    keep[order] = place < k
     return keep
 
 

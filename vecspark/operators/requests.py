@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions.text import js_number, longer_than
 from vecspark.operators.validation import Rule, text_rules, with_errors
+from vecspark.session import configure
 from vecspark.schema import (
     DEFAULT_LIST_LIMIT,
     DEFAULT_SEARCH_LIMIT,
@@ -87,6 +88,7 @@ def _number_issues(kind: Column, n: Column, low: int, high: int, whole: bool) ->
 
 def _parsed(df: DataFrame, body: str, fields: list[str]) -> DataFrame:
     """Add the body as a variant, its type, and the type of each field."""
+    configure(df.sparkSession)  # what a repeated key means must not depend on the caller
     out = df.withColumn("_body", json_variant(F.col(body))).withColumn("_kind", json_type(F.col("_body")))
     return out.withColumns({f"_{f}_kind": json_type(_field(f)) for f in fields})
 

@@ -25,10 +25,15 @@ WITH_CORRUPT = T.StructType([*REQUEST_LOG.fields, T.StructField(CORRUPT, T.Strin
 
 
 def _all_lines(reader, path: str) -> DataFrame:
-    """Every line: its fields, or, of one that is no JSON object of these types, its text, and where it is from."""
-    lines = reader.schema(WITH_CORRUPT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    """Every line that is not empty: its fields, or, of one that is no JSON object of these types, its text, and where it is from.
+
+    Lines are parsed as a whole whatever columns are used: a reader of JSON files would look at
+    those only, and which lines are corrupt would depend on the query.
+    """
+    lines = reader.text(path).filter(F.length("value") > 0)
+    fields = F.from_json("value", WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start")]
-    return _named_levels(lines.select("*", *where))
+    return _named_levels(lines.select(fields.alias("_line"), *where).select("_line.*", "file", "block_start"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
