@@ -218,12 +218,16 @@ def approx_topk(index: VectorIndex, requests: DataFrame, nprobe: int, broadcast_
     With as many probes as cells the result is exact. Each row of requests is answered by
     itself; query ids may repeat or be NULL.
     """
-    staged = staged_requests(requests, **names)
-    if nprobe >= len(index.cells):
-        probes = F.array(*[F.lit(c) for c in range(NO_CELL, len(index.cells))])
-    else:
-        probes = F.array_distinct(index.cells.nearest(F.col("_vector"), nprobe))
-    return _answers(staged, _probed_topk(index, staged.withColumn("_probes", probes), broadcast_bytes))
+    def probes(vector: str) -> Column:
+        if nprobe >= len(index.cells):
+            return F.array(*[F.lit(c) for c in range(NO_CELL, len(index.cells))])
+        return F.array_distinct(index.cells.nearest(F.col(vector).cast("array<float>"), nprobe))
+
+    if requests.count() * (index.cells.dims * 4 + MAX_LIMIT * 24) <= broadcast_bytes:
+        asked = requests.withColumn("_probes", probes(names.get("query_vector", "query_embedding")))
+        return batch_topk(index.rows(), asked, index.cells.dims, cell="cell", probes="_probes", broadcast_bytes=broadcast_bytes, **names)
+    staged = staged_requests(requests, **names).withColumn("_probes", probes("_vector"))
+    return _answers(staged, _probed_topk(index, staged, broadcast_bytes))
 
 
 def bounded_topk(index: VectorIndex, requests: DataFrame, first: int = 1, broadcast_bytes: int = BROADCAST_BYTES, **names) -> tuple[DataFrame, DataFrame]:
