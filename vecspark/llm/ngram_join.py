@@ -333,16 +333,15 @@ def links(docs: DataFrame, words: int, num: int, den: int, every: bool = False,
     repeated = written(equal.where("copies > 1").select("digest", "first"), "shingle-copies")
     rows = rows.join(repeated, "digest", "left").withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
     rows = written(rows.select("doc_id", "n", "digest", "first"), "shingle-firsts")
-    edges = written(candidate_edges(docs, (sizes[0] or 0, sizes[1] or 0, sizes[2]), words, num, den, doc_id, text), "meeting")
+    # Documents of equal sets are one node, that of the least id, and only that has keys.
+    copies = rows.where("doc_id <> first").select("doc_id").distinct()
+    alone = keys_join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), copies, "doc_id", "left_anti", 16)
+    edges = written(candidate_edges(alone, (sizes[0] or 0, sizes[1] or 0, sizes[2]), words, num, den, "doc_id", "text").distinct(), "meeting")
     spark = docs.sparkSession
     if edges.isEmpty():
         return rows, spark.createDataFrame([], "a long, b long")
-    # Documents of equal sets are one node. What meets, directly or over others, is a block.
-    firsts = rows.where("doc_id <> first").select("doc_id", "first").distinct()
-    nodes = edges.join(firsts.select(F.col("doc_id").alias("a"), F.col("first").alias("fa")), "a", "left")
-    nodes = nodes.join(firsts.select(F.col("doc_id").alias("b"), F.col("first").alias("fb")), "b", "left")
-    nodes = nodes.select(F.coalesce("fa", "a").alias("a"), F.coalesce("fb", "b").alias("b")).where("a <> b").distinct()
-    blocks = components(written(nodes, "meeting-firsts"), "blocks")
+    # What meets, directly or over others, is a block.
+    blocks = components(edges, "blocks")
     held = written(blocks.join(rows.where("doc_id = first").select("first", "n").distinct(), blocks["node"] == F.col("first")).select(F.col("node").alias("doc_id"), F.col("root").alias("block"), "n"), "block-members")
     if held.isEmpty():
         return rows, spark.createDataFrame([], "a long, b long")

@@ -330,6 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     df = np.zeros(len(names) + 1)
     sums = docs.select(F.col(text)).mapInArrow(documents_with, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    shared.destroy()  # workers live on and would keep it
     state = {"names": names, "idf": np.log((1 + df[-1]) / (1 + df[:-1])) + 1, "examples": examples, "ids": ids, "digests": digests, "id_type": kind, "curve": np.zeros(3)}
     state["curve"] = fit_curve(spark, state, (rates[0] / sizes[0], rates[1] / sizes[1]))
     return state
@@ -351,6 +352,7 @@ def fit_curve(spark: SparkSession, state: dict, rates: tuple[float, float]) -> n
 
     rows = spark.createDataFrame(pa.table({c: pa.array([p[k] for p in places], pa.int32()) for k, c in enumerate("yiab")})).repartition(spark.sparkContext.defaultParallelism, "i")
     found = rows.mapInArrow(voted, "y int, i int, against double, tied double").orderBy("y", "i").toArrow()  # a row per example
+    shared.destroy()  # and the model made from it
     y = found.column("y").to_numpy().astype(np.float64)
     x = np.column_stack([np.ones(len(y)), found.column("against").to_numpy(), found.column("tied").to_numpy()])
     each, c = np.where(y > 0, rates[1], rates[0]), np.zeros(3)
