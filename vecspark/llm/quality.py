@@ -134,6 +134,11 @@ def standard_rules(text: str = "text", words: Column | None = None, counted: dic
     ]
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About so many rows, drawn where they are; all of a table that has no more."""
+    return docs.sample(min(1.0, rows / max(1, docs.count())), seed=1)
+
+
 def measure(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Each rule with the share of a sample it rejects and the seconds that takes beyond reading the sample.
 
@@ -141,7 +146,7 @@ def measure(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) ->
     some times for each row, first to warm up and then for the best of a few timings; what the
     same job takes without a rule is taken off.
     """
-    sample = written(docs.sample(min(1.0, rows / max(1, docs.count())), seed=1), "quality-sample")
+    sample = written(sampled(docs, rows), "quality-sample")
     again = sample.withColumn(fresh(sample, "time"), F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
 
     def timed(verdict: Column) -> tuple[float, float]:
@@ -190,12 +195,17 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, doc_id: str = "d
     NULL, empty and blank texts have no words and fail the base. NULL and repeated ids are kept
     as they are, other columns are not read. No shuffle.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("words", blank_split(F.col("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     t, words = F.col("text"), F.col("words")
     own = counts(t, words)
-    counted = rows.select("doc_id", "text", "words", *[c.alias(name) for name, c in own.items()])
+
+    def with_counts(part: DataFrame) -> DataFrame:
+        part = part.withColumn("words", blank_split(t))
+        return part.select("doc_id", "text", "words", *[c.alias(name) for name, c in own.items()])
+
     rules = standard_rules("text", words, {name: F.col(name) for name in own}) if rules is None else rules
-    order = ordered(measure(counted, rules))
+    order = ordered(measure(with_counts(sampled(rows)), rules))
+    counted = with_counts(rows)
     counted = counted.withColumn("n_repeat_words", n_repeat_words(words))
     counted = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     counted = counted.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order)))
