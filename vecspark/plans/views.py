@@ -33,8 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The same table as a stream of files, be it one file or a folder of them."""
+    # As a pattern: a stream takes the name of a single file for that of a folder.
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 # ---- corpus without vectors: every document ----
