@@ -25,6 +25,7 @@ from vecspark.schema import EXTERNAL_SERVICE_ERROR, TASK_DOCUMENT
 RESULT = "struct<embedding: array<float>, error: string>"
 EMPTY = "Empty embedding response"
 HASH_ROWS = 1024  # texts summed up at a time, so that a batch never holds all its sums in double
+HASH_BYTES = 4 << 20  # of texts cut into words at a time: words take several times the text
 
 
 class Embedder(Protocol):
@@ -70,22 +71,35 @@ class HashingEmbedder:
 
 
 def _bucket_sums(texts: pa.Array, dims: int) -> np.ndarray:
-    """Sums of token signs per text and bucket; exact, as they are small whole numbers."""
+    """Sums of token signs per text and bucket; exact, as they are small whole numbers.
+
+    Texts are taken in turn, some at a time, so that what is needed besides the sums does not
+    grow with the batch.
+    """
+    sums = np.empty((len(texts), dims), dtype=np.float32)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASH_BYTES, side="right"))
+        upto = min(max(upto, at + 1), at + HASH_ROWS)
+        _sum_words(texts[at:upto], sums[at:upto])
+        at = upto
+    pa.default_memory_pool().release_unused()  # workers live on and would keep what the batch needed
+    return sums
+
+
+def _sum_words(texts: pa.Array, sums: np.ndarray) -> None:
     tokens = pc.split_pattern_regex(texts, pattern=r"[^\pL\pN]+")
     words = tokens.flatten().dictionary_encode()
     distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    dims = sums.shape[1]
     codes = np.frombuffer(b"".join([md5(w).digest()[:8] for w in distinct]), dtype=">u8")
     bucket = ((codes >> np.uint64(32)) % np.uint64(dims)).astype(np.int64)
     sign = np.where(codes & np.uint64(1 << 31), -1.0, 1.0)
     sign[[w == b"" for w in distinct]] = 0.0
-    index, ends = words.indices.to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
-    sums = np.empty((len(texts), dims), dtype=np.float32)
-    for i in range(0, len(texts), HASH_ROWS):
-        n = min(HASH_ROWS, len(texts) - i)
-        own = index[ends[i] : ends[i + n]]
-        row = np.repeat(np.arange(n) * dims, np.diff(ends[i : i + n + 1]))
-        sums[i : i + n] = np.bincount(row + bucket[own], weights=sign[own], minlength=n * dims).reshape(n, dims)
-    return sums
+    index, n = words.indices.to_numpy(), len(texts)
+    row = np.repeat(np.arange(n) * dims, np.diff(tokens.offsets.to_numpy()))
+    sums[:] = np.bincount(row + bucket[index], weights=sign[index], minlength=n * dims).reshape(n, dims)
 
 
 class ModelEmbedder:
