@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.functions.vector import arrow_matrix
-from vecspark.operators.batch_search import BROADCAST_BYTES, batch_topk, stream_slices, unit_rows
+from vecspark.operators.batch_search import BROADCAST_BYTES, batch_topk, tiled_topk, unit_rows
 from vecspark.operators.search import result_rank
 from vecspark.operators.validation import clamp_limit, effective_limit
 from vecspark.schema import MAX_LIMIT
@@ -31,8 +31,6 @@ if TYPE_CHECKING:
 
 NO_CELL = -1  # rows without a usable vector
 ASSIGN_ROWS = 4096  # vectors compared with all centres at once by a task
-SLICE_ROWS = 65_536  # rows of a cell that a task holds at once
-BYTES_PER_TASK = 64 << 20
 COSINE_SLACK = 1e-6  # more than the cosines of single-precision vectors are off
 TUNING_REQUESTS = 1000
 
@@ -164,26 +162,15 @@ def staged_requests(requests: DataFrame, query_id: str = "query_id", query_vecto
 def cell_join_topk(index: VectorIndex, staged: DataFrame) -> DataFrame:
     """(_request, query_id, id, similarity, _limit): best rows of the cells each request probes, for any number of requests.
 
-    ``staged`` has the array ``_probes``. Probes are exploded and meet the rows on (cell,
-    slice): a large cell is several slices, so that no cell is one task. A task holds one slice
-    and lets its requests pass by in blocks; neither side is gathered whole.
+    ``staged`` has the array ``_probes``. Probes are exploded and meet the rows of their cells in
+    tiles: a large cell is several slices, and many requests of one are several groups, so
+    that no cell is one task; neither side is gathered whole.
     """
-    spark, dims = index.spark, index.cells.dims
-    bounds = index.bounds().select("cell", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("_slices"))
     probes = staged.withColumn("_cell", F.explode("_probes")).drop("_probes")
     # A row per cell, as few as the centres.
-    probes = probes.join(F.broadcast(bounds), probes["_cell"] == bounds["cell"]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    probed = [r["_cell"] for r in probes.select("_cell").distinct().collect()]
-    rows = index.rows().filter(F.col("cell").isin(probed)).join(F.broadcast(bounds), "cell")
-    asked = ("_query", "_limit", "_threshold", "_request")
-    rows = rows.select(
-        F.col("cell").alias("_cell"), F.pmod(F.xxhash64("id"), "_slices").cast("int").alias("_slice"), F.lit(False).alias("_asks"), F.col("id").alias("_id"),
-        F.col("embedding").alias("_vector"), *[F.lit(None).cast(staged.schema[c].dataType).alias(c) for c in asked],
-    )
-    probes = probes.select("_cell", "_slice", F.lit(True).alias("_asks"), F.lit(None).cast(index.id_type).alias("_id"), "_vector", *asked)
-    n = rows.count() + probes.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n * dims * 4 // BYTES_PER_TASK)
-    both = rows.unionByName(probes).repartition(tasks, "_cell", "_slice").sortWithinPartitions("_cell", "_slice", "_asks")
+    asked = {r["_cell"]: r["n"] for r in probes.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["cell"]: (r["rows"], asked[r["cell"]]) for r in index.bounds().collect() if r["cell"] in asked}
+    rows = index.rows().filter(F.col("cell").isin(sorted(sizes))).select(F.col("cell").alias("_cell"), F.col("id").alias("_id"), F.col("embedding").alias("_vector"))
     schema = T.StructType(
         [
             T.StructField("query_id", staged.schema["_query"].dataType),
@@ -193,7 +180,7 @@ def cell_join_topk(index: VectorIndex, staged: DataFrame) -> DataFrame:
             T.StructField("_request", T.LongType()),
         ]
     )
-    return both.mapInArrow(stream_slices(dims, schema), schema)
+    return tiled_topk(rows, probes, sizes, index.cells.dims, schema)
 
 
 def _probed_topk(index: VectorIndex, staged: DataFrame, broadcast_bytes: int) -> DataFrame:

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +36,8 @@ BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20  # scores held at once by a task
 BATCH_ROWS = 4096  # corpus rows scored at once by a task
 REQUESTS_AT_ONCE = 2048  # that a slice of the corpus is compared with at once
+TILE_PRODUCTS = 1 << 36  # numbers that the rows and requests of a tile are multiplied in: a minute or so of a task
+TILE_SIDE = 1024  # rows and requests that a tile is not cut below
 SEED_TASKS = 64
 SEED_OVER_BYTES = 128 << 30  # of vectors: well over a thousand scan tasks
 
@@ -250,21 +253,22 @@ def _score_partitions(block: Broadcast, schema: T.StructType, tasks: int | None
 
 
 def stream_slices(dims: int, schema: T.StructType):
-    """A task function: rows of a slice, then the requests that look into it, block by block."""
+    """A task function: rows of a tile, then the requests that look into them, block by block."""
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for b in batches:
-            cell, part, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_cell", "_slice", "_asks"))
-            change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            tile, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_tile", "_asks"))
+            change = np.flatnonzero((np.diff(tile) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
             for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
                 if s == e:
                     continue
-                if key != (cell[s], part[s]):
-                    key, held = (cell[s], part[s]), []
+                if key != tile[s]:
+                    key, held = tile[s], []
                 if not asks[s]:
-                    held.append(b.slice(s, e - s))
+                    # Without the columns that only requests fill.
+                    held.append(b.select(["_id", "_vector"]).slice(s, e - s))
                     continue
                 for i in range(s, e, REQUESTS_AT_ONCE):
                     best = TopK(RequestBlock.from_arrow(pa.Table.from_batches([b.slice(i, min(REQUESTS_AT_ONCE, e - i))]), dims))
@@ -276,6 +280,48 @@ def stream_slices(dims: int, schema: T.StructType):
     return run
 
 
+def tile_layout(sizes: dict[int, tuple[int, int]], dims: int, slots: int, block_bytes: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """((cell, slices of its rows, groups of its requests, its first tile) for each cell, tiles' worth of work).
+
+    ``sizes`` are the rows and requests of each cell. A tile is a slice of rows and a group of
+    requests that meet in one task; both sides are bounded, so a task's work and memory do not
+    grow with either table, and there are a few tiles per slot.
+    """
+    work = sum(n * q for n, q in sizes.values())
+    side = max(TILE_SIDE, min(isqrt(TILE_PRODUCTS // dims), isqrt(work // (3 * slots))))
+    layout, first = [], 0
+    for cell, (n, q) in sorted(sizes.items()):
+        slices, groups = 1 + n // max(1, min(side, block_bytes // (dims * 4))), 1 + q // side
+        layout.append((cell, slices, groups, first))
+        first += slices * groups
+    return layout, 1 + work // side**2
+
+
+def tiled_topk(rows: DataFrame, asks: DataFrame, sizes: dict[int, tuple[int, int]], dims: int, schema: T.StructType, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Best rows of each tile for each of its requests, see ``tile_layout``.
+
+    ``rows`` has _cell, _id and _vector, ``asks`` _cell, _vector, _query, _limit, _threshold and
+    _request. A row goes to one slice of its cell and meets all groups of requests there.
+    """
+    spark, own = rows.sparkSession, ("_query", "_limit", "_threshold", "_request")
+    layout, tiles = tile_layout(sizes, dims, spark.sparkContext.defaultParallelism, block_bytes)
+    # A row per cell, as few as the centres.
+    cells = F.broadcast(spark.createDataFrame(layout, "_cell int, _slices int, _groups int, _first int"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rows = rows.join(cells, "_cell").withColumn("_slice", F.pmod(F.xxhash64("_id", "_vector"), "_slices").cast("int")).withColumn("_group", every("_groups"))
+    asks = asks.join(cells, "_cell").withColumn("_group", F.pmod(F.xxhash64("_request"), "_groups").cast("int")).withColumn("_slice", every("_slices"))
+    where = ("_cell", "_slice", "_group", (F.col("_first") + F.col("_slice") * F.col("_groups") + F.col("_group")).alias("_tile"))
+    left = rows.select(*where, F.lit(False).alias("_asks"), "_id", "_vector", *[F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in own])
+    right = asks.select(*where, F.lit(True).alias("_asks"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), "_vector", *own)
+    # More tasks than tiles, so that few tiles share one.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * tiles)
+    both = left.unionByName(right).repartition(tasks, "_slice", "_group", "_cell").sortWithinPartitions("_tile", "_asks")
+    return both.mapInArrow(stream_slices(dims, schema), schema)
+
+
 def _merged(partial: DataFrame) -> DataFrame:
     """Best rows per request over all tasks."""
     return result_rank(partial, query="_request", top=MAX_LIMIT, limit="_limit").select("_request", "query_id", "rank", "id", "similarity")
@@ -315,9 +361,9 @@ def batch_topk(
     Requests that fit in ``broadcast_bytes`` are sent to the tasks that scan the corpus,
     which is then read once and not shuffled. A corpus with more than ``seed_over_bytes`` of
     vectors is searched in a few tasks first, so that all other tasks hand on only rows that
-    may beat those results. With more requests, the corpus is cut into slices of bounded size
-    and shuffled once, and all requests pass by each slice in blocks. Each row of requests is
-    answered by itself: query ids are carried along, and may repeat or be NULL.
+    may beat those results. With more requests, slices of the corpus and groups of requests
+    meet in tiles of bounded size, which are shuffled to tasks (see ``tile_layout``). Each row of
+    requests is answered by itself: query ids are carried along, and may repeat or be NULL.
 
     With ``cell`` and ``probes`` a request is compared only with rows of the cells it probes;
     such requests must fit (see ``ann.cell_join_topk`` for more).
@@ -363,16 +409,7 @@ def batch_topk(
     numbered.write.parquet(folder)
     wanted = corpus.sparkSession.read.schema(numbered.schema).parquet(folder)
 
-    # Each row goes to one slice and each request to all of them: however many requests there
-    # are, the corpus is shuffled once. A task holds a slice and lets the requests pass by.
-    slices = int(1 + stored * dims * 4 // block_bytes)
-    own = ("_query", "_limit", "_threshold", "_request")
-    left = rows.select(
-        F.lit(0).alias("_cell"), F.pmod(F.xxhash64("_id", "_vector"), F.lit(slices)).cast("int").alias("_slice"), F.lit(False).alias("_asks"), "_id", "_vector",
-        *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in own],
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
-    right = wanted.select(F.lit(0).alias("_cell"), every, F.lit(True).alias("_asks"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), "_vector", *own)
-    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), slices)
-    both = left.unionByName(right).repartition(tasks, "_slice").sortWithinPartitions("_slice", "_asks")
-    return _merged(both.mapInArrow(stream_slices(dims, schema), schema)).drop("_request")
+    # Rows meet requests in tiles of bounded sides: with both tables, tiles get more and not larger.
+    cell_0 = F.lit(0).alias("_cell")
+    found = tiled_topk(rows.select(cell_0, "_id", "_vector"), wanted.select("*", cell_0), {0: (stored, asked)}, dims, schema, block_bytes)
+    return _merged(found).drop("_request")
