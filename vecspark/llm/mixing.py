@@ -52,6 +52,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def order_columns(rows: DataFrame, goal: DataFrame, seed: str, own: dict[str, str]) -> DataFrame:
+    """The rows with what their source's targets ask for and their place in its order: whole, chance, rest, rank, u, outer, inner."""
+    source, u = F.col(f"r.{own['source']}"), uniform(F.col(own["doc_id"]), seed)
+    drawn = rows.alias("r").join(F.broadcast(goal).alias("g"), source.eqNullSafe(F.col("g.source"))).select("r.*", "source_size", "target", "whole", "chance", "rest")
+    rank = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
+    # The order of the ranks within a source is that of U, which buckets can be cut from.
+    drawn = drawn.withColumn("rank", F.when(F.col("chance") > 0, rank)).withColumn("u", u)
+    return drawn.withColumn("outer", F.floor(F.col("u") * BUCKETS)).withColumn("inner", F.floor(F.col("u") * BUCKETS * BUCKETS))
+
+
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row, copies 0 and up.
 
@@ -65,6 +75,17 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     interchangeable, and as many of them are taken as the target asks for. Sources without
     words have target 0. Other columns are not read.
     """
+    drawn, _, ends = drawn_and_ends(docs, seed, weights, most, doc_id, text, source)
+    out = drawn.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left")
+    before_cut = F.col("d.inner") < F.col("e.inner")
+    at_cut = (F.col("d.inner") == F.col("e.inner")) & (F.struct("d.rank", "d.doc_id", "d.size", "d.row") <= F.col("e.cut"))
+    extra = F.when((F.col("chance") > 0) & (F.col("rest") > 0) & F.coalesce(before_cut | at_cut, F.lit(False)), 1).otherwise(0)
+    copies = (F.col("whole") + extra).cast("int")
+    return out.select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+
+
+def drawn_and_ends(docs: DataFrame, seed: str, weights: tuple[int, ...], most: int, doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows in their sources' order, the targets of the sources, and of each source the place where its order is cut."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(blank_split(F.col(text))).cast("long").alias("size"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # parts rows that are equal in all else
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -72,13 +93,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     goal = goal.withColumn("whole", F.floor(ratio)).withColumn("chance", ratio - F.floor(ratio))
     goal = written(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
 
-    same = F.col("r.source").eqNullSafe(F.col("g.source"))
-    drawn = rows.alias("r").join(goal.alias("g"), same).select("r.*", "source_size", "target", "whole", "chance", "rest")
-    u = uniform(F.col("doc_id"), seed)
-    rank = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    # The order of the ranks within a source is that of U, which buckets can be cut from.
-    drawn = drawn.withColumn("rank", F.when(F.col("chance") > 0, rank)).withColumn("u", u)
-    drawn = written(drawn.withColumn("outer", F.floor(F.col("u") * BUCKETS)).withColumn("inner", F.floor(F.col("u") * BUCKETS * BUCKETS)), "mix-ranks")
+    drawn = written(order_columns(rows, goal, seed, {"doc_id": "doc_id", "source": "source"}), "mix-ranks")
 
     def reached(sums: DataFrame, bucket: str) -> DataFrame:
         """Of each source the bucket in which the rest of the target is reached, and the words before it."""
@@ -103,41 +118,50 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     ends = written(
         inner.alias("i").join(cut.alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")), "left").select("i.source", "i.inner", "c.cut"), "mix-ends"
     )
-    at_end = F.col("d.source").eqNullSafe(F.col("e.source"))
-    out = drawn.alias("d").join(ends.alias("e"), at_end, "left")
-    before_cut = F.col("d.inner") < F.col("e.inner")
-    at_cut = (F.col("d.inner") == F.col("e.inner")) & (F.struct("d.rank", "d.doc_id", "d.size", "d.row") <= F.col("e.cut"))
-    extra = F.when((F.col("chance") > 0) & (F.col("rest") > 0) & F.coalesce(before_cut | at_cut, F.lit(False)), 1).otherwise(0)
-    copies = (F.col("whole") + extra).cast("int")
-    return out.select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+    return drawn, goal, ends
 
 
 def mixed(docs: DataFrame, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix with all their columns, each as often as it has copies.
 
-    Rows that share id, source and size but are copied unequally often can't be told apart:
-    as many of them as there should be, the first in an order written once, get one copy more.
+    A row's copies follow from its source's targets and its place before or after the cut of
+    the source's order, a row per source, so texts are not shuffled. Rows that share id,
+    source and size but are copied unequally often can't be told apart: only those at a
+    cut can be, and as many of them as there should be, the first in an order written once, get
+    one copy more.
     """
-    size = F.size(blank_split(F.col(text))).cast("long")
-    own = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "source", "size")}
-    times, most, extra, group = (fresh(docs, f"mix_{c}") for c in ("copies", "most", "extra", "group"))
-    copies = mix(docs, seed=seed, doc_id=doc_id, text=text, source=source)
-    least, high = F.min("copies"), F.max("copies")
-    counted = copies.groupBy(*own).agg(least.alias(times), high.alias(most), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    counted = counted.where(F.col(most) > 0).withColumn(extra, F.col("_sum") - F.col(times) * F.col("_n")).select(*[F.col(c).alias(n) for c, n in own.items()], times, most, extra)
-    counted = written(counted, "mix-copies")
-    keys = [F.col(doc_id).eqNullSafe(F.col(own["doc_id"])), F.col(source).eqNullSafe(F.col(own["source"])), size == F.col(own["size"])]
-    out = docs.join(counted.where(F.col(times) == F.col(most)), keys[0] & keys[1] & keys[2]).select(*[docs[c] for c in docs.columns], times)
-    unequal = counted.where(F.col(times) < F.col(most))
-    if not unequal.isEmpty():
-        rows = docs.join(unequal, keys[0] & keys[1] & keys[2])
-        rows = rows.withColumn(group, F.to_json(F.struct(*own.values()))).select(*[docs[c] for c in docs.columns], group, times, extra)
-        row, place = fresh(rows, "row"), fresh(rows, "place")
-        rows = rows.withColumn(row, F.monotonically_increasing_id())
-        ranked = numbered(rows, group, [F.col(group), F.col(row)], tasks_for(docs.sparkSession, 0, 1), "mix-unequal", place)
-        ranked = ranked.withColumn(times, F.col(times) + (F.col(place) < F.col(extra)).cast("int"))
-        out = out.unionByName(ranked.select(*docs.columns, times).where(F.col(times) > 0))
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    drawn, goal, ends = drawn_and_ends(docs, seed, WEIGHTS, MOST, doc_id, text, source)
+    at = [F.col("d.source").eqNullSafe(F.col("e.source")), F.col("d.inner") == F.col("e.inner")]
+    at += [F.col(f"d.{c}").eqNullSafe(F.col(f"e.cut.{c}")) for c in ("rank", "doc_id", "size")]
+    tied = drawn.alias("d").join(F.broadcast(ends.where("cut IS NOT NULL")).alias("e"), at[0] & at[1] & at[2] & at[3] & at[4])
+    tied = tied.where("d.chance > 0 AND d.rest > 0").groupBy("e.source").agg(F.count_if(F.col("d.row") <= F.col("e.cut.row")).alias("extra"), F.count(F.lit(1)).alias("n"))
+    goal = goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    goal = goal.join(tied.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")), "left")
+    goal = written(goal.select("g.*", F.struct(F.col("e.inner").alias("inner"), "cut", "extra", (F.col("extra") < F.col("n")).alias("parts")).alias("end")), "mix-cuts")
+
+    # The documents' own columns stand apart from those of the order.
+    row, size = F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.size(blank_split(F.col(text))).cast("long").alias("size")
+    rows = docs.select(row, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size)
+    out = order_columns(rows, goal.drop("end"), seed, {"doc_id": "doc_id", "source": "source"})
+    out = out.alias("d").join(F.broadcast(goal.select("source", "end")).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source"))).select("d.*", "end")
+    key, cut = F.struct("rank", "doc_id", "size"), F.struct("end.cut.rank", "end.cut.doc_id", "end.cut.size")
+    inside = (F.col("inner") == F.col("end.inner")) & F.col("end.cut").isNotNull()
+    sampled = (F.col("chance") > 0) & (F.col("rest") > 0)
+    out = out.withColumn("tie", F.coalesce(sampled & inside & key.eqNullSafe(cut), F.lit(False)))
+    taken = sampled & F.coalesce((F.col("inner") < F.col("end.inner")) | (inside & (key <= cut)), F.lit(False))
+    parts = F.col("tie") & F.col("end.parts")
+    copies = F.col("whole").cast("int") + F.when(taken & ~F.coalesce(parts, F.lit(False)), 1).otherwise(0)
+    chosen = out.where(~F.coalesce(parts, F.lit(False))).select("doc.*", copies.alias(fresh(docs, "mix_copies")))
+    times = chosen.columns[-1]
+    if not goal.where("end.parts").isEmpty():
+        few = out.where(parts).select("doc", "source", "whole", "end.extra").withColumn("row", F.monotonically_increasing_id())
+        group = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))  # a source has one cut
+        few = few.withColumn("group", group).select("doc", "group", "whole", "extra", "row")
+        ranked = numbered(few, "group", [F.col("group"), F.col("row")], tasks_for(docs.sparkSession, 0, 1), "mix-unequal", "place")
+        ranked = ranked.select("doc.*", (F.col("whole") + (F.col("place") < F.col("extra")).cast("int")).cast("int").alias(times))
+        chosen = chosen.unionByName(ranked)
+    chosen = chosen.where(F.col(times) > 0)
+    return chosen.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
