@@ -1,17 +1,18 @@
 """Similarity join of shingle sets: exact blocks over the cluster, signature trees within them.
 
 Two sets of a Jaccard similarity of at least t differ in few tokens. Cut the space of token
-hashes into one part more than that, and at least one part of both sets is equal. So sets
-that can be linked meet under an equal part. Sets that meet in this way, directly or over
-others, form a block; blocks are small and hold near copies almost alone. In a block a
-signature tree is built: a node has the OR of its sets' token bitmaps and the range of their
+hashes into some parts more than that, and at least as many parts of both sets are equal. So
+sets that can be linked meet under several equal parts. A set that shares too few parts with
+all others goes, the others keep the rarest of their shared parts, as many as are sure to
+have one in common with a linked set. Sets that still meet, directly or over others, form a
+block; blocks are small and hold near copies almost alone. In a block a signature tree is built: a node has the OR of its sets' token bitmaps and the range of their
 sizes. Two nodes are looked into only if the tokens their bitmaps share could be enough for
 their sizes; leaves are compared token by token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -92,8 +93,8 @@ def differing(band: int, firsts: list[int], num: int, den: int) -> int:
     return (firsts[band + 1] - 1) * (den - num) // num
 
 
-def meeting_keys(tokens: np.ndarray, firsts: list[int], num: int, den: int) -> np.ndarray:
-    """The keys of one set: its parts, as the smaller and as the larger one of a pair.
+def meeting_keys(tokens: np.ndarray, firsts: list[int], num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """The keys of one set's parts, as the smaller and as the larger one of a pair, and how many of them a linked set has as well at least.
 
     A part is a range of token hashes, its key the mixed sum of the tokens in it. Parts that
     are empty say nothing and have no key: there are some parts more than tokens to differ
@@ -107,15 +108,70 @@ def meeting_keys(tokens: np.ndarray, firsts: list[int], num: int, den: int) -> n
     out = []
     for band in (own, own - 1):
         if band < 0:
+            out.append((np.zeros(0, dtype=np.uint64), 1))
             continue
         apart = differing(band, firsts, num, den)
-        m = apart + 1 + (apart > 0) + apart // 12
+        m = apart + 1 + (apart > 0) + apart // 4
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         cuts = np.concatenate(([0], np.searchsorted(tokens, edges), [n]))
         part, held = sums[cuts[1:]] - sums[cuts[:-1]], cuts[1:] - cuts[:-1]
         keys = mix64(part * C2 + mix64(np.arange(m, dtype=np.uint64) * C3 + U(band)) + held.astype(np.uint64))
-        out.append(keys[held > 0] if (held == 0).sum() < m - apart else keys)
-    return np.concatenate(out)
+        empty = int((held == 0).sum())
+        out.append((keys[held > 0], m - apart - empty) if empty < m - apart else (keys, 1))
+    return out
+
+
+def changed(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of ordered columns differs from the row before."""
+    first = np.ones(len(columns[0]), dtype=bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return first
+
+
+def dealt(place: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(bucket, columns as byte planes) of the rows, by the range their place is in; they are ordered by place."""
+    bucket = ((place >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if e > s:
+            yield i, *(planes(np.ascontiguousarray(c[s:e]).view(np.uint64)) for c in columns)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
+    """The columns of all rows that ``dealt`` brought together."""
+    parts = [[np.zeros(0, np.uint64)] for _ in range(columns)]
+    for b in batches:
+        for own, c in zip(parts, b.columns[1:], strict=True):
+            own += [unplanes(x.as_py()) for x in c]
+    return [np.concatenate(own) for own in parts]
+
+
+def shared_keys(key: np.ndarray, owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of keys that several owners have, each owner once, with their number."""
+    order = np.lexsort((owner, key))
+    key, owner, code = key[order], owner[order], code[order]
+    once = changed(key, owner)
+    key, owner, code = key[once], owner[once], code[once]
+    first = changed(key)
+    size = np.diff(np.append(np.flatnonzero(first), len(key))).astype(np.uint64)[np.cumsum(first) - 1]
+    several = size > 1
+    return key[several], owner[several], code[several], size[several]
+
+
+def rarest_keys(key: np.ndarray, owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each owner's shared keys the rarest, all but one less than a linked set has in common with it.
+
+    The order by number of owners, then key, is the same for all owners. The first key that two
+    linked sets share in it has as many shared ones after it, so both of them keep it. An owner
+    with fewer shared keys than a linked set has in common with it is linked with none.
+    """
+    order = np.lexsort((key, size, code, owner))
+    key, owner, code = key[order], owner[order], code[order]
+    starts = np.flatnonzero(changed(owner, code))
+    held = np.diff(np.append(starts, len(key)))
+    place = np.arange(len(key)) - np.repeat(starts, held)
+    keep = place + (code >> U(1)).astype(np.int64) <= np.repeat(held, held)
+    return key[keep], owner[keep]
 
 
 def profiles(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -133,47 +189,72 @@ def profiles(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
 def candidate_edges(docs: DataFrame, sizes: tuple[int, int, int], words: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
     """Edges (a, b) between documents that meet under a key; each task and each key make a star, never all pairs.
 
-    A task hands on each key once, with the least id it has there, so that a key of very many
-    documents is small after the shuffle. Keys are packed by the range of their values.
+    Keys come together by the range of their values; those that several documents have go to
+    the documents, by the range of the mixed id. What a document keeps of them comes together by
+    key again. There a task hands on each key once, with the least id it has there, so that a key
+    of very many documents is small after the shuffle.
     """
     largest, total, _ = sizes
     firsts = bands(num, den, largest + 1)
-    # A set of n tokens has about 2 * (n * (den - num) / num + 1) keys.
-    buckets = tasks_for(docs.sparkSession, 2 * total * (den - num) / num, KEY_ROWS)
-
-    def packed(key: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        least = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        star = np.unique(np.stack([least[~first], owner[~first]], axis=1), axis=0)
-        star = star[star[:, 0] != star[:, 1]]
-        key, owner = key[first], owner[first]
-        bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(i, planes(key[s:e]), planes(owner[s:e].view(np.uint64)), False) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
-        if len(star):
-            rows.append((int(star[0, 0] % buckets), planes(star[:, 0].view(np.uint64)), planes(np.ascontiguousarray(star[:, 1]).view(np.uint64)), True))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.bool_())], ["bucket", "keys", "owners", "star"])
+    # A set of n tokens has about 2 * (n * (den - num) / num * 5 / 4 + 1) keys.
+    buckets = tasks_for(docs.sparkSession, 2.5 * total * (den - num) / num, KEY_ROWS)
+
+    def batched(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), *[pa.bool_() if n == "star" else pa.binary() for n in names[1:]]]
+        made = lambda own: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], names)
+        own, count = [], 0
+        for r in rows:
+            own.append(r)
+            count += len(r[1]) // 8
+            if count >= CHUNK_KEYS:
+                yield made(own)
+                own, count = [], 0
+        if own:
+            yield made(own)
+
+    def packed(key: np.ndarray, owner: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        key = key[order]
+        yield from batched(dealt(key, buckets, key, owner[order], code[order]), ["bucket", "keys", "owners", "codes"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[bytes, int] = {}
-        held, owners, count = [], [], 0
+        held, owners, codes, count = [], [], [], 0
         for b in row_batches(batches, 1):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(t, words, memory)
                 if not len(s):
                     continue
-                held.append(meeting_keys(s, firsts, num, den))
-                owners.append(np.full(len(held[-1]), i, dtype=np.int64))
-                count += len(held[-1])
+                for role, (k, common) in enumerate(meeting_keys(s, firsts, num, den)):
+                    held.append(k)
+                    owners.append(np.full(len(k), i, dtype=np.int64))
+                    codes.append(np.full(len(k), 2 * common + role, dtype=np.uint64))
+                    count += len(k)
                 if count >= CHUNK_KEYS:
-                    yield from packed(np.concatenate(held), np.concatenate(owners))
-                    held, owners, count = [], [], 0
+                    yield from packed(np.concatenate(held), np.concatenate(owners), np.concatenate(codes))
+                    held, owners, codes, count = [], [], [], 0
         if held:
-            yield from packed(np.concatenate(held), np.concatenate(owners))
+            yield from packed(np.concatenate(held), np.concatenate(owners), np.concatenate(codes))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, owner, code, size = shared_keys(*gathered(batches, 3))
+        place = mix64(owner)
+        order = np.argsort(place)
+        yield from batched(dealt(place[order], buckets, key[order], owner[order], code[order], size[order]), ["bucket", "keys", "owners", "codes", "sizes"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, owner = rarest_keys(*gathered(batches, 4))
+        owner = owner.view(np.int64)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = changed(key)
+        least = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else owner
+        star = np.unique(np.stack([least[~first], owner[~first]], axis=1), axis=0)
+        star = star[star[:, 0] != star[:, 1]]
+        rows = [(*r, False) for r in dealt(key[first], buckets, key[first], owner[first])]
+        if len(star):
+            rows.append((int(star[0, 0] % buckets), planes(np.ascontiguousarray(star[:, 0]).view(np.uint64)), planes(np.ascontiguousarray(star[:, 1]).view(np.uint64)), True))
+        yield from batched(rows, ["bucket", "keys", "owners", "star"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -189,8 +270,7 @@ def candidate_edges(docs: DataFrame, sizes: tuple[int, int, int], words: int, nu
         k, o = np.concatenate(key), np.concatenate(owner)
         order = np.lexsort((o, k))
         k, o = k[order], o[order]
-        first = np.ones(len(k), dtype=bool)
-        first[1:] = k[1:] != k[:-1]
+        first = changed(k)
         least = o[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else o
         edges.append(np.stack([least[~first], o[~first]], axis=1))
         e = np.unique(np.concatenate(edges), axis=0)
@@ -198,8 +278,10 @@ def candidate_edges(docs: DataFrame, sizes: tuple[int, int, int], words: int, nu
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    rows = rows.mapInArrow(keys, "bucket int, keys binary, owners binary, star boolean")
-    return rows.repartition(buckets, "bucket").select("bucket", "keys", "owners", "star").mapInArrow(meet, "a long, b long")
+    rows = rows.mapInArrow(keys, "bucket int, keys binary, owners binary, codes binary")
+    rows = rows.repartition(buckets, "bucket").mapInArrow(share, "bucket int, keys binary, owners binary, codes binary, sizes binary")
+    rows = rows.repartition(buckets, "bucket").mapInArrow(pick, "bucket int, keys binary, owners binary, star boolean")
+    return rows.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
 # ---- signature trees ----
