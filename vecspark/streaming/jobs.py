@@ -101,9 +101,9 @@ def stream_request_outcomes(logs: DataFrame, output: str, checkpoint: str, timeo
     return outcomes.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint)
 
 
-def latest_metrics(changes: DataFrame) -> DataFrame:
-    """The last written state of each window and route."""
+def latest_metrics(changes: DataFrame, sketches: bool = False) -> DataFrame:
+    """The last written state of each window and route; with ``sketches`` also what ``merged_latency`` merges."""
     keys = ["window_start", "method", "path"]
-    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    values = [c for c in changes.columns if c not in (*keys, "batch") and (sketches or c != "latency_sketch")]
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, "_last.*")
